@@ -41,8 +41,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all documents, with a digest of the bytes that the ids decode to."""
-    coded = bpe.encode(docs, RANKS, as_bytes=True, out_col="token_ids", keep=["doc_id", "lang", "source", "n_chars"])
-    both = bpe.decode(coded, RANKS, ids_col="token_ids", out_col="decoded")
+    both = bpe.encode(docs, RANKS, as_bytes=True, out_col="token_ids", keep=["doc_id", "lang", "source", "n_chars"], decoded_col="decoded")
     return both.select("doc_id", "lang", "source", "n_chars", F.expr("cast(octet_length(token_ids) div 4 as long)").alias("n_tokens"), "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .pretokens import Stretches, batches_of, pieces
+from . import textcore as tc
+from .pretokens import Stretches, pieces
 
 WIDTHS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 96, 128)
 NO_PAIR = np.int32(2**31 - 1)
@@ -224,53 +224,64 @@ class Encoder:
 _encoders: dict[int, Encoder] = {}
 
 
-def _schema(df: DataFrame, keep: list[str], name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([df.schema[c] for c in keep if c != name] + [T.StructField(name, kind)])
+def _schema(df: DataFrame, keep: list[str], added: list[tuple[str, T.DataType]]) -> T.StructType:
+    return T.StructType([df.schema[c] for c in keep] + [T.StructField(c, kind) for c, kind in added])
 
 
-def _encode(shared, keep: list[str], text: str, name: str, arrays: bool):
+def _id_column(ids: list[bytes], arrays: bool) -> pa.Array:
+    if not arrays:
+        return pa.array(ids, pa.binary())
+    at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+
+
+def _encode(shared, keep: list[str], text: str, names: list[str], arrays: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.setdefault(shared._id if hasattr(shared, "_id") else id(shared), None) or Encoder(shared.value)
-        _encoders.clear()
-        _encoders[shared._id if hasattr(shared, "_id") else id(shared)] = encoder
+        # A worker keeps one encoder, of the vocabulary it used last, from task to task.
+        vocabulary = shared.value
+        encoder = _encoders.get(id(vocabulary))
+        if encoder is None:
+            _encoders.clear()
+            encoder = _encoders[id(vocabulary)] = Encoder(vocabulary)
         for batch in batches:
-            texts = [x or "" for x in batch.column(text).to_pylist()]
-            for i, j in batches_of(texts):
-                ids = encoder.encode(texts[i:j])
-                if arrays:
-                    at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-                    column = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                else:
-                    column = pa.array(ids, pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(c)[i:j] for c in keep] + [column], names=[*keep, name])
+            column = batch.column(text)
+            for i, j in tc.blocks(tc.buffers(column)[1]):
+                ids = encoder.encode([x or "" for x in column[i:j].to_pylist()])
+                added = [_id_column(ids, arrays)]
+                if len(names) > 1:
+                    added.append(pa.array(map(vocabulary.decode, ids), pa.binary()))
+                yield pa.RecordBatch.from_arrays([batch.column(c)[i:j] for c in keep] + added, names=[*keep, *names])
 
     return run
 
 
-def encode(df: DataFrame, ranks_path: str, text_col: str = "text", out_col: str = "ids", as_bytes: bool = False, keep: list[str] | None = None) -> DataFrame:
+def encode(df: DataFrame, ranks_path: str, text_col: str = "text", out_col: str = "ids", as_bytes: bool = False, keep: list[str] | None = None, decoded_col: str | None = None) -> DataFrame:
     """`df` with the token ids of each text, as an array of int or (as_bytes) as little-endian unsigned 32-bit integers.
 
     Null counts as an empty text and gives no ids.  Special strings are ordinary
-    text.  `keep` names the columns to carry (default: all); one named like
-    `out_col` is replaced.  Rows are neither merged nor reordered.
+    text.  With `decoded_col` the ids are decoded again in the same task, which
+    spares sending them out and back.  `keep` names the columns to carry (default:
+    all); one named like a result is replaced.  Rows are neither merged nor
+    reordered.
     """
-    keep = [c for c in (df.columns if keep is None else keep) if c != out_col]
+    names = [out_col, *[decoded_col] * bool(decoded_col)]
+    keep = [c for c in (df.columns if keep is None else keep) if c not in names]
     shared = df.sparkSession.sparkContext.broadcast(Vocabulary.load(ranks_path))
-    kind = T.BinaryType() if as_bytes else T.ArrayType(T.IntegerType())
+    kinds = [T.BinaryType() if as_bytes else T.ArrayType(T.IntegerType()), T.BinaryType()]
     need = df.select(*dict.fromkeys([*keep, text_col]))
-    return need.mapInArrow(_encode(shared, keep, text_col, out_col, as_bytes is False), _schema(df, keep, out_col, kind))
+    return need.mapInArrow(_encode(shared, keep, text_col, names, not as_bytes), _schema(df, keep, list(zip(names, kinds))))
 
 
 def _decode(shared, keep: list[str], source: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column(source)
-            if pa.types.is_list(raw.type):
-                ids = [None if x is None else np.array(x, "<u4").tobytes() for x in raw.to_pylist()]
-            else:
-                ids = raw.to_pylist()
-            out = pa.array([None if x is None else shared.value.decode(x) for x in ids], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [out], names=[*keep, name])
+            for i in range(0, len(batch), 256):
+                part = batch.slice(i, 256)
+                ids = part.column(source).to_pylist()
+                if pa.types.is_list(part.column(source).type):
+                    ids = [None if x is None else np.array(x, "<u4").tobytes() for x in ids]
+                out = pa.array([None if x is None else shared.value.decode(x) for x in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [out], names=[*keep, name])
 
     return run
 
@@ -280,4 +291,4 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str =
     keep = [c for c in (df.columns if keep is None else keep) if c != out_col]
     shared = df.sparkSession.sparkContext.broadcast(Vocabulary.load(ranks_path))
     need = df.select(*dict.fromkeys([*keep, ids_col]))
-    return need.mapInArrow(_decode(shared, keep, ids_col, out_col), _schema(df, keep, out_col, T.BinaryType()))
+    return need.mapInArrow(_decode(shared, keep, ids_col, out_col), _schema(df, keep, [(out_col, T.BinaryType())]))

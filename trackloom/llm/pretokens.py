@@ -32,12 +32,13 @@ class Stretches:
     """A bounded cache from a stretch (without its space) to what `encode` makes of it.
 
     `encode` gets distinct stretches, each with its leading space, and returns
-    one value each.  It is emptied when it holds `limit` stretches; results do not
-    depend on that.
+    one value each.  The cache has two generations of `limit` / 2 stretches: when
+    the young one is full it becomes the old one, and what is asked for again
+    moves back.  Results do not depend on that.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], limit: int = 600_000):
-        self.encode, self.limit, self.known = encode, limit, {}
+    def __init__(self, encode: Callable[[list[str]], Iterable], limit: int = 500_000):
+        self.encode, self.limit, self.known, self.older = encode, limit, {}, {}
 
     def cut(self, text: str) -> list[str] | None:
         """First stretch (without a space) and the others, or None if the text cannot be cut so."""
@@ -49,14 +50,17 @@ class Stretches:
 
     def learn(self, cuts: Iterable[list[str] | None]) -> None:
         """Makes sure that all stretches but the first ones are known."""
-        known = self.known
-        missing = {part for parts in cuts if parts for part in parts[1:] if part not in known}
-        if missing:
-            if len(known) + len(missing) > self.limit:
-                known.clear()
-                missing = {part for parts in cuts if parts for part in parts[1:]}
-            order = list(missing)
-            known.update(zip(order, self.encode([" " + x for x in order])))
+        missing = {part for parts in cuts if parts for part in parts[1:] if part not in self.known}
+        if not missing:
+            return
+        if len(self.known) + len(missing) > self.limit // 2:
+            self.older, self.known = self.known, {}
+            missing = {part for parts in cuts if parts for part in parts[1:]}
+        older = self.older
+        fresh = [part for part in missing if part not in older]
+        self.known.update((part, older[part]) for part in missing if part in older)
+        if fresh:
+            self.known.update(zip(fresh, self.encode([" " + x for x in fresh])))
 
 
 def batches_of(texts: list[str], limit: int = 4 << 20) -> Iterable[tuple[int, int]]:

@@ -35,8 +35,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encode(_documents(spark, sf_dir).select("doc_id", "text"), RANKS, as_bytes=True, keep=["doc_id"])
-    both = bpe.decode(coded, RANKS)
+    both = bpe.encode(_documents(spark, sf_dir).select("doc_id", "text"), RANKS, as_bytes=True, keep=["doc_id"], decoded_col="decoded")
     return both.select("doc_id", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
