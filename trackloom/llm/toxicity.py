@@ -12,10 +12,11 @@ function words in it, so that nothing but the text enters a score.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
@@ -180,6 +181,9 @@ class Net:
                     v[at] += 0.001 * (grad * grad - v[at])
                     table[at] -= rate * (m[at] / keep1) / (np.sqrt(v[at] / keep2) + 1e-7)
                     table[1 << BITS] = 0
+        # A word that never drove a filter says nothing: it must not get a score by the chance of its first values.
+        for table in (self.words, self.stems):
+            table[~sparse[id(table)][1].any(1)] = 0
 
     def calibrate(self, logits: np.ndarray, labels: np.ndarray, langs: np.ndarray) -> None:
         """For each language with enough texts, the threshold with the fewest errors, in the middle of its gap; for others, that of all."""
@@ -227,9 +231,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
         net.constant = 0.0
         return net
     odds = F.create_map(*[F.lit(x) for y, n in counts.items() for x in (y, min(1.0, 1.5 * each[y] / n + 0.001))])
-    most = F.create_map(*[F.lit(x) for y in counts for x in (y, each[y])])
-    some = marked.where((F.col("pick") / 2.0**64 + 0.5) < odds[F.col("toxic")])
-    some = some.withColumn("rank", F.row_number().over(Window.partitionBy("toxic").orderBy("pick", "doc_id"))).where(F.col("rank") <= most[F.col("toxic")])
+    likely = marked.where((F.col("pick") / 2.0**64 + 0.5) < odds[F.col("toxic")])
+    some = reduce(DataFrame.unionByName, [likely.where(F.col("toxic") == y).orderBy("pick", "doc_id").limit(n) for y, n in each.items()])
     # At most `sample` rows: bounded, so they may go to every executor.
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(some.select("doc_id", "toxic")), "doc_id").where("text is not null")
     found = texts.select("toxic", "text").mapInArrow(_hashed, "toxic int, lang long, word binary, stem binary").toArrow()
