@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO = F.lit(0.0)
 
 
 def box(x1, y1, x2, y2) -> Column:
@@ -45,7 +44,7 @@ def height(b: Column) -> Column:
 
 def area(b: Column) -> Column:
     """Area; an inverted box has none."""
-    return F.greatest(width(b), ZERO) * F.greatest(height(b), ZERO)
+    return F.greatest(width(b), F.lit(0.0)) * F.greatest(height(b), F.lit(0.0))
 
 
 def to_xywh(b: Column) -> Column:
@@ -60,7 +59,7 @@ def to_cxcywh(b: Column) -> Column:
 
 def to_xyah(b: Column) -> Column:
     """Corners to centre, aspect ratio and height (null ratio for a flat box)."""
-    return F.struct(((b["x1"] + b["x2"]) / 2).alias("cx"), ((b["y1"] + b["y2"]) / 2).alias("cy"), (width(b) / F.nullif(height(b), ZERO)).alias("a"), height(b).alias("h"))
+    return F.struct(((b["x1"] + b["x2"]) / 2).alias("cx"), ((b["y1"] + b["y2"]) / 2).alias("cy"), (width(b) / F.nullif(height(b), F.lit(0.0))).alias("a"), height(b).alias("h"))
 
 
 def normalised(b: Column, image_w, image_h) -> Column:
@@ -80,7 +79,7 @@ def foot(b: Column) -> Column:
 
 def clamped(b: Column, image_w, image_h, least: float = 0.0) -> Column:
     """A box inside the image; with `least`, at least so many pixels wide and high."""
-    x1, y1 = F.greatest(b["x1"], ZERO), F.greatest(b["y1"], ZERO)
+    x1, y1 = F.greatest(b["x1"], F.lit(0.0)), F.greatest(b["y1"], F.lit(0.0))
     x2, y2 = F.least(b["x2"], F.lit(image_w).cast("double")), F.least(b["y2"], F.lit(image_h).cast("double"))
     return box(x1, y1, F.greatest(x2, x1 + least), F.greatest(y2, y1 + least))
 
@@ -89,11 +88,11 @@ def intersection(a: Column, b: Column) -> Column:
     """Area that two boxes share."""
     w = F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"])
     h = F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"])
-    return F.greatest(w, ZERO) * F.greatest(h, ZERO)
+    return F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0))
 
 
 def _ratio(x: Column, y: Column) -> Column:
-    return F.when(y > 0, x / y).otherwise(ZERO)
+    return F.when(y > 0, x / y).otherwise(F.lit(0.0))
 
 
 def iou(a: Column, b: Column) -> Column:
@@ -140,7 +139,7 @@ def ciou(a: Column, b: Column) -> Column:
     """DIoU less a term for unlike aspect ratios."""
     turn = F.atan2(width(a), height(a)) - F.atan2(width(b), height(b))
     v = turn * turn * (4.0 / 9.869604401089358)
-    return diou(a, b) - F.when(v > 0, v * v / (1 - iou(a, b) + v)).otherwise(ZERO)
+    return diou(a, b) - F.when(v > 0, v * v / (1 - iou(a, b) + v)).otherwise(F.lit(0.0))
 
 
 def alpha_iou(a: Column, b: Column, alpha: float = 2.0) -> Column:
@@ -153,7 +152,7 @@ def iou_3d(a: Column, b: Column) -> Column:
 
     def shared(c: str, s: str) -> Column:
         top = F.least(a[c] + a[s] / 2, b[c] + b[s] / 2)
-        return F.greatest(top - F.greatest(a[c] - a[s] / 2, b[c] - b[s] / 2), ZERO)
+        return F.greatest(top - F.greatest(a[c] - a[s] / 2, b[c] - b[s] / 2), F.lit(0.0))
 
     both = shared("x", "l") * shared("y", "w") * shared("z", "h")
     return _ratio(both, a["l"] * a["w"] * a["h"] + b["l"] * b["w"] * b["h"] - both)
@@ -161,7 +160,7 @@ def iou_3d(a: Column, b: Column) -> Column:
 
 def distance_similarity(d: Column, zero_at: float = 2.0) -> Column:
     """1 at distance 0, falling to 0 at `zero_at`."""
-    return F.greatest(ZERO, 1 - d / zero_at)
+    return F.greatest(F.lit(0.0), 1 - d / zero_at)
 
 
 def inverse_3x3(m: Sequence[Sequence[float]]) -> list[list[float]]:
@@ -177,7 +176,7 @@ def inverse_3x3(m: Sequence[Sequence[float]]) -> list[list[float]]:
 def project(matrix: Sequence[Sequence[float]], x: Column, y: Column) -> Column:
     """A point through a 3x3 matrix, divided by its third coordinate (null where that is 0)."""
     u, v, w = (x * float(r[0]) + y * float(r[1]) + float(r[2]) for r in matrix)
-    w = F.nullif(w, ZERO)
+    w = F.nullif(w, F.lit(0.0))
     return F.struct((u / w).alias("x"), (v / w).alias("y"))
 
 
@@ -189,7 +188,7 @@ def ground_homography(intrinsic: Sequence[Sequence[float]], extrinsic: Sequence[
 
 def back_project(x: Column, y: Column, depth_mm: Column, intrinsic: Sequence[Sequence[float]], camera_to_world: Sequence[Sequence[float]]) -> Column:
     """P5: a pixel with depth in millimetres to world metres; null for no depth."""
-    metres = F.nullif(depth_mm.cast("double"), ZERO) / 1000.0
+    metres = F.nullif(depth_mm.cast("double"), F.lit(0.0)) / 1000.0
     k = inverse_3x3(intrinsic)
     camera = [metres * (x * float(r[0]) + y * float(r[1]) + float(r[2])) for r in k]
     world = [sum((c * float(m) for c, m in zip(camera, row)), F.lit(float(row[3]))) for row in camera_to_world[:3]]
@@ -198,7 +197,7 @@ def back_project(x: Column, y: Column, depth_mm: Column, intrinsic: Sequence[Seq
 
 def world_point(by_depth: Column, by_homography: Column) -> Column:
     """The depth point, else the ground point (z = 0), else null."""
-    flat = F.when(by_homography.isNotNull(), F.struct(by_homography["x"].alias("x"), by_homography["y"].alias("y"), ZERO.alias("z")))
+    flat = F.when(by_homography.isNotNull(), F.struct(by_homography["x"].alias("x"), by_homography["y"].alias("y"), F.lit(0.0).alias("z")))
     return F.coalesce(by_depth, flat)
 
 

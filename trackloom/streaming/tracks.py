@@ -25,18 +25,19 @@ def track_sessions(events: DataFrame, time: str, by: list[str], gap: str, late:
     return events.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("s"), *by).agg(F.count("*").alias("n_rows")).select(F.col("s.start").alias("start"), F.col("s.end").alias("end"), *by, "n_rows")
 
 
-def online_tracks(detections: DataFrame, sensor: str = "camera", config: str | Config = "botsort", idle_ms: int = 600_000, **changes) -> DataFrame:
+def online_tracks(detections: DataFrame, sensor: str = "camera", config: str | Config = "botsort", idle_ms: int | None = None, **changes) -> DataFrame:
     """R2 as a stream: one tracker a sensor, kept as state; a micro-batch hands over whole frames in order.
 
-    Frames at or before the last one of a sensor are late and dropped.  A sensor without rows for
-    `idle_ms` loses its state.
+    Frames at or before the last one of a sensor are late and dropped.  With `idle_ms`
+    a sensor without rows for so long loses its state (such a query has work at
+    any time, so it does not end by itself under an available-now trigger).
     """
     chosen = replace(PRESETS[config] if isinstance(config, str) else config, **changes)
     kind = detections.schema[sensor].dataType.simpleString()
     names = [sensor, *(c.split()[0] for c in OUTPUT.split(", "))]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        if idle_ms is not None and state.hasTimedOut:
             state.remove()
             return
         tracker = pickle.loads(state.get[0]) if state.exists else Tracker(chosen)
@@ -46,7 +47,8 @@ def online_tracks(detections: DataFrame, sensor: str = "camera", config: str | C
             if frame > tracker.frame or not tracker.seen:
                 out += [(key[0], *r) for r in as_rows(frame, tracker.update(frame, found))]
         state.update((pickle.dumps(tracker),))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=names)
 
-    return detections.groupBy(sensor).applyInPandasWithState(run, f"{sensor} {kind}, {OUTPUT}", "tracker binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return detections.groupBy(sensor).applyInPandasWithState(run, f"{sensor} {kind}, {OUTPUT}", "tracker binary", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
