@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import textcore as tc
 from .prefix_counts import byte_symbols
-from .pretokens import Stretches, batches_of, pieces
+from .pretokens import Pieces, Stretches
 from .scratch import Scratch
 
 MAGIC, VERSION = b"TLRA", 1
@@ -81,7 +83,8 @@ def encode_frame(ids: np.ndarray, table: FrequencyTable) -> bytes:
     n = len(ids)
     lanes = int(min(LANES, 1 << max(0, (n // 64).bit_length() - 1))) if n else 1
     steps = -(-n // lanes)
-    place = table.place[ids]
+    known = len(table.place) > ids.max(initial=0) and ids.min(initial=0) >= 0
+    place = table.place[ids] if known else np.full(n, -1)
     if n and place.min() < 0:
         raise ValueError("an id is not in the frequency table")
     freq, start = table.frequencies[place], table.starts[place]
@@ -165,50 +168,24 @@ class LibraryEncoder:
 
         self.tokenizer = Tokenizer.from_buffer(raw)
         self.model = self.tokenizer.model
-        self.specials = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.stretches = Stretches(self._stretches)
-        self._pieces: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        known = self._pieces.get(piece)
-        if known is None:
-            if len(self._pieces) > 200_000:
-                self._pieces.clear()
-            shown = piece.encode().decode("latin-1").translate(_SYMBOLS)
-            known = self._pieces[piece] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-        return known
-
-    def _stretches(self, stretches: list[str]) -> list[bytes]:
-        every = iter(pieces("".join(stretches)))
-        out = []
-        for stretch in stretches:
-            own = next(every)
-            n, ids = len(own), self._piece(own)
-            while n < len(stretch):
-                own = next(every)
-                n += len(own)
-                ids += self._piece(own)
-            out.append(ids)
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cuts = []
-        for text in texts:
-            parts = None if any(s in text for s in self.specials) else self.stretches.cut(text)
-            if parts and len(parts) > 1 and (not parts[-1] or parts[-1][-1].isspace()):
-                parts[-1:] = [parts[-1], None]  # marks a last stretch that is not like one in the middle
-            cuts.append(parts)
-        self.stretches.learn([[x for x in parts[:-2]] if parts and parts[-1] is None else parts for parts in cuts])
-        known, out = self.stretches.known, []
-        for text, parts in zip(texts, cuts):
-            if parts is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-                continue
-            tail = b""
-            if parts[-1] is None:
-                tail = b"".join(map(self._piece, pieces(" " + parts[-2])))
-                parts = parts[:-2]
-            out.append(b"".join(map(self._piece, pieces(parts[0]))) + b"".join(map(known.__getitem__, parts[1:])) + tail)
+        self.specials = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.stretches = Stretches(Pieces(self._pieces))
+
+    def _pieces(self, own: list[str]) -> list[bytes]:
+        # 0xFF is in no UTF-8 text, so its symbol can stand between pieces.
+        shown = b"\xff".join(x.encode() for x in own).decode("latin-1").translate(_SYMBOLS).split(_SYMBOLS[0xFF])
+        tokenise = self.model.tokenize
+        return [array("i", [t.id for t in tokenise(x)]).tobytes() for x in shown]
+
+    def block(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text of a block."""
+        ids, bounds = self.stretches.block(data, offsets)
+        out = [ids[i:j] for i, j in zip(bounds.tolist(), bounds[1:].tolist())]
+        raw = data.tobytes()
+        if any(s in raw for s in self.specials):
+            for k, (i, j) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
+                if any(s in raw[i:j] for s in self.specials):
+                    out[k] = np.array(self.tokenizer.encode(raw[i:j].decode(), add_special_tokens=False).ids, np.int32)
         return out
 
 
@@ -262,14 +239,15 @@ def _tokenise(shared, end_id: int):
         if key not in _encoders:
             _encoders.clear()
             _encoders[key] = LibraryEncoder(shared.value)
-        end = np.array([end_id], np.uint32)
+        end = np.array([end_id], np.int32)
         chunks = _Chunks(strict=True)
         for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
+            data, offsets = tc.buffers(batch.column("text"))
             doc_ids = batch.column("doc_id").to_pylist()
-            for i, j in batches_of(texts):
-                for k, raw in enumerate(_encoders[key].encode(texts[i:j]), i):
-                    yield from chunks.add(doc_ids[k], np.concatenate([np.frombuffer(raw, "<u4"), end]))
+            for i, j in tc.blocks(offsets):
+                own = _encoders[key].block(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                for k, ids in enumerate(own, i):
+                    yield from chunks.add(doc_ids[k], np.concatenate([ids, end]))
         if chunks.ids:
             yield chunks.flush()
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import textcore as tc
-from .pretokens import Stretches, pieces
+from .pretokens import Pieces, Stretches
 
 WIDTHS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 96, 128)
 NO_PAIR = np.int32(2**31 - 1)
@@ -167,22 +167,6 @@ class Vocabulary:
                     out[k] = ids
         return out
 
-    def encode_stretches(self, stretches: list[str]) -> list[bytes]:
-        """Ids of stretches that each begin with a space and end in a visible character."""
-        every = pieces("".join(stretches))
-        distinct = list(dict.fromkeys(every))
-        ids = dict(zip(distinct, self.encode_words([x.encode() for x in distinct])))
-        out, k = [], 0
-        for stretch in stretches:
-            own, n = ids[every[k]], len(every[k])
-            k += 1
-            while n < len(stretch):
-                own += ids[every[k]]
-                n += len(every[k])
-                k += 1
-            out.append(own)
-        return out
-
     def decode(self, ids: bytes) -> bytes:
         """Bytes of little-endian 32-bit ids."""
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -193,32 +177,18 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.stretches = Stretches(vocabulary.encode_stretches)
+        self.stretches = Stretches(Pieces(lambda own: vocabulary.encode_words([x.encode() for x in own])))
 
-    def whole(self, text: str) -> bytes:
-        return b"".join(self.vocabulary.encode_words([x.encode() for x in pieces(text)]))
+    def block(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """Little-endian 32-bit ids of each text of a block."""
+        ids, bounds = self.stretches.block(data, offsets)
+        raw, at = ids.astype("<i4").tobytes(), (4 * bounds).tolist()
+        return [raw[i:j] for i, j in zip(at, at[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        cuts = [self.stretches.cut(x) for x in texts]
-        # A last stretch may end in white space; then it is not like one in the middle.
-        tails = [parts.pop() if parts and len(parts) > 1 and (not parts[-1] or parts[-1][-1].isspace()) else None for parts in cuts]
-        self.stretches.learn(cuts)
-        known = self.stretches.known
-        heads = iter(self._heads([parts[0] for parts in cuts if parts]))
-        out = []
-        for text, parts, tail in zip(texts, cuts, tails):
-            if parts is None:
-                out.append(self.whole(text))
-            else:
-                ids = next(heads) + b"".join(map(known.__getitem__, parts[1:]))
-                out.append(ids if tail is None else ids + self.whole(" " + tail))
-        return out
-
-    def _heads(self, heads: list[str]) -> list[bytes]:
-        split = [pieces(x) for x in heads]
-        ids = iter(self.vocabulary.encode_words([p.encode() for x in split for p in x]))
-        return [b"".join(next(ids) for _ in x) for x in split]
+        data, offsets = tc.buffers(pa.array(texts, pa.string()))
+        return [ids for i, j in tc.blocks(offsets) for ids in self.block(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
 
 
 _encoders: dict[int, Encoder] = {}
@@ -244,9 +214,9 @@ def _encode(shared, keep: list[str], text: str, names: list[str], arrays: bool):
             _encoders.clear()
             encoder = _encoders[id(vocabulary)] = Encoder(vocabulary)
         for batch in batches:
-            column = batch.column(text)
-            for i, j in tc.blocks(tc.buffers(column)[1]):
-                ids = encoder.encode([x or "" for x in column[i:j].to_pylist()])
+            data, offsets = tc.buffers(batch.column(text))
+            for i, j in tc.blocks(offsets):
+                ids = encoder.block(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 added = [_id_column(ids, arrays)]
                 if len(names) > 1:
                     added.append(pa.array(map(vocabulary.decode, ids), pa.binary()))

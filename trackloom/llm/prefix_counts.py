@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .pretokens import CONTRACTIONS, Stretches, batches_of, pieces
+from . import textcore as tc
+from .pretokens import CONTRACTIONS, Stretches, cuts, pieces, split
 
 
 def byte_symbols() -> list[str]:
@@ -192,19 +193,12 @@ class Counter:
             known = self._totals[piece] = self.grammar.counts(piece.encode())[-1]
         return known
 
-    def _stretch_totals(self, stretches: list[str]) -> list[int]:
-        every = pieces("".join(stretches))
-        distinct = sorted({x.encode() for x in every})
-        totals = {x.decode(): n for x, n in zip(distinct, self.grammar.totals(distinct))}
-        out, k = [], 0
-        for stretch in stretches:
-            n = total = 0
-            while n < len(stretch):
-                n += len(every[k])
-                total += totals[every[k]]
-                k += 1
-            out.append(total)
-        return out
+    def _stretch_totals(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        own, counts = split(stretches)
+        distinct = sorted({p.encode() for p in own})
+        of = {x.decode(): n for x, n in zip(distinct, self.grammar.totals(distinct))}
+        totals = np.fromiter(map(of.__getitem__, own), np.int64, len(own))
+        return np.add.reduceat(totals, np.cumsum(counts) - counts), np.ones(len(stretches), np.int64)
 
     def prefixes(self, text: str) -> np.ndarray:
         """Tokens of text[:p] for p from 0 to len(text)."""
@@ -265,32 +259,47 @@ class Counter:
                 return int(self.prefixes(text)[-1])
         return sum(map(self._piece_total, pieces(text)))
 
-    def budget(self, text: str, cut: list[str] | None, limit: int) -> int:
-        """Characters of the longest prefix of at most `limit` tokens."""
-        if cut is None or len(cut) < 2:
-            return int(np.flatnonzero(self.prefixes(text) <= limit)[-1])
-        totals = [self.total(cut[0]), *map(self.stretches.known.__getitem__, cut[1:])]
-        sums = list(accumulate(totals))
-        if sums[-1] <= limit:
-            return len(text)
-        k = int(np.searchsorted(sums, limit, "right"))
-        before = sums[k - 1] if k else 0
-        # The stretch that goes over the limit; those before it end in visible characters.
-        start = sum(map(len, cut[:k])) + max(0, k - 1)
-        own = before + self.prefixes(cut[k] if k == 0 else " " + cut[k])
-        return start + int(np.flatnonzero(own <= limit)[-1])
+    def block(self, data: np.ndarray, offsets: np.ndarray, limits: list[int]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Totals of the texts of a block, and for each limit the longest prefixes within it, in code points."""
+        starts, bounds = cuts(data, offsets)
+        tokens = self.stretches.numbers(self.stretches.places(data, starts))[0].astype(np.int64)
+        sums = np.concatenate([[0], np.cumsum(tokens)])
+        totals = sums[bounds[1:]] - sums[bounds[:-1]]
+        # Code points: bytes that do not go on with a character.
+        points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        lengths = points[offsets[1:]] - points[offsets[:-1]]
+        raw = data.tobytes()
+        special = set()
+        if any(s.encode() in raw for s in self.specials):
+            special = {k for k in range(len(totals)) if any(s.encode() in raw[offsets[k] : offsets[k + 1]] for s in self.specials)}
+            for k in special:
+                totals[k] = self.prefixes(raw[offsets[k] : offsets[k + 1]].decode())[-1]
+        ends = []
+        for limit in limits:
+            end = lengths.copy()
+            for k in np.flatnonzero(totals > limit):
+                if k in special:
+                    end[k] = np.flatnonzero(self.prefixes(raw[offsets[k] : offsets[k + 1]].decode()) <= limit)[-1]
+                    continue
+                # The stretch that goes over the limit; those before it end in visible characters.
+                base = sums[bounds[k]]
+                at = int(np.searchsorted(sums, base + limit, "right")) - 1
+                stop = starts[at + 1] if at + 1 < bounds[k + 1] else offsets[k + 1]
+                inside = self.prefixes(raw[starts[at] : stop].decode()) + (sums[at] - base)
+                end[k] = points[starts[at]] - points[offsets[k]] + np.flatnonzero(inside <= limit)[-1]
+            ends.append(end)
+        return totals, ends
 
     def count(self, texts: list[str], limits: list[int]) -> tuple[list[int], list[list[int]]]:
         """Totals, and for each limit the longest prefixes within it."""
-        plain = [not any(s in x for s in self.specials) for x in texts]
-        cuts = [self.stretches.cut(x) if ok else None for x, ok in zip(texts, plain)]
-        for k, parts in enumerate(cuts):
-            if parts and len(parts) > 1 and (not parts[-1] or parts[-1][-1].isspace()):
-                cuts[k] = None
-        self.stretches.learn(cuts)
-        known = self.stretches.known.__getitem__
-        totals = [self.total(x) if parts is None else self.total(parts[0]) + sum(map(known, parts[1:])) for x, parts in zip(texts, cuts)]
-        ends = [[len(x) if n <= limit else self.budget(x, parts, limit) for x, n, parts in zip(texts, totals, cuts)] for limit in limits]
+        data, offsets = tc.buffers(pa.array(texts, pa.string()))
+        totals: list[int] = []
+        ends: list[list[int]] = [[] for _ in limits]
+        for i, j in tc.blocks(offsets):
+            own, within = self.block(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], limits)
+            totals += own.tolist()
+            for kept, fresh in zip(ends, within):
+                kept += fresh.tolist()
         return totals, ends
 
 
@@ -305,13 +314,15 @@ def _count(shared, keep: list[str], text: str, limits: list[int], table: bool):
             _counters[key] = Counter(*shared.value)
         counter = _counters[key]
         for batch in batches:
-            texts = [x or "" for x in batch.column(text).to_pylist()]
-            for i, j in batches_of(texts):
-                totals, ends = counter.count(texts[i:j], limits)
+            data, offsets = tc.buffers(batch.column(text))
+            for i, j in tc.blocks(offsets):
+                part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                totals, ends = counter.block(part, at, limits)
                 columns = [pa.array(totals, pa.int64()), *(pa.array(x, pa.int64()) for x in ends)]
                 names = ["n_tokens", *(f"chars_within_{x}" for x in limits)]
                 if table:
-                    columns.append(pa.array([counter.prefixes(x) for x in texts[i:j]], pa.list_(pa.int64())))
+                    raw = part.tobytes()
+                    columns.append(pa.array([counter.prefixes(raw[a:b].decode()) for a, b in zip(at.tolist(), at[1:].tolist())], pa.list_(pa.int64())))
                     names.append("prefix_tokens")
                 yield pa.RecordBatch.from_arrays([batch.column(c)[i:j] for c in keep] + columns, names=[*keep, *names])
 

@@ -1,26 +1,36 @@
-"""Splitting texts the way byte-level BPE does, with a cache of distinct stretches.
-
-A text is cut at every single space that stands between two characters that are
-not white space.  Such a place is always a boundary of the splitting pattern, so
-a stretch (a space and what follows it up to the next cut) is tokenised the same
-wherever it occurs, and distinct stretches need work once.  Texts with other
-white space before a space, or with a special string, go through the pattern
-itself.
+"""Splitting texts the way byte-level BPE does, with a table of distinct stretches.
+
+A text is cut at every space that follows a character that is not white space.
+Such a place is always a boundary of the splitting pattern, and what follows it
+up to the next cut, the space included, is split the same wherever it
+stands.  So a stretch needs to be tokenised once; where it occurs again, it is found
+by two 64-bit hashes of its bytes in a table, block by block, without a Python
+object per word.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
+import numpy as np
 import regex
 
+from .textcore import U64, Hasher, _random_words
+
 #: The pattern of the vocabularies, with White_Space spelled out.
 GENERAL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: The same for characters for which both engines agree on letters, digits and white space.
 _PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _NOT_PLAIN = re.compile("[^\x00-\x1b\x20-\x7eÀ-ɏ]")
 CONTRACTIONS = frozenset(["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"])
+_BLANK = np.zeros(256, bool)
+_BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+#: Last bytes of white space of three bytes, by its first two.
+_WIDE_BLANKS = ((0xE1, 0x9A, [0x80]), (0xE2, 0x80, [*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF]), (0xE2, 0x81, [0x9F]), (0xE3, 0x80, [0x80]))
+_CODES = [_random_words(f"stretch-{k}", 256) for k in range(2)]
+MOST = 2_000_000
+_NONE = U64(2**64 - 1)
 
 
 def pieces(text: str) -> list[str]:
@@ -28,48 +38,164 @@ def pieces(text: str) -> list[str]:
     return (GENERAL if _NOT_PLAIN.search(text) else _PLAIN).findall(text)
 
 
+def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the stretches of a block of texts, and each text's bounds among them; an empty text has none."""
+    at = np.flatnonzero(data == 0x20)
+    at = at[at > 0]
+    before = data[at - 1]
+    ok = ~_BLANK[before]
+    odd = np.flatnonzero(before >= 0x80)
+    if len(odd):
+        p = at[odd]
+        one, two, three = data[p - 1], data[np.maximum(p - 2, 0)], data[np.maximum(p - 3, 0)]
+        blank = (two == 0xC2) & ((one == 0x85) | (one == 0xA0))
+        for a, b, last in _WIDE_BLANKS:
+            blank |= (three == a) & (two == b) & np.isin(one, last)
+        ok[odd[blank]] = False
+    here = np.zeros(len(data), bool)
+    here[at[ok]] = True
+    here[offsets[:-1][np.diff(offsets) > 0]] = True
+    starts = np.flatnonzero(here)
+    return starts, np.searchsorted(starts, offsets)
+
+
 class Stretches:
-    """A bounded cache from a stretch (without its space) to what `encode` makes of it.
+    """What `encode` makes of each distinct stretch: whole numbers.
+
+    `encode` gets distinct stretches and returns their numbers one after the other
+    and how many each has.  The table grows to MOST stretches and is then emptied;
+    results do not depend on that.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        self.encode = encode
+        self._empty()
+
+    def _empty(self) -> None:
+        self.n, self.used, self.flat = 0, 0, np.zeros(1 << 16, np.int32)
+        self._slots(16)
+
+    def _slots(self, bits: int) -> None:
+        # Two hashes, and where the numbers begin (upper half) and how many there are; all ones where empty.
+        self.bits, self.slots = bits, np.full((1 << bits, 3), U64(2**64 - 1))
+
+    def _find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Place and count of each entry, all ones where it is not there."""
+        out = np.full(len(a), _NONE)
+        todo = np.arange(len(a))
+        at = (a >> U64(64 - self.bits)).astype(np.int64)
+        while len(todo):
+            rows = self.slots[at]
+            there = rows[:, 2] != _NONE
+            hit = (rows[:, 0] == a[todo]) & (rows[:, 1] == b[todo]) & there
+            out[todo[hit]] = rows[hit, 2]
+            on = there & ~hit
+            todo, at = todo[on], (at[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def _put(self, rows: np.ndarray) -> None:
+        at = (rows[:, 0] >> U64(64 - self.bits)).astype(np.int64)
+        while len(rows):
+            free = np.flatnonzero(self.slots[at, 2] == _NONE)
+            own = free[np.unique(at[free], return_index=True)[1]]
+            self.slots[at[own]] = rows[own]
+            left = np.ones(len(rows), bool)
+            left[own] = False
+            rows, at = rows[left], (at[left] + 1) & ((1 << self.bits) - 1)
 
-    `encode` gets distinct stretches, each with its leading space, and returns
-    one value each.  The cache has two generations of `limit` / 2 stretches: when
-    the young one is full it becomes the old one, and what is asked for again
-    moves back.  Results do not depend on that.
+    def _add(self, a: np.ndarray, b: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> None:
+        n = len(lengths)
+        if self.used + len(flat) > len(self.flat):
+            self.flat = np.resize(self.flat, max(2 * len(self.flat), self.used + len(flat)))
+        self.flat[self.used : self.used + len(flat)] = flat
+        starts = self.used + np.cumsum(lengths) - lengths
+        if 2 * (self.n + n) > 1 << self.bits:
+            old = self.slots[self.slots[:, 2] != _NONE]
+            self._slots((2 * (self.n + n) - 1).bit_length())
+            self._put(old)
+        self._put(np.stack([a, b, starts.astype(U64) << U64(32) | lengths.astype(U64)], 1))
+        self.n, self.used = self.n + n, self.used + len(flat)
+
+    def places(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Entries of the stretches of a block that begin at `starts` (each ends where the next begins, the last with the block)."""
+        if not len(starts):
+            return np.zeros(0, U64)
+        ends = np.append(starts[1:], len(data))
+        a, b = (Hasher(data, codes).spans(starts, ends) for codes in _CODES)
+        if self.n > MOST:
+            self._empty()
+        out = self._find(a, b)
+        missing = np.flatnonzero(out == _NONE)
+        if len(missing):
+            own = missing[np.unique(a[missing], return_index=True)[1]]
+            raw = data.tobytes()
+            self._add(a[own], b[own], *self.encode([raw[s:e].decode() for s, e in zip(starts[own].tolist(), ends[own].tolist())]))
+            out[missing] = self._find(a[missing], b[missing])
+        return out
+
+    def numbers(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the entries one after the other, and where each entry's begin (and the end)."""
+        lengths = (places & U64(0xFFFFFFFF)).astype(np.int64)
+        bounds = np.concatenate([[0], np.cumsum(lengths)])
+        at = np.repeat((places >> U64(32)).astype(np.int64) - bounds[:-1], lengths)
+        at += np.arange(bounds[-1])
+        return self.flat[at], bounds
+
+    def block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all texts of a block, and each text's bounds among them."""
+        starts, bounds = cuts(data, offsets)
+        numbers, ends = self.numbers(self.places(data, starts))
+        return numbers, ends[bounds]
+
+
+def split(stretches: list[str]) -> tuple[list[str], np.ndarray]:
+    """Pieces of the stretches one after the other, and how many each has.
+
+    Stretches that begin with a space and do not end in white space are put
+    together and split at one go, as their ends are boundaries there too.
     """
+    counts = np.zeros(len(stretches), np.int64)
+    usual = [k for k, s in enumerate(stretches) if s[0] == " " and not s[-1].isspace()]
+    joined = [stretches[k] for k in usual]
+    found = pieces("".join(joined))
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+    counts[usual] = np.diff(np.searchsorted(ends, np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined))), "left") + 1, prepend=0)
+    if len(usual) == len(stretches):
+        return found, counts
+    out, at, common = [], 0, set(usual)
+    for k, s in enumerate(stretches):
+        if k in common:
+            out += found[at : at + counts[k]]
+            at += counts[k]
+        else:
+            own = pieces(s)
+            counts[k] = len(own)
+            out += own
+    return out, counts
+
+
+class Pieces:
+    """Numbers of stretches, put together from those of their pieces.
+
+    `encode` gets distinct pieces and returns little-endian 32-bit bytes of each.
+    Two generations of `limit` / 2 pieces are kept: when the young one is full it
+    becomes the old one.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 300_000):
+        self.encode, self.limit, self.young, self.old = encode, limit, {}, {}
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], limit: int = 500_000):
-        self.encode, self.limit, self.known, self.older = encode, limit, {}, {}
-
-    def cut(self, text: str) -> list[str] | None:
-        """First stretch (without a space) and the others, or None if the text cannot be cut so."""
-        parts = text.split(" ")
-        for part in parts[:-1]:
-            if not part or part[-1].isspace():
-                return None
-        return parts
-
-    def learn(self, cuts: Iterable[list[str] | None]) -> None:
-        """Makes sure that all stretches but the first ones are known."""
-        missing = {part for parts in cuts if parts for part in parts[1:] if part not in self.known}
-        if not missing:
-            return
-        if len(self.known) + len(missing) > self.limit // 2:
-            self.older, self.known = self.known, {}
-            missing = {part for parts in cuts if parts for part in parts[1:]}
-        older = self.older
-        fresh = [part for part in missing if part not in older]
-        self.known.update((part, older[part]) for part in missing if part in older)
-        if fresh:
-            self.known.update(zip(fresh, self.encode([" " + x for x in fresh])))
-
-
-def batches_of(texts: list[str], limit: int = 4 << 20) -> Iterable[tuple[int, int]]:
-    """Row ranges of at most `limit` characters, or of one longer text."""
-    i = held = 0
-    for k, x in enumerate(texts):
-        if held and held + len(x) > limit:
-            yield i, k
-            i, held = k, 0
-        held += len(x)
-    if i < len(texts):
-        yield i, len(texts)
+    def __call__(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        own, counts = split(stretches)
+        distinct = set(own)
+        wanted = distinct.difference(self.young)
+        if len(self.young) + len(wanted) > self.limit // 2:
+            self.old, self.young = self.young, {}
+            wanted = distinct
+        old = self.old
+        fresh = [p for p in wanted if p not in old]
+        self.young.update((p, old[p]) for p in wanted if p in old)
+        self.young.update(zip(fresh, self.encode(fresh)))
+        values = list(map(self.young.__getitem__, own))
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) >> 2
+        return np.frombuffer(b"".join(values), "<i4"), np.add.reduceat(sizes, np.cumsum(counts) - counts)

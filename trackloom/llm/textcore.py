@@ -107,12 +107,12 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = IS_WO
 
 
 class Hasher:
-    """64-bit hashes of byte spans of one block, A-Z counted as a-z."""
+    """64-bit hashes of byte spans of one block; with the usual byte codes A-Z counts as a-z."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, codes: np.ndarray = _BYTE_CODE):
         self.sums = np.empty(len(data) + 1, U64)
         self.sums[0] = 0
-        np.cumsum(_BYTE_CODE[data] * _power("up", _BASE, len(data)), dtype=U64, out=self.sums[1:])
+        np.cumsum(codes[data] * _power("up", _BASE, len(data)), dtype=U64, out=self.sums[1:])
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         raw = self.sums[ends] - self.sums[starts]
