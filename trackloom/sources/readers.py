@@ -35,7 +35,8 @@ def detections(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _colons(ddl: str) -> str:
-    return T._parse_datatype_string(ddl).simpleString()[7:-1]
+    """Fields of a table as fields of a struct, names quoted."""
+    return ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in T.StructType.fromDDL(ddl))
 
 
 def detection_text(spark: SparkSession, path: str) -> DataFrame:
