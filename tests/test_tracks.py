@@ -70,12 +70,12 @@ def test_kalman_follows_constant_velocity():
 def test_stream_equals_batch(spark, tmp_path):
     rows = moving().drop(columns=["truth", "feature"])
     schema = "camera string, frame long, x1 double, y1 double, x2 double, y2 double, score double, class_id long"
-    batch = online.track(spark.createDataFrame(rows), config="bytetrack").toPandas()
+    batch = online.track(spark.createDataFrame(rows), config="two-band").toPandas()
     for k, (a, b) in enumerate(((0, 15), (15, 28), (28, 41))):
         part = rows[(rows.frame > a) & (rows.frame <= b)]
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
         source = spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in")
-        query = streams.online_tracks(source, config="bytetrack").writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start()
+        query = streams.online_tracks(source, config="two-band").writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start()
         query.awaitTermination()
     stream = spark.read.parquet(f"file://{tmp_path}/out").toPandas()
     key = ["camera", "frame", "track_id"]

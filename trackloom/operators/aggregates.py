@@ -53,7 +53,7 @@ def medoid(pairs: DataFrame, group: Sequence[str], limit: float) -> DataFrame:
     """
     both = pairs.select(*group, F.col("member_1").alias("m"), "cosine").unionByName(pairs.select(*group, F.col("member_2").alias("m"), "cosine"))
     sums = both.groupBy(*group, "m").agg(F.sum(F.when(F.col("cosine") > limit, F.col("cosine")).otherwise(0.0)).alias("centrality"))
-    w = Window.partitionBy(*group).orderBy(F.desc("centrality"), "m")
+    w = Window.partitionBy(*group).orderBy(F.round("centrality", 9).desc(), "m")
     return sums.withColumn("_row", F.row_number().over(w)).where("_row = 1").select(*group, F.col("m").alias("member"), "centrality")
 
 

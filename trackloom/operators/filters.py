@@ -68,7 +68,7 @@ def distant_outliers(df: DataFrame, group: Sequence[str], member: str, x: str, y
     pairs = a.join(b, list(group)).where("a <> b").withColumn("d", F.sqrt(F.pow(F.col("ax") - F.col("bx"), F.lit(2.0)) + F.pow(F.col("ay") - F.col("by"), F.lit(2.0))))
     sums = pairs.groupBy(*group, "a").agg(F.sum("d").alias("total"), F.max("d").alias("far"), F.count("*").alias("others"))
     w = Window.partitionBy(*group)
-    sums = sums.withColumn("far", F.max("far").over(w)).withColumn("_row", F.row_number().over(w.orderBy(F.desc("total"), "a")))
+    sums = sums.withColumn("far", F.max("far").over(w)).withColumn("_row", F.row_number().over(w.orderBy(F.round("total", 9).desc(), "a")))
     return sums.where((F.col("_row") == 1) & (F.col("others") + 1 >= least) & (F.col("far") > limit)).select(*group, F.col("a").alias(member), F.col("total").alias("distance_sum"))
 
 

@@ -162,7 +162,7 @@ def f8_small_ids(spark, sf):
 
 @query(f"""WITH {TRK}, p AS (SELECT a.frame, a.user_id, sqrt((a.x1 - b.x1) ** 2 + (a.y1 - b.y1) ** 2) AS d FROM trk a JOIN trk b ON a.frame = b.frame AND a.user_id <> b.user_id),
 s AS (SELECT frame, user_id, sum(d) AS t, max(d) AS m, count(*) AS n FROM p GROUP BY ALL),
-r AS (SELECT *, max(m) OVER (PARTITION BY frame) AS far, row_number() OVER (PARTITION BY frame ORDER BY round(t, 6) DESC, user_id) AS k FROM s)
+r AS (SELECT *, max(m) OVER (PARTITION BY frame) AS far, row_number() OVER (PARTITION BY frame ORDER BY round(t, 9) DESC, user_id) AS k FROM s)
 SELECT frame, user_id, round(t, 4) AS distance_sum FROM r WHERE k = 1 AND n >= 2 AND far > 7""")
 def f9_distant_outlier(spark, sf):
     return X.distant_outliers(trk(spark, sf), ["frame"], "user_id", "x1", "y1").withColumn("distance_sum", F.round("distance_sum", 4))
@@ -536,7 +536,7 @@ def e1_frame_matches(spark, sf):
 def r2_online_track(spark, sf):
     rows = ev(spark, sf).withColumns({"x1": F.expr("cast((user_id * 37) % 900 + (frame % 60) as double)"), "y1": F.expr("cast((user_id * 53) % 700 + (frame % 40) as double)"), "score": F.expr("cast(event_id % 101 as double) / 101")})
     rows = X.first_of_each(rows, ["user_id", "frame"], ["event_id"]).select((F.col("user_id") % 4).alias("camera"), "frame", "x1", "y1", (F.col("x1") + 60).alias("x2"), (F.col("y1") + 90).alias("y2"), "score", F.lit(0).alias("class_id"))
-    return online.track(rows, "camera", "bytetrack")
+    return online.track(rows, "camera", "two-band")
 
 
 @query(f"WITH {TRK} SELECT user_id % 4 || ' ' || user_id || ' ' || (frame - 1) || ' ' || CAST(x1 AS BIGINT) || ' ' || CAST(y1 AS BIGINT) || ' ' || CAST(x2 - x1 AS BIGINT) || ' ' || CAST(y2 - y1 AS BIGINT) || ' ' || printf('%.6f', x1 / 10) || ' ' || printf('%.6f', y1 / 10) AS line FROM trk WHERE user_id % 3 <> 0")

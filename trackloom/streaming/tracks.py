@@ -25,7 +25,7 @@ def track_sessions(events: DataFrame, time: str, by: list[str], gap: str, late:
     return events.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("s"), *by).agg(F.count("*").alias("n_rows")).select(F.col("s.start").alias("start"), F.col("s.end").alias("end"), *by, "n_rows")
 
 
-def online_tracks(detections: DataFrame, sensor: str = "camera", config: str | Config = "botsort", idle_ms: int | None = None, **changes) -> DataFrame:
+def online_tracks(detections: DataFrame, sensor: str = "camera", config: str | Config = "appearance", idle_ms: int | None = None, **changes) -> DataFrame:
     """R2 as a stream: one tracker a sensor, kept as state; a micro-batch hands over whole frames in order.
 
     Frames at or before the last one of a sensor are late and dropped.  With `idle_ms`
