@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__
+from trackloom.plans import more  # noqa: F401  (registers its queries)
 from trackloom.plans import queries as plans
 
 DATA = "/root/testdata/sf0.001"

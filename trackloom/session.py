@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 #: Results do not depend on these; they keep joins and partitions in good shape as data grows.
@@ -20,3 +22,11 @@ def session(name: str = "trackloom", **settings: str) -> SparkSession:
     for k, v in (SETTINGS | {k.replace("__", "."): v for k, v in settings.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def checkpoints(spark: SparkSession) -> None:
+    """Makes sure that checkpoints have a folder: the one in spark.checkpoint.dir, or a local one where that is unset."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="trackloom-"))
