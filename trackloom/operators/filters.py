@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def score_bands(score: Column, low: float = 0.1, high: float = 0.5) -> Column:
     """F2: "high" over `high`, "low" strictly between the two, null elsewhere (a score equal to `high` too)."""
@@ -41,8 +43,7 @@ def long_tracks(df: DataFrame, id_col: str, frame: str, class_col: str, least: i
     """rows with a class, in tracks of at least `least` rows, numbered from 1 in order of first appearance (then id)."""
     df = df.where(F.col(class_col).isNotNull())
     heads = df.groupBy(id_col).agg(F.count("*").alias("n"), F.min(frame).alias("begin")).where(F.col("n") >= least)
-    # One row a track; numbering needs one order of all of them.
-    heads = heads.withColumn("new_id", F.row_number().over(Window.orderBy("begin", id_col)))
+    heads = numbered(heads, ["begin", id_col], "new_id")
     return df.join(heads.select(id_col, "new_id"), id_col)
 
 
@@ -110,13 +111,10 @@ def repeated_ids(df: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def unique_across(df: DataFrame, id_col: str, owner: str) -> DataFrame:
-    """`unique_id` keeps an id for its least owner and gives (id, owner) pairs of others numbers above all ids.
-
-    Numbering needs one order of the pairs that are moved; there is one row for each.
-    """
+    """`unique_id` keeps an id for its least owner and gives (id, owner) pairs of others numbers above all ids, in order."""
     pairs = df.select(id_col, owner).distinct().withColumn("_rank", F.row_number().over(Window.partitionBy(id_col).orderBy(owner)))
     top = pairs.agg(F.max(id_col).alias("_top"))
-    moved = pairs.where("_rank > 1").crossJoin(F.broadcast(top)).withColumn("unique_id", F.col("_top") + F.row_number().over(Window.orderBy(id_col, owner)))
+    moved = numbered(pairs.where("_rank > 1"), [id_col, owner], "_n").crossJoin(F.broadcast(top)).withColumn("unique_id", F.col("_top") + F.col("_n"))
     named = pairs.where("_rank = 1").select(id_col, owner, F.col(id_col).alias("unique_id")).unionByName(moved.select(id_col, owner, "unique_id"))
     return df.join(named, [id_col, owner])
 

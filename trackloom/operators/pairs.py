@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import vectors as V
+from .assignment import cosine_matrix
 
 
 def attach_first(left: DataFrame, right: DataFrame, key: Sequence[str], order: Sequence[str], take: Sequence[str]) -> DataFrame:
@@ -135,15 +138,34 @@ def fill_from_track(df: DataFrame, track: Sequence[str], frame: str, value: str)
     return df.withColumn(value, F.coalesce(F.col(value), first))
 
 
-def neighbours(queries: DataFrame, gallery: DataFrame, query_id: str, gallery_id: str, vector: str, k: int, metric: str = "cosine") -> DataFrame:
-    """The k nearest gallery rows of each query, by distance, then gallery id.
+def neighbours(queries: DataFrame, gallery: DataFrame, query_id: str, gallery_id: str, vector: str, k: int, metric: str = "cosine", group: int = 2048, part: int = 16384) -> DataFrame:
+    """The k nearest gallery rows of each query, by distance, then gallery id: (q, g, distance, rank).
 
-    The distance is 1 - cosine or the squared Euclidean one.  Ranks are cut on each
-    side of the shuffle, so that only k rows a query and task travel.
+    The distance is 1 - cosine (1 with a zero vector) or the squared Euclidean one.
+    Groups of queries meet parts of the gallery, each of bounded size, in one matrix
+    product; every meeting keeps k rows a query, so pairs are never written out.
+    Rows with a null id or vector are left out.
     """
-    a = queries.select(F.col(query_id).alias("q"), F.col(vector).alias("_a"))
-    b = gallery.select(F.col(gallery_id).alias("g"), F.col(vector).alias("_b"))
-    d = 1 - V.cosine(F.col("_a"), F.col("_b")) if metric == "cosine" else V.squared_distance(F.col("_a"), F.col("_b"))
-    pairs = a.crossJoin(b).select("q", "g", d.alias("distance"))
-    w = Window.partitionBy("q").orderBy("distance", "g")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    a = queries.where(F.col(query_id).isNotNull() & F.col(vector).isNotNull()).select(F.col(query_id).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    b = gallery.where(F.col(gallery_id).isNotNull() & F.col(vector).isNotNull()).select(F.col(gallery_id).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    groups, parts = (max(1, -(-x.count() // n)) for x, n in ((a, group), (b, part)))
+
+    def dealt(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"q": [], "g": [], "distance": []})
+        right = right.sort_values("id", kind="stable")
+        x, y, ids = np.stack(left["v"]), np.stack(right["v"]), right["id"].to_numpy()
+        if metric == "cosine":
+            d = 1 - cosine_matrix(x, y)
+        else:
+            d = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0)
+        # Equal distances keep the order of ids.
+        near = np.argsort(d, 1, kind="stable")[:, :k]
+        return pd.DataFrame({"q": np.repeat(left["id"].to_numpy(), near.shape[1]), "g": ids[near].ravel(), "distance": np.take_along_axis(d, near, 1).ravel()})
+
+    kinds = dict(a.dtypes)["id"], dict(b.dtypes)["id"]
+    found = dealt(a, "_a", groups, "_b", parts).groupBy("_a", "_b").cogroup(dealt(b, "_b", parts, "_a", groups).groupBy("_a", "_b")).applyInPandas(meet, f"q {kinds[0]}, g {kinds[1]}, distance double")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", "g"))).where(F.col("rank") <= k)

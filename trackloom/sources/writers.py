@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
+
 
 def camera_number(camera: Column) -> Column:
     """K1: the number at the end of a camera's name, 0 without one."""
@@ -72,11 +74,10 @@ def coco_document(images: DataFrame, annotations: DataFrame, categories: DataFra
 
     A COCO document is one value, so this gathers it: for exports, not for pipelines.
     """
-    w = Window.orderBy("image_id", "x", "y", "category_id")
-    numbered = annotations.withColumn("id", F.row_number().over(w))
+    rows = numbered(annotations, ["image_id", "x", "y", "category_id"], "id")
     item = F.struct("id", "image_id", "category_id", F.array("x", "y", "w", "h").alias("bbox"), (F.col("w") * F.col("h")).alias("area"), F.lit(0).alias("iscrowd"))
     a = images.agg(F.sort_array(F.collect_list(F.struct(*images.columns))).alias("images"))
-    b = numbered.agg(F.sort_array(F.collect_list(item)).alias("annotations"))
+    b = rows.agg(F.sort_array(F.collect_list(item)).alias("annotations"))
     c = categories.agg(F.sort_array(F.collect_list(F.struct(*categories.columns))).alias("categories"))
     return a.crossJoin(b).crossJoin(c).select(F.to_json(F.struct("images", "annotations", "categories")).alias("document"))
 
