@@ -77,6 +77,7 @@ def test_full_tables_start_anew(vocabulary, monkeypatch):
     texts = random_texts(400, 8)
     small, large = bpe.Encoder(vocabulary), bpe.Encoder(vocabulary)
     small.stretches.encode.limit = 40
+    assert large.stretches.encode.limit > 40
     got = small.encode(texts)
     monkeypatch.setattr(pretokens, "MOST", 10**9)
     assert got == large.encode(texts)
@@ -98,7 +99,7 @@ def test_bpe_frames(spark, vocabulary):
 
 def test_frame_round_trip_and_checkpoints():
     r = np.random.default_rng(0)
-    for n in (0, 1, 7, 100, 5000, 150_000):
+    for n in (0, 1, 7, 100, 5000, 1_200_000):
         ids = r.zipf(1.3, n) % 50257
         table = ans.FrequencyTable.scaled(*np.unique(ids, return_counts=True))
         frame = ans.encode_frame(ids, table)
@@ -106,7 +107,7 @@ def test_frame_round_trip_and_checkpoints():
     step = ans.LANES * ans.CHECKPOINT_STEPS
     assert (ans.decode_frame(frame, table, 1, 2) == ids[step : 2 * step]).all()
     entropy = -sum(c * np.log2(c / n) for c in np.unique(ids, return_counts=True)[1]) / 8
-    assert len(frame) < 1.15 * entropy + 40_000
+    assert len(frame) < 1.15 * entropy
     hurt = bytearray(frame)
     hurt[len(hurt) // 2] ^= 1
     with pytest.raises(ValueError, match="damaged"):

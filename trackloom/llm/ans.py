@@ -38,7 +38,7 @@ from .pretokens import Pieces, Stretches
 from .scratch import Scratch
 
 MAGIC, VERSION = b"TLRA", 1
-LANES, CHECKPOINT_STEPS, BLOCK_TOKENS = 1024, 128, 1 << 18
+LANES, CHECKPOINT_STEPS, BLOCK_TOKENS = 4096, 128, 1 << 20
 _HEAD = struct.Struct("<4sHHIIQIQ")
 _LOW = np.uint64(1 << 31)
 
@@ -189,7 +189,7 @@ class LibraryEncoder:
         return out
 
 
-_CHUNK = "first_id long, last_id long, ordered boolean, n_tokens long, doc_ids array<long>, lengths array<long>, ids binary"
+_CHUNK = "first_id long, last_id long, ordered boolean, n_tokens long, doc_ids array<long>, lengths array<long>, ids binary, symbols array<int>, counts array<long>"
 _encoders: dict[int, LibraryEncoder] = {}
 
 
@@ -205,7 +205,7 @@ def _unplanes(raw: bytes) -> np.ndarray:
 
 
 class _Chunks:
-    """Gathers documents into chunks of about BLOCK_TOKENS ids; with `strict`, a chunk's ids ascend."""
+    """Gathers documents into chunks of about BLOCK_TOKENS ids, with counts of the ids; with `strict`, a chunk's document ids ascend."""
 
     def __init__(self, strict: bool):
         self.strict, self.ids, self.parts, self.n = strict, [], [], 0
@@ -220,6 +220,8 @@ class _Chunks:
     def flush(self) -> pa.RecordBatch:
         own = [x for x in self.ids if x is not None]
         ids = np.concatenate(self.parts) if self.parts else np.zeros(0, np.int64)
+        counts = np.bincount(ids)
+        symbols = np.flatnonzero(counts)
         row = {
             "first_id": pa.array([own[0] if own else None], pa.int64()),
             "last_id": pa.array([own[-1] if own else None], pa.int64()),
@@ -228,6 +230,8 @@ class _Chunks:
             "doc_ids": pa.array([self.ids], pa.list_(pa.int64())),
             "lengths": pa.array([[len(x) for x in self.parts]], pa.list_(pa.int64())),
             "ids": pa.array([_planes(ids)], pa.binary()),
+            "symbols": pa.array([symbols], pa.list_(pa.int32())),
+            "counts": pa.array([counts[symbols]], pa.list_(pa.int64())),
         }
         self.ids, self.parts, self.n = [], [], 0
         return pa.RecordBatch.from_pydict(row)
@@ -271,20 +275,6 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield chunks.flush()
 
 
-def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for raw in batch.column("ids").to_pylist():
-            own = np.bincount(_unplanes(raw))
-            if len(own) > len(total):
-                own[: len(total)] += total
-                total = own
-            else:
-                total[: len(own)] += own
-    symbols = np.flatnonzero(total)
-    yield pa.RecordBatch.from_pydict({"symbol": pa.array(symbols, pa.int64()), "n": pa.array(total[symbols], pa.int64())})
-
-
 def _encode_blocks(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = FrequencyTable(*shared.value)
@@ -326,34 +316,33 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chunks = work.save(docs.mapInArrow(_tokenise(shared, end_id), _CHUNK), "chunks")
     if not _apart(chunks):
-        rows = chunks.mapInArrow(_documents, "doc_id long, ids binary").repartitionByRange("doc_id", "ids").sortWithinPartitions("doc_id", "ids")
+        rows = chunks.select("doc_ids", "lengths", "ids").mapInArrow(_documents, "doc_id long, ids binary").repartitionByRange("doc_id", "ids").sortWithinPartitions("doc_id", "ids")
         chunks = work.save(rows.mapInArrow(_gather, _CHUNK), "ordered")
         work.drop("chunks")
-    counts = chunks.select("ids").mapInArrow(_histogram, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
+    pairs = chunks.select(F.explode(F.arrays_zip("symbols", "counts")).alias("x"))
+    counts = pairs.groupBy(F.col("x.symbols").cast("long").alias("symbol")).agg(F.sum("x.counts").alias("n"))
     # One row a symbol of the vocabulary: bounded by its size.
     found = counts.toPandas()
     table = FrequencyTable.scaled(found["symbol"].to_numpy(np.int64), found["n"].to_numpy(np.int64))
     spark.createDataFrame([(table.precision, table.symbols.tolist(), table.frequencies.astype(np.int64).tolist())], "precision int, symbols array<long>, frequencies array<long>").coalesce(1).write.parquet(f"{path}/table")
     coded = spark.sparkContext.broadcast((table.symbols, table.frequencies, table.precision))
-    chunks.mapInArrow(_encode_blocks(coded), _BLOCK).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    chunks.drop("symbols", "counts").mapInArrow(_encode_blocks(coded), _BLOCK).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     work.drop("chunks", "ordered")
 
 
-def _read(shared):
+def _read(shared, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = FrequencyTable(*shared.value)
         for batch in batches:
             cols = (batch.column(c).to_pylist() for c in ("begin", "doc_ids", "lengths", "frame"))
             for begin, doc_ids, lengths, frame in zip(*cols):
-                ids = decode_frame(frame, table).astype("<u4")
+                raw = memoryview(decode_frame(frame, table).astype("<u4").tobytes())
                 at = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-                raw = ids.tobytes()
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array(doc_ids, pa.int64()),
-                    "start": pa.array(begin + at[:-1], pa.int64()),
-                    "n_tokens": pa.array(lengths, pa.int64()),
-                    "ids": pa.array([raw[4 * at[k] : 4 * at[k + 1]] for k in range(len(doc_ids))], pa.binary()),
-                })
+                parts = [raw[4 * i : 4 * j] for i, j in zip(at.tolist(), at[1:].tolist())]
+                out = {"doc_id": pa.array(doc_ids, pa.int64()), "start": pa.array(begin + at[:-1], pa.int64()), "n_tokens": pa.array(lengths, pa.int64()), "ids_crc32": pa.array(map(zlib.crc32, parts), pa.int64())}
+                if with_ids:
+                    out["ids"] = pa.array(map(bytes, parts), pa.binary())
+                yield pa.RecordBatch.from_pydict(out)
 
     return run
 
@@ -363,7 +352,8 @@ def _begins(blocks: DataFrame) -> DataFrame:
     spark = blocks.sparkSession
     key = ["first_id", "last_id", "n_tokens", "tie"]
     facts = blocks.select("first_id", "last_id", "n_tokens", F.xxhash64("doc_ids", "lengths", "frame").alias("tie"), "place")
-    facts = facts.repartitionByRange(*key).withColumn("part", F.spark_partition_id())
+    # Written, because the ranges of a second run may differ.
+    facts = Scratch(spark, "token-starts").save(facts.repartitionByRange(*key).withColumn("part", F.spark_partition_id()), "facts")
     sums = facts.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.min(F.struct(*key)).alias("first")).collect()
     sums.sort(key=lambda x: tuple((v is not None, v) for v in x["first"]))
     total, before = 0, []
@@ -375,8 +365,12 @@ def _begins(blocks: DataFrame) -> DataFrame:
     return facts.select("place", (F.coalesce(inside, F.lit(0)) + offsets[F.col("part")]).alias("begin"))
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): each document's ids as little-endian unsigned 32-bit integers, and where they begin in the whole sequence."""
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids): where each document's ids begin in the whole sequence, how many they are, their crc32 and themselves.
+
+    Ids are little-endian unsigned 32-bit integers, for the checksum too.  Without
+    `with_ids` they are decoded and checked, but not sent out.
+    """
     table = spark.read.parquet(f"{path}/table").first()
     if table is None:
         raise ValueError("a token dataset without a table")
@@ -385,4 +379,4 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     # A block's place is its file and its row in it; both stay the same at every reading.
     blocks = blocks.withColumn("place", F.concat_ws(":", F.col("_metadata.file_name"), F.col("_metadata.row_index")))
     rows = blocks.join(_begins(blocks), "place").select("begin", "doc_ids", "lengths", "frame")
-    return rows.mapInArrow(_read(coded), "doc_id long, start long, n_tokens long, ids binary")
+    return rows.mapInArrow(_read(coded, with_ids), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)

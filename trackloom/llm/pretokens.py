@@ -4,7 +4,7 @@ A text is cut at every space that follows a character that is not white space.
 Such a place is always a boundary of the splitting pattern, and what follows it
 up to the next cut, the space included, is split the same wherever it
 stands.  So a stretch needs to be tokenised once; where it occurs again, it is found
-by two 64-bit hashes of its bytes in a table, block by block, without a Python
+by its bytes (or, if it is long, two 64-bit hashes of them) in a table, block by block, without a Python
 object per word.
 """
 
@@ -16,7 +16,7 @@ from collections.abc import Callable
 import numpy as np
 import regex
 
-from .textcore import U64, Hasher, _random_words
+from .textcore import U64, Hasher, _random_words, mix
 
 #: The pattern of the vocabularies, with White_Space spelled out.
 GENERAL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -59,6 +59,27 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return starts, np.searchsorted(starts, offsets)
 
 
+def keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit numbers that tell spans apart: of up to 16 bytes the first and the last 8 themselves, of more two hashes."""
+    padded = np.concatenate([np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)])
+    words = np.lib.stride_tricks.as_strided(padded[: len(padded) - 7].view(np.uint8), shape=(len(padded) - 7, 8), strides=(1, 1))
+    length = ends - starts
+    first = np.ascontiguousarray(words[starts + 8]).view("<u8").ravel()
+    last = np.ascontiguousarray(words[ends]).view("<u8").ravel()
+    short = length < 8
+    first[short] &= (U64(1) << (U64(8) * length[short].astype(U64))) - U64(1)
+    last[short] = 0
+    size = mix(length.astype(U64))
+    a, b = first ^ size, last + size
+    long = np.flatnonzero(length > 16)
+    if len(long):
+        count = length[long]
+        edges = np.concatenate([[0], np.cumsum(count)])
+        own = data[np.repeat(starts[long] - edges[:-1], count) + np.arange(edges[-1])]
+        a[long], b[long] = (Hasher(own, codes).spans(edges[:-1], edges[1:]) for codes in _CODES)
+    return a, b
+
+
 class Stretches:
     """What `encode` makes of each distinct stretch: whole numbers.
 
@@ -76,25 +97,31 @@ class Stretches:
         self._slots(16)
 
     def _slots(self, bits: int) -> None:
-        # Two hashes, and where the numbers begin (upper half) and how many there are; all ones where empty.
+        # Two keys, and where the numbers begin (upper half) and how many there are; all ones where empty.
         self.bits, self.slots = bits, np.full((1 << bits, 3), U64(2**64 - 1))
 
+    def _at(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (mix(mix(a) + b) >> U64(64 - self.bits)).astype(np.int64)
+
     def _find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Place and count of each entry, all ones where it is not there."""
-        out = np.full(len(a), _NONE)
-        todo = np.arange(len(a))
-        at = (a >> U64(64 - self.bits)).astype(np.int64)
+        rows = self.slots[self._at(a, b)]
+        out = rows[:, 2].copy()
+        todo = np.flatnonzero(((rows[:, 0] != a) | (rows[:, 1] != b)) & (out != _NONE))
+        out[todo] = _NONE
+        at = self._at(a[todo], b[todo])
         while len(todo):
+            at = (at + 1) & ((1 << self.bits) - 1)
             rows = self.slots[at]
             there = rows[:, 2] != _NONE
             hit = (rows[:, 0] == a[todo]) & (rows[:, 1] == b[todo]) & there
             out[todo[hit]] = rows[hit, 2]
             on = there & ~hit
-            todo, at = todo[on], (at[on] + 1) & ((1 << self.bits) - 1)
+            todo, at = todo[on], at[on]
         return out
 
     def _put(self, rows: np.ndarray) -> None:
-        at = (rows[:, 0] >> U64(64 - self.bits)).astype(np.int64)
+        at = self._at(rows[:, 0], rows[:, 1])
         while len(rows):
             free = np.flatnonzero(self.slots[at, 2] == _NONE)
             own = free[np.unique(at[free], return_index=True)[1]]
@@ -121,16 +148,17 @@ class Stretches:
         if not len(starts):
             return np.zeros(0, U64)
         ends = np.append(starts[1:], len(data))
-        a, b = (Hasher(data, codes).spans(starts, ends) for codes in _CODES)
+        a, b = keys(data, starts, ends)
         if self.n > MOST:
             self._empty()
         out = self._find(a, b)
-        missing = np.flatnonzero(out == _NONE)
-        if len(missing):
-            own = missing[np.unique(a[missing], return_index=True)[1]]
-            raw = data.tobytes()
+        missing, raw = np.flatnonzero(out == _NONE), b""
+        while len(missing):
+            own = missing[np.unique(mix(mix(a[missing]) + b[missing]), return_index=True)[1]]
+            raw = raw or data.tobytes()
             self._add(a[own], b[own], *self.encode([raw[s:e].decode() for s, e in zip(starts[own].tolist(), ends[own].tolist())]))
             out[missing] = self._find(a[missing], b[missing])
+            missing = missing[out[missing] == _NONE]
         return out
 
     def numbers(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
