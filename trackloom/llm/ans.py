@@ -22,6 +22,7 @@ states u64[checkpoints][lanes]; stream u32[words]; crc32 u32.
 
 from __future__ import annotations
 
+import gc
 import struct
 import zlib
 from array import array
@@ -205,10 +206,10 @@ def _unplanes(raw: bytes) -> np.ndarray:
 
 
 class _Chunks:
-    """Gathers documents into chunks of about BLOCK_TOKENS ids, with counts of the ids; with `strict`, a chunk's document ids ascend."""
+    """Gathers documents into chunks of about BLOCK_TOKENS ids; with `strict`, a chunk's document ids ascend.  The last chunk has the counts of all ids."""
 
     def __init__(self, strict: bool):
-        self.strict, self.ids, self.parts, self.n = strict, [], [], 0
+        self.strict, self.ids, self.parts, self.n, self.counts = strict, [], [], 0, np.zeros(0, np.int64)
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
         if self.ids and (self.n >= BLOCK_TOKENS or self.strict and (doc_id is None or self.ids[-1] is None or doc_id <= self.ids[-1])):
@@ -217,11 +218,13 @@ class _Chunks:
         self.parts.append(ids)
         self.n += len(ids)
 
-    def flush(self) -> pa.RecordBatch:
+    def flush(self, last: bool = False) -> pa.RecordBatch:
         own = [x for x in self.ids if x is not None]
         ids = np.concatenate(self.parts) if self.parts else np.zeros(0, np.int64)
-        counts = np.bincount(ids)
-        symbols = np.flatnonzero(counts)
+        counts = np.bincount(ids, minlength=len(self.counts))
+        counts[: len(self.counts)] += self.counts
+        self.counts = counts
+        symbols = np.flatnonzero(counts) if last else []
         row = {
             "first_id": pa.array([own[0] if own else None], pa.int64()),
             "last_id": pa.array([own[-1] if own else None], pa.int64()),
@@ -231,7 +234,7 @@ class _Chunks:
             "lengths": pa.array([[len(x) for x in self.parts]], pa.list_(pa.int64())),
             "ids": pa.array([_planes(ids)], pa.binary()),
             "symbols": pa.array([symbols], pa.list_(pa.int32())),
-            "counts": pa.array([counts[symbols]], pa.list_(pa.int64())),
+            "counts": pa.array([counts[symbols] if last else []], pa.list_(pa.int64())),
         }
         self.ids, self.parts, self.n = [], [], 0
         return pa.RecordBatch.from_pydict(row)
@@ -243,6 +246,8 @@ def _tokenise(shared, end_id: int):
         if key not in _encoders:
             _encoders.clear()
             _encoders[key] = LibraryEncoder(shared.value)
+        # Millions of short-lived tokens and no cycles among them: the cycle collector would only look.
+        gc.disable()
         end = np.array([end_id], np.int32)
         chunks = _Chunks(strict=True)
         for batch in batches:
@@ -252,8 +257,9 @@ def _tokenise(shared, end_id: int):
                 own = _encoders[key].block(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 for k, ids in enumerate(own, i):
                     yield from chunks.add(doc_ids[k], np.concatenate([ids, end]))
+        gc.enable()
         if chunks.ids:
-            yield chunks.flush()
+            yield chunks.flush(last=True)
 
     return run
 
@@ -272,7 +278,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
             yield from chunks.add(doc_id, _unplanes(raw))
     if chunks.ids:
-        yield chunks.flush()
+        yield chunks.flush(last=True)
 
 
 def _encode_blocks(shared):
@@ -314,10 +320,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     with open(tokenizer_path, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    chunks = work.save(docs.mapInArrow(_tokenise(shared, end_id), _CHUNK), "chunks")
+    chunks = work.save(docs.mapInArrow(_tokenise(shared, end_id), _CHUNK), "chunks", "snappy")
     if not _apart(chunks):
         rows = chunks.select("doc_ids", "lengths", "ids").mapInArrow(_documents, "doc_id long, ids binary").repartitionByRange("doc_id", "ids").sortWithinPartitions("doc_id", "ids")
-        chunks = work.save(rows.mapInArrow(_gather, _CHUNK), "ordered")
+        chunks = work.save(rows.mapInArrow(_gather, _CHUNK), "ordered", "snappy")
         work.drop("chunks")
     pairs = chunks.select(F.explode(F.arrays_zip("symbols", "counts")).alias("x"))
     counts = pairs.groupBy(F.col("x.symbols").cast("long").alias("symbol")).agg(F.sum("x.counts").alias("n"))

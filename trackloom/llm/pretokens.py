@@ -184,7 +184,7 @@ def split(stretches: list[str]) -> tuple[list[str], np.ndarray]:
     """
     counts = np.zeros(len(stretches), np.int64)
     usual = [k for k, s in enumerate(stretches) if s[0] == " " and not s[-1].isspace()]
-    joined = [stretches[k] for k in usual]
+    joined = stretches if len(usual) == len(stretches) else [stretches[k] for k in usual]
     found = pieces("".join(joined))
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
     counts[usual] = np.diff(np.searchsorted(ends, np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined))), "left") + 1, prepend=0)
