@@ -42,6 +42,16 @@ def test_language_edge_cases(spark):
     assert langid.family_of("xx") == "only:xx" and langid.family_of("en-GB") == "germanic"
 
 
+def test_texts_shorter_than_an_n_gram(spark):
+    rows = [(k, text, lang) for k, (text, lang) in enumerate([("a", "en"), ("ab", "de"), ("abc", "fr"), ("é", "es"), ("the house", "en"), ("das haus", "de")])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    for n in range(1, len(rows) + 1):
+        assert langid.identify(docs.limit(n), model).count() == n
+    one_by_one = [langid.identify(docs.where(f"doc_id = {k}"), model).first()["lang_pred"] for k in range(len(rows))]
+    assert one_by_one == [r["lang_pred"] for r in langid.identify(docs, model).collect()]
+
+
 def toxic_rows(n, seed):
     r = random.Random(seed)
     out = []

@@ -59,7 +59,7 @@ def _grams(part: np.ndarray, ends: np.ndarray, order: int, bits: int) -> np.ndar
     folded = _FOLD[part].astype(np.uint32)
     n = len(part)
     key = np.zeros(n, np.uint32)
-    for k in range(order):
+    for k in range(min(order, n)):
         key[: n - k] = key[: n - k] * np.uint32(257) + folded[k:] + np.uint32(1)
     key *= np.uint32(0x9E3779B1)
     key ^= key >> np.uint32(15)
