@@ -28,9 +28,9 @@ def a7_weighted_majority(spark, sf):
     return A.majority(rows, ["user_id"], "event_type", F.col("w"))
 
 
-@query("SELECT s_nationkey, round(sum(s_acctbal * s_suppkey) / sum(s_suppkey), 6) AS mean FROM supplier GROUP BY s_nationkey")
+@query("SELECT s_nationkey, round(coalesce(sum(s_acctbal * s_suppkey) / nullif(sum(s_suppkey), 0), 0.0), 3) AS mean FROM supplier GROUP BY s_nationkey")
 def a13_weighted_mean(spark, sf):
-    return table(spark, sf, "supplier").groupBy("s_nationkey").agg(r6(A.weighted_mean("s_acctbal", "s_suppkey")).alias("mean"))
+    return table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.round(A.weighted_mean("s_acctbal", "s_suppkey"), 3).alias("mean"))
 
 
 @query(f"WITH {EV} SELECT user_id, event_type, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS n_frames FROM ev GROUP BY ALL")
