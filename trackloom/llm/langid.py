@@ -76,22 +76,24 @@ def _features(bits: int):
     """Sparse n-gram counts of each text, for training."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = tc.buffers(batch.column("text"))
-            places, weights = [], []
-            for k in range(len(batch)):
-                part = data[offsets[k] : offsets[k + 1]]
-                ends = np.array([len(part)])
-                own_places, own_weights = [], []
-                for o, order in enumerate(ORDERS):
-                    counts = np.bincount(_grams(part, ends, order, bits), minlength=1)
-                    counts[0] = 0
-                    at = np.flatnonzero(counts)
-                    own_places.append((at + (o << bits)).astype(np.int32))
-                    own_weights.append((counts[at] / max(1, len(part))).astype(np.float32))
-                places.append(np.concatenate(own_places))
-                weights.append(np.concatenate(own_weights))
-            yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "places": pa.array(places, pa.list_(pa.int32())), "weights": pa.array(weights, pa.list_(pa.float32()))})
+        for whole in batches:
+            for first in range(0, len(whole), 64):
+                batch = whole.slice(first, 64)
+                data, offsets = tc.buffers(batch.column("text"))
+                places, weights = [], []
+                for k in range(len(batch)):
+                    part = data[offsets[k] : offsets[k + 1]]
+                    ends = np.array([len(part)])
+                    own_places, own_weights = [], []
+                    for o, order in enumerate(ORDERS):
+                        counts = np.bincount(_grams(part, ends, order, bits), minlength=1)
+                        counts[0] = 0
+                        at = np.flatnonzero(counts)
+                        own_places.append((at + (o << bits)).astype(np.int32))
+                        own_weights.append((counts[at] / max(1, len(part))).astype(np.float32))
+                    places.append(np.concatenate(own_places))
+                    weights.append(np.concatenate(own_weights))
+                yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "places": pa.array(places, pa.list_(pa.int32())), "weights": pa.array(weights, pa.list_(pa.float32()))})
 
     return run
 
