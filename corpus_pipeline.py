@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near duplicates; others stay."""
-    gone = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    """The document of least id of each group of near duplicates (similarity 0.8 or more); others stay."""
+    gone = neardup.near_duplicates(docs, share=80).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

@@ -1,19 +1,20 @@
 """Near-duplicate detection: MinHash with tensored banding and exact verification.
 
 A document's set is its distinct runs of five words.  Two small collections of
-hashes, A and B, are computed: each holds HALVES keys made of ROWS minhashes.
-The HALVES * HALVES table keys are the pairs (A_i, B_j), so that many tables cost
-only 2 * HALVES * ROWS minhashes.  Two sets are candidates if they share a table
+hashes, A and B, are computed: each holds `halves` keys made of ROWS minhashes.
+The halves * halves table keys are the pairs (A_i, B_j), so that many tables cost
+only 2 * halves * ROWS minhashes.  Two sets are candidates if they share a table
 key, that is some A_i and some B_j; at similarity s a link is missed with
-probability 1 - (1 - (1 - s**ROWS)**HALVES)**2 (at 0.85: 1.1e-5 with ROWS 2 and
-HALVES 9).
+probability 1 - (1 - (1 - s**ROWS)**halves)**2.  The number of halves is the least
+that keeps this at MISS or below at the threshold asked for (`half_count`: 9 at 0.85,
+missing 1.95e-5; 12 at 0.8, missing 9.5e-6).
 
 Exact copies collapse first: documents with equal sets are one class.  Classes
 that share a table key with another class are verified on their full sets.  The
 sets travel once per shared A_i rather than once per table; within such a group,
 pairs that share no B_j, whose sizes rule a link out, or whose signatures agree
-in under AGREE of SIGNATURE places (a link does so with probability below 1e-8)
-are passed over, and each pair is taken in its first shared A_i only.  A group
+in fewer of SIGNATURE places than `least_agreement` asks (a link at the threshold
+does so with probability below FILTER_MISS) are passed over, and each pair is taken in its first shared A_i only.  A group
 larger than a block is dealt out as pairs of blocks, so that no task gathers it
 whole; a block returns the links that join its parts (a spanning forest), never
 all pairs.  Links of all blocks give components.
@@ -22,6 +23,7 @@ all pairs.  Links of all blocks give components.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,17 +35,41 @@ from . import textcore as tc
 from .components import components
 from .scratch import Scratch
 
-ROWS, HALVES, SIGNATURE, AGREE = 2, 9, 64, 36
+ROWS, SIGNATURE = 2, 64
+#: Greatest probabilities that the tables and the signature filter miss a link at the threshold.
+MISS, FILTER_MISS = 2e-5, 1e-8
 BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
 _A = tc._random_words("minhash-a", SIGNATURE) | tc.U64(1)
 _B = tc._random_words("minhash-b", SIGNATURE)
 
 
-def _half_keys(signature: np.ndarray, first: int) -> np.ndarray:
-    """HALVES keys of ROWS minhashes each, from column `first` on."""
-    keys = np.zeros((len(signature), HALVES), tc.U64)
+def half_count(share: int) -> int:
+    """Half keys a collection that keep the tables' miss at similarity share / 100 at MISS or below."""
+    for n in range(1, SIGNATURE // (2 * ROWS) + 1):
+        if 1 - (1 - (1 - (share / 100) ** ROWS) ** n) ** 2 <= MISS:
+            return n
+    raise ValueError(f"{SIGNATURE} minhashes are too few for a share of {share}")
+
+
+def least_agreement(share: int) -> int:
+    """Equal signature places below which a pair at similarity share / 100 falls with probability under FILTER_MISS."""
+    s, below = share / 100, 0.0
+    for n in range(SIGNATURE):
+        below += math.comb(SIGNATURE, n) * s**n * (1 - s) ** (SIGNATURE - n)
+        if below >= FILTER_MISS:
+            return n
+    return SIGNATURE
+
+
+#: Half keys at op9's threshold.
+HALVES = half_count(85)
+
+
+def _half_keys(signature: np.ndarray, first: int, n: int) -> np.ndarray:
+    """`n` keys of ROWS minhashes each, from column `first` on."""
+    keys = np.zeros((len(signature), n), tc.U64)
     for r in range(ROWS):
-        keys = tc.mix(keys + signature[:, first + r : first + ROWS * HALVES : ROWS])
+        keys = tc.mix(keys + signature[:, first + r : first + ROWS * n : ROWS])
     return keys
 
 
@@ -52,16 +78,18 @@ def _lists(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(values).view(np.int64).ravel()))
 
 
-def _fingerprints(size: int, seeds: bool):
+def _fingerprints(size: int, n: int):
+    """With `n` half keys a collection and a signature, or with the full sets where n is 0."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column("text")
             for i, j, values, bounds in tc.document_shingles(text, size):
                 sets = [np.unique(values[bounds[k] : bounds[k + 1]]) for k in range(j - i)]
                 out = {"doc_id": batch.column("doc_id")[i:j], "n_shingles": pa.array([len(x) for x in sets], pa.int64()), "digest": pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary())}
-                if seeds:
+                if n:
                     signature = tc.minima(values, bounds, _A, _B)
-                    out |= {"a": _lists(_half_keys(signature, 0)), "b": _lists(_half_keys(signature, ROWS * HALVES))}
+                    out |= {"a": _lists(_half_keys(signature, 0, n)), "b": _lists(_half_keys(signature, ROWS * n, n))}
                     short = np.ascontiguousarray((signature >> tc.U64(32)).astype("<u4"))
                     out["signature"] = pa.array([x.tobytes() for x in short], pa.binary())
                 else:
@@ -93,6 +121,7 @@ def _forest(rows: dict, level: int, share: int) -> list[tuple[int, int]]:
     side = np.array(part)
     two = len(set(part)) > 1
     sets = [np.frombuffer(x, "<u8") for x in rows["shingles"]]
+    enough = least_agreement(share)
     parent = list(range(n))
 
     def root(x: int) -> int:
@@ -114,7 +143,7 @@ def _forest(rows: dict, level: int, share: int) -> list[tuple[int, int]]:
             continue
         agree = (signature[x + 1 + near] == signature[x]).sum(1)
         for k in np.argsort(-agree, kind="stable"):
-            if agree[k] < AGREE:
+            if agree[k] < enough:
                 break
             z = int(near[k]) + x + 1
             p, q = root(x), root(z)
@@ -181,8 +210,9 @@ def near_duplicates(docs: DataFrame, share: int = 85, size: int = 5, id_col: str
     """
     spark = docs.sparkSession
     work = Scratch(spark, "neardup")
+    n = half_count(share)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prints = work.save(docs.mapInArrow(_fingerprints(size, True), "doc_id long, n_shingles long, digest binary, a array<long>, b array<long>, signature binary"), "prints")
+    prints = work.save(docs.mapInArrow(_fingerprints(size, n), "doc_id long, n_shingles long, digest binary, a array<long>, b array<long>, signature binary"), "prints")
 
     classes = prints.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), *(F.any_value(c).alias(c) for c in ("n_shingles", "a", "b", "signature")))
     classes = work.save(classes.withColumn("vid", F.monotonically_increasing_id()), "classes")
@@ -193,14 +223,14 @@ def near_duplicates(docs: DataFrame, share: int = 85, size: int = 5, id_col: str
         keys = near.select("vid", F.posexplode(half).alias("i", "key"))
         near = near.join(keys.join(_shared(keys, "i", "key"), ["i", "key"]).select("vid").distinct(), "vid", "left_semi")
     near = work.save(near, "near")
-    pair = F.explode(F.expr(f"flatten(transform(a, (x, i) -> transform(b, (y, j) -> xxhash64(x, y, i * {HALVES} + j))))")).alias("key")
+    pair = F.explode(F.expr(f"flatten(transform(a, (x, i) -> transform(b, (y, j) -> xxhash64(x, y, i * {n} + j))))")).alias("key")
     tables = near.select("vid", pair)
     live = work.save(tables.join(_shared(tables, "key"), "key").select("vid").distinct(), "live")
 
     # Full sets of the candidates, one document of each class.
     wanted = classes.join(live, "vid", "left_semi").select("vid", "digest", F.col("first_id").alias("doc_id"))
     texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_fingerprints(size, False), "doc_id long, n_shingles long, digest binary, shingles binary").select("doc_id", "digest", "shingles")
+    sets = texts.mapInArrow(_fingerprints(size, 0), "doc_id long, n_shingles long, digest binary, shingles binary").select("doc_id", "digest", "shingles")
     sets = work.save(sets.join(wanted, ["doc_id", "digest"]).dropDuplicates(["vid"]).select("vid", "shingles"), "sets")
 
     facts = classes.join(live, "vid", "left_semi").select("vid", "n_shingles", "a", "b", "signature")
