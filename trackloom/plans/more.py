@@ -58,6 +58,10 @@ def c13_components(spark, sf):
     return graph.components(pairs.feature_pairs(rows, ["label"], "vec_id", "embedding", 0.25), "member_1", "member_2")
 
 
+@query()
+def c13_components_whole(spark, sf):
+    """As c13_components, over the whole table."""
+    return graph.components(pairs.feature_pairs(table(spark, sf, "embeddings"), ["label"], "vec_id", "embedding", 0.25), "member_1", "member_2")
 
 
 @query(f"{_PAIR} SELECT frame, gt, tr, inter AS area, round(inter / aa, 6) AS ioa FROM p WHERE inter > 0")
@@ -140,9 +144,9 @@ def c14_representatives(spark, sf):
 
 
 def _scene(spark, sf):
-    """Twelve tracks over three cameras: users by number, points by frame, vectors by label."""
-    rows = trk(spark, sf).where("user_id < 60").select(F.lit(1).alias("scene"), (F.col("user_id") % 3).alias("camera"), F.expr("user_id div 3").alias("local_id"), "frame", F.expr("cast((user_id div 3) * 10 + event_id % 2 as double)").alias("x"), F.expr("cast(frame % 50 as double)").alias("y"))
-    looks = table(spark, sf, "embeddings").where("vec_id < 60").select(F.lit(1).alias("scene"), (F.col("vec_id") % 3).alias("camera"), F.expr("vec_id div 3").alias("local_id"), F.col("embedding").alias("vector"))
+    """All tracks over three cameras: users by number, points by frame, vectors by label."""
+    rows = trk(spark, sf).select(F.lit(1).alias("scene"), (F.col("user_id") % 3).alias("camera"), F.expr("user_id div 3").alias("local_id"), "frame", F.expr("cast((user_id div 3) * 10 + event_id % 2 as double)").alias("x"), F.expr("cast(frame % 50 as double)").alias("y"))
+    looks = table(spark, sf, "embeddings").select(F.lit(1).alias("scene"), (F.col("vec_id") % 3).alias("camera"), F.expr("vec_id div 3").alias("local_id"), F.col("embedding").alias("vector"))
     return rows, looks
 
 
@@ -158,13 +162,13 @@ def c16_global_identities(spark, sf):
 
 @query()
 def c18_reranked(spark, sf):
-    rows = table(spark, sf, "embeddings").where("vec_id < 200")
+    rows = table(spark, sf, "embeddings")
     return retrieval.jaccard_rerank(pairs.neighbours(rows, rows, "vec_id", "vec_id", "embedding", 30).select(F.col("q").alias("a"), F.col("g").alias("b"), "rank", "distance"), 10, 4)
 
 
 @query()
 def c20_propagated(spark, sf):
-    rows = table(spark, sf, "embeddings").where("vec_id < 200")
+    rows = table(spark, sf, "embeddings")
     near = pairs.neighbours(rows, rows, "vec_id", "vec_id", "embedding", 8).select(F.col("q").alias("a"), F.col("g").alias("b"), "rank", "distance")
     return retrieval.propagated(near, rows.select(F.col("vec_id").alias("id"), "embedding"), "embedding", 8)
 
