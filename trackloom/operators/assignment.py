@@ -165,6 +165,27 @@ def dbscan(distance: np.ndarray, reach: float, least: int) -> np.ndarray:
     return label
 
 
+def dbscan_vectors(v: np.ndarray, reach: float, least: int, cells: int = 4_000_000) -> np.ndarray:
+    """`dbscan` by cosine distance, in blocks of rows of at most `cells` distances; the whole matrix is never held."""
+    n = len(v)
+    step = max(1, cells // max(n, 1))
+    core = np.concatenate([(1 - cosine_matrix(v[i : i + step], v) <= reach).sum(1) >= least for i in range(0, n, step)] or [np.zeros(0, bool)])
+    label = np.full(n, -1)
+    count = 0
+    for i in np.flatnonzero(core):
+        if label[i] >= 0:
+            continue
+        label[i] = count
+        todo = [i]
+        while todo:
+            some, todo = todo[:step], todo[step:]
+            fresh = np.flatnonzero((1 - cosine_matrix(v[some], v) <= reach).any(0) & (label < 0))
+            label[fresh] = count
+            todo += fresh[core[fresh]].tolist()
+        count += 1
+    return label
+
+
 def noise_as_singletons(label: np.ndarray) -> np.ndarray:
     """Each noise point becomes a cluster of its own, after the others."""
     out = np.array(label)
