@@ -163,7 +163,7 @@ def c16_global_identities(spark, sf):
 @query()
 def c18_reranked(spark, sf):
     rows = table(spark, sf, "embeddings")
-    return retrieval.jaccard_rerank(pairs.neighbours(rows, rows, "vec_id", "vec_id", "embedding", 30).select(F.col("q").alias("a"), F.col("g").alias("b"), "rank", "distance"), 10, 4)
+    return retrieval.jaccard_rerank(pairs.neighbours(rows, rows, "vec_id", "vec_id", "embedding", 30).select(F.col("q").alias("a"), F.col("g").alias("b"), "rank", "distance"), 10, 4, vectors=rows.select(F.col("vec_id").alias("id"), "embedding"))
 
 
 @query()
