@@ -42,3 +42,20 @@ def test_every_vector_has_a_result(spark, small, name, column):
 def test_every_track_has_an_identity(spark, small):
     got = plans.QUERIES["c16_global_identities"](spark, small[0]).collect()
     assert sorted((r["camera"], r["local_id"]) for r in got) == sorted((u % 3, u // 3) for u in range(70))
+
+
+def test_every_vector_is_an_anchor(spark, small):
+    at, cosine = small
+    got = {r["a"]: (r["hardest_positive"], r["hardest_negative"]) for r in plans.QUERIES["c23_hardest_whole"](spark, at).collect()}
+    same = np.arange(240)[:, None] % 3 == np.arange(240)[None] % 3
+    own = same & ~np.eye(240, dtype=bool)
+    assert sorted(got) == list(range(240))
+    for a in range(240):
+        assert got[a] == pytest.approx(((1 - cosine[a][own[a]]).max(), (1 - cosine[a][~same[a]]).min()), abs=2e-6)
+
+
+def test_every_vector_is_in_a_set_and_every_track_in_pairs(spark, small):
+    sets = plans.QUERIES["j12_topk_pair_mean_whole"](spark, small[0]).collect()
+    assert len(sets) == 9 and all(r["n_1"] == 40 and r["n_2"] == 40 for r in sets)
+    found = plans.QUERIES["j7_positional_distance_whole"](spark, small[0]).select("id_1", "id_2").collect()
+    assert sorted(map(tuple, found)) == [(a, b) for a in range(70) for b in range(a + 1, 70)]

@@ -291,6 +291,12 @@ def j3_nearest_gt(spark, sf):
     return pairs.nearest(gt, tr, ["frame"], "gt", "tr", ["x1", "y1"]).withColumn("distance", r6("distance"))
 
 
+@query()
+def j7_positional_distance_whole(spark, sf):
+    """As j7_positional_distance, over all tracks."""
+    return pairs.positional_distance(trk(spark, sf), "user_id", "frame", ["x1", "y1"]).withColumn("distance", r6("distance"))
+
+
 @query(f"WITH {TRK}, n AS (SELECT user_id, count(*) AS n FROM trk GROUP BY user_id), s AS (SELECT a.user_id AS id_1, b.user_id AS id_2, count(*) AS n_shared FROM trk a JOIN trk b ON a.frame = b.frame AND a.user_id < b.user_id GROUP BY ALL) SELECT id_1, id_2, n_shared, x.n AS n_1, y.n AS n_2, n_shared / least(x.n, y.n) AS ratio FROM s JOIN n x ON x.user_id = id_1 JOIN n y ON y.user_id = id_2")
 def j5_pair_overlap(spark, sf):
     return pairs.overlap_ratio(trk(spark, sf).select("frame", "user_id"), "frame", "user_id")
@@ -334,6 +340,14 @@ def j12_topk_pair_mean(spark, sf):
     return out.withColumn("mean_of_top", r6("mean_of_top"))
 
 
+@query()
+def j12_topk_pair_mean_whole(spark, sf):
+    """As j12_topk_pair_mean, with every vector on one side: even ids left, odd ids right."""
+    rows = table(spark, sf, "embeddings")
+    out = pairs.set_similarity(rows.where("vec_id % 2 = 0"), rows.where("vec_id % 2 <> 0"), [], "label", "label", "embedding", 5, 0.3)
+    return out.withColumn("mean_of_top", r6("mean_of_top"))
+
+
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def j15_anti(spark, sf):
     orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
@@ -455,8 +469,18 @@ def c19_query_expansion(spark, sf):
 
 @query(f"WITH {_EMB}, d AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, 1 - list_cosine_similarity(a.v, b.v) AS x FROM e a, e b WHERE a.vec_id % 10 = 0 AND a.vec_id <> b.vec_id) SELECT a, round(max(x) FILTER (same), 6) AS hardest_positive, round(min(x) FILTER (NOT same), 6) AS hardest_negative FROM d GROUP BY a")
 def c23_hardest(spark, sf):
+    return _hardest(spark, sf, "vec_id % 10 = 0")
+
+
+@query()
+def c23_hardest_whole(spark, sf):
+    """As c23_hardest, with every vector as an anchor."""
+    return _hardest(spark, sf, "true")
+
+
+def _hardest(spark, sf, anchors):
     rows = table(spark, sf, "embeddings")
-    a = rows.where("vec_id % 10 = 0").select(F.col("vec_id").alias("a"), F.col("label").alias("la"), F.col("embedding").alias("ea"))
+    a = rows.where(anchors).select(F.col("vec_id").alias("a"), F.col("label").alias("la"), F.col("embedding").alias("ea"))
     b = rows.select(F.col("vec_id").alias("b"), F.col("label").alias("lb"), F.col("embedding").alias("eb"))
     found = a.crossJoin(b).select("a", "b", (F.col("la") == F.col("lb")).cast("int").alias("same"), (1 - V.cosine(F.col("ea"), F.col("eb"))).alias("distance"))
     return retrieval.hardest(found).select("a", r6("hardest_positive").alias("hardest_positive"), r6("hardest_negative").alias("hardest_negative"))
