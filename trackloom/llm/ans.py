@@ -172,11 +172,15 @@ class LibraryEncoder:
         self.specials = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.stretches = Stretches(Pieces(self._pieces))
 
-    def _pieces(self, own: list[str]) -> list[bytes]:
+    def _pieces(self, own: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # 0xFF is in no UTF-8 text, so its symbol can stand between pieces.
-        shown = b"\xff".join(x.encode() for x in own).decode("latin-1").translate(_SYMBOLS).split(_SYMBOLS[0xFF])
-        tokenise = self.model.tokenize
-        return [array("i", [t.id for t in tokenise(x)]).tobytes() for x in shown]
+        shown = b"\xff".join([x.encode() for x in own]).decode("latin-1").translate(_SYMBOLS).split(_SYMBOLS[0xFF])
+        tokenise, flat, counts = self.model.tokenize, array("i"), array("q")
+        for x in shown:
+            tokens = tokenise(x)
+            counts.append(len(tokens))
+            flat.extend([t.id for t in tokens])
+        return np.frombuffer(flat, np.int32), np.frombuffer(counts, np.int64)
 
     def block(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """Ids of each text of a block."""

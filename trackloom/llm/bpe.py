@@ -177,7 +177,11 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.stretches = Stretches(Pieces(lambda own: vocabulary.encode_words([x.encode() for x in own])))
+        self.stretches = Stretches(Pieces(self._pieces))
+
+    def _pieces(self, own: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.vocabulary.encode_words([x.encode() for x in own])
+        return np.frombuffer(b"".join(ids), "<i4"), np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
 
     def block(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """Little-endian 32-bit ids of each text of a block."""

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textcore as tc
-from .pretokens import CONTRACTIONS, Stretches, cuts, pieces, split
+from .pretokens import CONTRACTIONS, Pieces, Stretches, cuts, pieces
 
 
 def byte_symbols() -> list[str]:
@@ -182,7 +182,7 @@ class Counter:
 
     def __init__(self, merges: list[tuple[bytes, bytes]], specials: list[str]):
         self.grammar, self.specials = Grammar(merges), specials
-        self.stretches = Stretches(self._stretch_totals)
+        self.stretches = Stretches(Pieces(self._pieces))
         self._totals: dict[str, int] = {}
 
     def _piece_total(self, piece: str) -> int:
@@ -193,12 +193,13 @@ class Counter:
             known = self._totals[piece] = self.grammar.counts(piece.encode())[-1]
         return known
 
-    def _stretch_totals(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        own, counts = split(stretches)
-        distinct = sorted({p.encode() for p in own})
-        of = {x.decode(): n for x, n in zip(distinct, self.grammar.totals(distinct))}
-        totals = np.fromiter(map(of.__getitem__, own), np.int64, len(own))
-        return np.add.reduceat(totals, np.cumsum(counts) - counts), np.ones(len(stretches), np.int64)
+    def _pieces(self, own: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each piece; pieces are gone through in order, so that those with a common prefix share its work."""
+        raw = [p.encode() for p in own]
+        order = sorted(range(len(raw)), key=raw.__getitem__)
+        out = np.empty(len(raw), np.int64)
+        out[order] = self.grammar.totals([raw[k] for k in order])
+        return out, np.ones(len(raw), np.int64)
 
     def prefixes(self, text: str) -> np.ndarray:
         """Tokens of text[:p] for p from 0 to len(text)."""
@@ -261,9 +262,9 @@ class Counter:
 
     def block(self, data: np.ndarray, offsets: np.ndarray, limits: list[int]) -> tuple[np.ndarray, list[np.ndarray]]:
         """Totals of the texts of a block, and for each limit the longest prefixes within it, in code points."""
-        starts, bounds = cuts(data, offsets)
-        tokens = self.stretches.numbers(self.stretches.places(data, starts))[0].astype(np.int64)
-        sums = np.concatenate([[0], np.cumsum(tokens)])
+        starts, bounds, mixed = cuts(data, offsets)
+        numbers, ends = self.stretches.numbers(self.stretches.places(data, starts, mixed))
+        sums = np.concatenate([[0], np.cumsum(numbers)])[ends]
         totals = sums[bounds[1:]] - sums[bounds[:-1]]
         # Code points: bytes that do not go on with a character.
         points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])

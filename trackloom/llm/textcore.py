@@ -43,25 +43,19 @@ IS_WORD = ~_SPACE
 #: Letters for word features: ASCII letters and every byte of a non-ASCII character.
 IS_LETTER = np.zeros(256, bool)
 IS_LETTER[ord("A") : ord("Z") + 1] = IS_LETTER[ord("a") : ord("z") + 1] = IS_LETTER[0x80:] = True
-_LOWER = np.arange(256)
-_LOWER[ord("A") : ord("Z") + 1] += 32
-LOWER = _LOWER.astype(np.uint8)
-_BYTE_CODE = _random_words("byte", 256)[_LOWER]
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
 _SHINGLE_CODE = _random_words("shingle", 64) | U64(1)
-_BASE = U64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
+_LENGTH_CODE = _random_words("length", 1)[0] | U64(1)
+#: Longest span whose bytes enter its hash as numbers.
+_DIRECT = 16
+_FIRST = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(_DIRECT + 1)], U64)
+_SECOND = np.array([(1 << 8 * max(0, n - 8)) - 1 for n in range(_DIRECT + 1)], U64)
 
 
-def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        out = np.full(max(n, BLOCK_BYTES), base, dtype=U64)
-        out[0] = 1
-        have = np.cumprod(out, dtype=U64)
-        if n <= 8 * BLOCK_BYTES:
-            _powers[name] = have
-    return have[:n]
+def eights(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one little-endian number; `padded` goes on for as many beyond the last place."""
+    return np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))[at]
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,24 +100,20 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = IS_WO
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-class Hasher:
-    """64-bit hashes of byte spans of one block; with the usual byte codes A-Z counts as a-z."""
-
-    def __init__(self, data: np.ndarray, codes: np.ndarray = _BYTE_CODE):
-        self.sums = np.empty(len(data) + 1, U64)
-        self.sums[0] = 0
-        np.cumsum(codes[data] * _power("up", _BASE, len(data)), dtype=U64, out=self.sums[1:])
-
-    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        raw = self.sums[ends] - self.sums[starts]
-        if len(starts):
-            raw *= _power("down", _BASE_INVERSE, int(starts[-1]) + 1)[starts]
-        return mix(raw + (ends - starts).astype(U64))
-
-
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span (starts ascend), A-Z counted as a-z."""
-    return Hasher(data).spans(starts, ends)
+    """64-bit hash of each byte span, A-Z counted as a-z: mixed from the bytes themselves, of spans over 16 bytes by BLAKE2."""
+    padded = np.zeros(len(data) + _DIRECT, np.uint8)
+    np.take(LOWER, data, out=padded[: len(data)])
+    length = ends - starts
+    cut = np.minimum(length, _DIRECT)
+    out = eights(padded, starts) & _FIRST[cut]
+    out += length.astype(U64) * _LENGTH_CODE
+    out = mix(out)
+    longer = np.flatnonzero(length > 8)
+    out[longer] = mix(out[longer] + (eights(padded, starts[longer] + 8) & _SECOND[cut[longer]]))
+    for k in longer[length[longer] > _DIRECT].tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(padded[starts[k] : ends[k]].data, digest_size=8).digest(), "little")
+    return out
 
 
 def word_hash(word: str) -> int:

@@ -57,9 +57,8 @@ class Words:
 
     def __init__(self, part: np.ndarray, offsets: np.ndarray):
         starts, ends, bounds = tc.word_spans(part, offsets, tc.IS_LETTER)
-        hasher = tc.Hasher(part)
-        whole = hasher.spans(starts, ends)
-        stem = hasher.spans(starts, np.minimum(ends, starts + STEM))
+        whole = tc.span_hashes(part, starts, ends)
+        stem = tc.span_hashes(part, starts, np.minimum(ends, starts + STEM))
         n, pad = len(bounds) - 1, max(WIDTHS) - 1
         self.lengths = np.maximum(np.diff(bounds), 1)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths + pad)])
