@@ -13,7 +13,8 @@ A frame stands alone.  Its ids are dealt round robin to LANES coders that share
 stream of 32-bit words; all lanes take a step together in numpy.  States are 64
 bits wide and renormalise at most once a step.  Every CHECKPOINT_STEPS steps the
 frame holds the lanes' states and the place in the stream, so decoding can begin
-at any checkpoint, in parallel; a crc32 over the frame guards it.
+at any checkpoint: a frame's stretches between checkpoints are decoded side by side,
+as rows of one matrix of states.  A crc32 over the frame guards it.
 
 Layout (little-endian): magic 4s, version u16, precision u16, lanes u32, steps per
 checkpoint u32, ids u64, checkpoints u32, words u64; places u64[checkpoints];
@@ -36,10 +37,12 @@ from pyspark.sql import functions as F
 from . import textcore as tc
 from .prefix_counts import byte_symbols
 from .pretokens import Pieces, Stretches
-from .scratch import Scratch
+from .scratch import BROADCAST_ROWS, Scratch
 
 MAGIC, VERSION = b"TLRA", 1
-LANES, CHECKPOINT_STEPS, BLOCK_TOKENS = 4096, 128, 1 << 20
+LANES, CHECKPOINT_STEPS, BLOCK_TOKENS = 1024, 128, 1 << 20
+#: Ids after which a chunk may end where document ids descend.
+LEAST_TOKENS = BLOCK_TOKENS // 16
 _HEAD = struct.Struct("<4sHHIIQIQ")
 _LOW = np.uint64(1 << 31)
 
@@ -75,7 +78,7 @@ class FrequencyTable:
     @property
     def slots(self) -> np.ndarray:
         if self._slots is None:
-            self._slots = np.repeat(np.arange(len(self.symbols)), self.frequencies.astype(np.int64))
+            self._slots = np.repeat(np.arange(len(self.symbols), dtype=np.int32), self.frequencies.astype(np.int64))
         return self._slots
 
 
@@ -114,8 +117,9 @@ def encode_frame(ids: np.ndarray, table: FrequencyTable) -> bytes:
     return body + struct.pack("<I", zlib.crc32(body))
 
 
-def decode_frame(frame: bytes, table: FrequencyTable, first: int = 0, last: int | None = None) -> np.ndarray:
+def decode_frame(frame: bytes | pa.Buffer, table: FrequencyTable, first: int = 0, last: int | None = None) -> np.ndarray:
     """The ids of a frame, or those from checkpoint `first` up to checkpoint `last`."""
+    frame = memoryview(frame)
     if len(frame) < _HEAD.size + 4 or frame[:4] != MAGIC:
         raise ValueError("not a token frame")
     if zlib.crc32(frame[:-4]) != struct.unpack("<I", frame[-4:])[0]:
@@ -129,27 +133,40 @@ def decode_frame(frame: bytes, table: FrequencyTable, first: int = 0, last: int
     last = marks if last is None else min(last, marks)
     if first >= last:
         return np.zeros(0, np.int64)
-    state = np.frombuffer(frame, "<u8", lanes, at + 8 * lanes * first).astype(np.uint64)
-    stream = np.frombuffer(frame, "<u4", words, at + 8 * lanes * marks).astype(np.uint64)
-    begin, end = first * every * lanes, min(n, last * every * lanes)
-    out = np.empty(end - begin, np.int64)
-    mask, bits = np.uint64((1 << precision) - 1), np.uint64(precision)
+    states = np.frombuffer(frame, "<u8", lanes * marks, at).astype(np.uint64).reshape(marks, lanes)
+    # One word more, as lanes that need none still look at a place.
+    stream = np.concatenate([np.frombuffer(frame, "<u4", words, at + 8 * lanes * marks), np.zeros(1, "<u4")])
+    each = every * lanes
+    begin, end = first * each, min(n, last * each)
+    whole = (end - begin) // each
+    out = np.empty(end - begin, np.int32)
+    _decode_rows(states[first : first + whole], places[first : first + whole].astype(np.int64), stream, table, out[: whole * each].reshape(whole, each))
+    if whole < last - first:
+        _decode_rows(states[first + whole : last], places[first + whole : last].astype(np.int64), stream, table, out[whole * each :].reshape(1, -1))
+    return table.symbols[out]
+
+
+def _decode_rows(state: np.ndarray, place: np.ndarray, stream: np.ndarray, table: FrequencyTable, out: np.ndarray) -> None:
+    """Fills each row of `out` with the symbols that follow a checkpoint; all rows take a step together."""
+    mask, bits = np.uint64((1 << table.precision) - 1), np.uint64(table.precision)
     slots, freq, start = table.slots, table.frequencies, table.starts
-    p, k = int(places[first]), 0
-    while k < len(out):
-        own = min(lanes, len(out) - k)
-        x = state[:own]
+    lanes, width = state.shape[1], out.shape[1]
+    for k in range(0, width, lanes):
+        own = min(lanes, width - k)
+        x = state[:, :own]
         slot = x & mask
         symbol = slots[slot.astype(np.int64)]
-        out[k : k + own] = symbol
+        out[:, k : k + own] = symbol
         x = freq[symbol] * (x >> bits) + slot - start[symbol]
-        low = np.flatnonzero(x < _LOW)
-        if len(low):
-            x[low] = (x[low] << np.uint64(32)) | stream[p : p + len(low)]
-            p += len(low)
-        state[:own] = x
-        k += own
-    return table.symbols[out]
+        row, lane = np.nonzero(x < _LOW)
+        if len(row):
+            # Lanes of a row take its words in their order.
+            taken = np.bincount(row, minlength=len(place))
+            before = np.cumsum(taken) - taken
+            word = stream[(place - before)[row] + np.arange(len(row))]
+            x[row, lane] = (x[row, lane] << np.uint64(32)) | word
+            place += taken
+        state[:, :own] = x
 
 
 # Texts to ids with the tokenizers library.
@@ -204,27 +221,40 @@ def _planes(ids: np.ndarray) -> bytes:
     return bytes([wide]) + ids.astype(f"<u{wide}").view(np.uint8).reshape(-1, wide).T.tobytes()
 
 
-def _unplanes(raw: bytes) -> np.ndarray:
-    wide = raw[0]
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, offset=1).reshape(wide, -1).T).view(f"<u{wide}").ravel().astype(np.int64)
+def _unplanes(raw) -> np.ndarray:
+    wide = memoryview(raw)[0]
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, offset=1).reshape(wide, -1).T).view(f"<u{wide}").ravel()
 
 
 class _Chunks:
-    """Gathers documents into chunks of about BLOCK_TOKENS ids; with `strict`, a chunk's document ids ascend.  The last chunk has the counts of all ids."""
+    """Gathers documents into chunks of about BLOCK_TOKENS ids, in order of document ids.
 
-    def __init__(self, strict: bool):
-        self.strict, self.ids, self.parts, self.n, self.counts = strict, [], [], 0, np.zeros(0, np.int64)
+    Where the ids of documents descend, a chunk that is large enough ends, so
+    that sorted files one after the other give chunks apart from each other;
+    in a smaller one the documents are sorted.  The last chunk has the counts
+    of all token ids.
+    """
+
+    def __init__(self) -> None:
+        self.ids, self.parts, self.n, self.ascends, self.counts = [], [], 0, True, np.zeros(0, np.int64)
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if self.ids and (self.n >= BLOCK_TOKENS or self.strict and (doc_id is None or self.ids[-1] is None or doc_id <= self.ids[-1])):
+        up = not self.ids or doc_id is not None and self.ids[-1] is not None and doc_id > self.ids[-1]
+        if self.n >= (BLOCK_TOKENS if up else LEAST_TOKENS):
             yield self.flush()
+        elif not up:
+            self.ascends = False
         self.ids.append(doc_id)
         self.parts.append(ids)
         self.n += len(ids)
 
     def flush(self, last: bool = False) -> pa.RecordBatch:
+        if not self.ascends:
+            keys = [(i is not None, i or 0, _planes(x)) for i, x in zip(self.ids, self.parts)]
+            order = sorted(range(len(keys)), key=keys.__getitem__)
+            self.ids, self.parts = [self.ids[k] for k in order], [self.parts[k] for k in order]
         own = [x for x in self.ids if x is not None]
-        ids = np.concatenate(self.parts) if self.parts else np.zeros(0, np.int64)
+        ids = np.concatenate(self.parts) if self.parts else np.zeros(0, np.int32)
         counts = np.bincount(ids, minlength=len(self.counts))
         counts[: len(self.counts)] += self.counts
         self.counts = counts
@@ -240,7 +270,7 @@ class _Chunks:
             "symbols": pa.array([symbols], pa.list_(pa.int32())),
             "counts": pa.array([counts[symbols] if last else []], pa.list_(pa.int64())),
         }
-        self.ids, self.parts, self.n = [], [], 0
+        self.ids, self.parts, self.n, self.ascends = [], [], 0, True
         return pa.RecordBatch.from_pydict(row)
 
 
@@ -250,48 +280,60 @@ def _tokenise(shared, end_id: int):
         if key not in _encoders:
             _encoders.clear()
             _encoders[key] = LibraryEncoder(shared.value)
+        end = np.array([end_id], np.int32)
+        chunks = _Chunks()
         # Millions of short-lived tokens and no cycles among them: the cycle collector would only look.
+        collects = gc.isenabled()
         gc.disable()
-        end = np.array([end_id], np.int32)
-        chunks = _Chunks(strict=True)
-        for batch in batches:
-            data, offsets = tc.buffers(batch.column("text"))
-            doc_ids = batch.column("doc_id").to_pylist()
-            for i, j in tc.blocks(offsets):
-                own = _encoders[key].block(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                for k, ids in enumerate(own, i):
-                    yield from chunks.add(doc_ids[k], np.concatenate([ids, end]))
-        gc.enable()
-        if chunks.ids:
-            yield chunks.flush(last=True)
+        try:
+            for batch in batches:
+                data, offsets = tc.buffers(batch.column("text"))
+                doc_ids = batch.column("doc_id").to_pylist()
+                for i, j in tc.blocks(offsets):
+                    own = _encoders[key].block(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    for k, ids in enumerate(own, i):
+                        yield from chunks.add(doc_ids[k], np.concatenate([ids, end]))
+            if chunks.ids:
+                yield chunks.flush(last=True)
+        finally:
+            if collects:
+                gc.enable()
 
     return run
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[pa.Scalar]]:
+    """The rows of all batches, one at a time: a row may hold megabytes."""
     for batch in batches:
-        for doc_ids, lengths, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_ids", "lengths", "ids"))):
-            at = np.concatenate([[0], np.cumsum(lengths)])
-            ids = _unplanes(raw)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array([_planes(ids[at[k] : at[k + 1]]) for k in range(len(doc_ids))], pa.binary())})
+        columns = [batch.column(c) for c in names]
+        for i in range(len(batch)):
+            yield [c[i] for c in columns]
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for doc_ids, lengths, raw in _rows(batches, "doc_ids", "lengths", "ids"):
+        at = np.concatenate([[0], np.cumsum(lengths.values.to_numpy())])
+        ids = _unplanes(raw.as_buffer())
+        yield pa.RecordBatch.from_pydict({"doc_id": doc_ids.values, "ids": pa.array([_planes(ids[i:j]) for i, j in zip(at.tolist(), at[1:].tolist())], pa.binary())})
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    chunks = _Chunks(strict=False)
-    for batch in batches:
-        for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
-            yield from chunks.add(doc_id, _unplanes(raw))
+    chunks = _Chunks()
+    for doc_id, raw in _rows(batches, "doc_id", "ids"):
+        yield from chunks.add(doc_id.as_py(), _unplanes(raw.as_buffer()).astype(np.int32))
     if chunks.ids:
         yield chunks.flush(last=True)
 
 
 def _encode_blocks(shared):
+    names = ["first_id", "last_id", "n_tokens", "doc_ids", "lengths"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = FrequencyTable(*shared.value)
         for batch in batches:
-            frames = [encode_frame(_unplanes(x), table) for x in batch.column("ids").to_pylist()]
-            names = ["first_id", "last_id", "n_tokens", "doc_ids", "lengths"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(frames, pa.binary())], names=[*names, "frame"])
+            for i in range(len(batch)):
+                frame = encode_frame(_unplanes(batch.column("ids")[i].as_buffer()), table)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[i : i + 1] for c in names), pa.array([frame], pa.binary())], names=[*names, "frame"])
 
     return run
 
@@ -343,28 +385,26 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 def _read(shared, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = FrequencyTable(*shared.value)
-        for batch in batches:
-            cols = (batch.column(c).to_pylist() for c in ("begin", "doc_ids", "lengths", "frame"))
-            for begin, doc_ids, lengths, frame in zip(*cols):
-                raw = memoryview(decode_frame(frame, table).astype("<u4").tobytes())
-                at = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-                parts = [raw[4 * i : 4 * j] for i, j in zip(at.tolist(), at[1:].tolist())]
-                out = {"doc_id": pa.array(doc_ids, pa.int64()), "start": pa.array(begin + at[:-1], pa.int64()), "n_tokens": pa.array(lengths, pa.int64()), "ids_crc32": pa.array(map(zlib.crc32, parts), pa.int64())}
-                if with_ids:
-                    out["ids"] = pa.array(map(bytes, parts), pa.binary())
-                yield pa.RecordBatch.from_pydict(out)
+        for begin, doc_ids, lengths, frame in _rows(batches, "begin", "doc_ids", "lengths", "frame"):
+            raw = memoryview(decode_frame(frame.as_buffer(), table).astype("<u4").tobytes())
+            at = np.concatenate([[0], np.cumsum(lengths.values.to_numpy())])
+            parts = [raw[4 * i : 4 * j] for i, j in zip(at.tolist(), at[1:].tolist())]
+            out = {"doc_id": doc_ids.values, "start": pa.array(begin.as_py() + at[:-1], pa.int64()), "n_tokens": lengths.values, "ids_crc32": pa.array(map(zlib.crc32, parts), pa.int64())}
+            if with_ids:
+                out["ids"] = pa.array(map(bytes, parts), pa.binary())
+            yield pa.RecordBatch.from_pydict(out)
 
     return run
 
 
 def _begins(blocks: DataFrame) -> DataFrame:
-    """(first_id, last_id, doc_ids) of each block with `begin`: the ids of all blocks before it."""
+    """(place, begin) of each block, `begin` being the ids of all blocks before it; to be broadcast where blocks are few."""
     spark = blocks.sparkSession
     key = ["first_id", "last_id", "n_tokens", "tie"]
     facts = blocks.select("first_id", "last_id", "n_tokens", F.xxhash64("doc_ids", "lengths", "frame").alias("tie"), "place")
     # Written, because the ranges of a second run may differ.
     facts = Scratch(spark, "token-starts").save(facts.repartitionByRange(*key).withColumn("part", F.spark_partition_id()), "facts")
-    sums = facts.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.min(F.struct(*key)).alias("first")).collect()
+    sums = facts.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("blocks"), F.min(F.struct(*key)).alias("first")).collect()
     sums.sort(key=lambda x: tuple((v is not None, v) for v in x["first"]))
     total, before = 0, []
     for x in sums:
@@ -372,7 +412,8 @@ def _begins(blocks: DataFrame) -> DataFrame:
         total += x["n"]
     offsets = F.create_map(*[F.lit(v) for pair in before for v in pair]) if before else F.create_map(F.lit(0), F.lit(0))
     inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy(*key).rowsBetween(Window.unboundedPreceding, -1))
-    return facts.select("place", (F.coalesce(inside, F.lit(0)) + offsets[F.col("part")]).alias("begin"))
+    begins = facts.select("place", (F.coalesce(inside, F.lit(0)) + offsets[F.col("part")]).alias("begin"))
+    return F.broadcast(begins) if sum(x["blocks"] for x in sums) <= BROADCAST_ROWS else begins
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
