@@ -21,23 +21,24 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hung.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, rows: int | None = None) -> DataFrame:
     """(node, root) for every node that is in an edge; the root is the least node of its component.
 
     `edges` has two columns of one orderable type, taken in order; loops and
     repeated edges are allowed.  Both steps are grouped minima and equi-joins,
     so a hub with many edges is pre-aggregated or split, and each round is
-    written to the shared folder.
+    written to the shared folder.  `rows` says about how many edges there are, if
+    that is known.
     """
     u, v = edges.columns
-    state = scratch.save(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").distinct(), "star-0")
+    state = scratch.save(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").distinct(), "star-0", rows=rows, least=1)
     mark, k = None, 0
     while True:
         now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if k:
+            scratch.drop(f"star-{k - 1}")
         if now[0] == 0 or now == mark:
             break
         mark, k = now, k + 1
-        state = scratch.save(_small_star(_large_star(state)), f"star-{k}")
-        if k > 1:
-            scratch.drop(f"star-{k - 2}")
+        state = scratch.save(_small_star(_large_star(state)), f"star-{k}", rows=2 * now[0], least=1)
     return state.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -10,14 +10,16 @@ that keeps this at MISS or below at the threshold asked for (`half_count`: 9 at
 missing 1.95e-5; 12 at 0.8, missing 9.5e-6).
 
 Exact copies collapse first: documents with equal sets are one class.  Classes
-that share a table key with another class are verified on their full sets.  The
-sets travel once per shared A_i rather than once per table; within such a group,
-pairs that share no B_j, whose sizes rule a link out, or whose signatures agree
-in fewer of SIGNATURE places than `least_agreement` asks (a link at the threshold
-does so with probability below FILTER_MISS) are passed over, and each pair is taken in its first shared A_i only.  A group
-larger than a block is dealt out as pairs of blocks, so that no task gathers it
-whole; a block returns the links that join its parts (a spanning forest), never
-all pairs.  Links of all blocks give components.
+that share an A_i meet in its group, where they are candidates if they share a
+B_j too.  Pairs whose sizes rule a link out, or whose signatures agree in fewer of
+SIGNATURE places than `least_agreement` asks (a link at the threshold does so
+with probability below FILTER_MISS) are passed over, and each pair is taken
+in its first shared A_i only.  Classes without a pair left drop out; only for the
+others are full sets made and sent, and pairs confirmed on them.
+
+A group larger than a block is dealt out as pairs of blocks, so that no task
+gathers it whole; a block returns the links that join its parts (a spanning
+forest), never all pairs.  Links of all blocks give components.
 """
 
 from __future__ import annotations
@@ -28,17 +30,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
 from .components import components
-from .scratch import Scratch
+from .scratch import Scratch, bounded, few
 
 ROWS, SIGNATURE = 2, 64
 #: Greatest probabilities that the tables and the signature filter miss a link at the threshold.
 MISS, FILTER_MISS = 2e-5, 1e-8
 BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
+BLOCK = ["level", "half", "p", "q"]
 _A = tc._random_words("minhash-a", SIGNATURE) | tc.U64(1)
 _B = tc._random_words("minhash-b", SIGNATURE)
 
@@ -78,7 +81,7 @@ def _lists(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(values).view(np.int64).ravel()))
 
 
-def _fingerprints(size: int, n: int):
+def _fingerprints(size: int, n: int, carried: tuple[str, ...] = ()):
     """With `n` half keys a collection and a signature, or with the full sets where n is 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +97,7 @@ def _fingerprints(size: int, n: int):
                     out["signature"] = pa.array([x.tobytes() for x in short], pa.binary())
                 else:
                     out["shingles"] = pa.array([x.tobytes() for x in sets], pa.binary())
-                yield pa.RecordBatch.from_pydict(out)
+                yield pa.RecordBatch.from_pydict(out | {c: batch.column(c)[i:j] for c in carried})
 
     return run
 
@@ -108,21 +111,71 @@ def _joined(sets: list[np.ndarray], x: int, y: int, share: int) -> bool:
     return 100 * both >= share * (len(small) + len(large) - both)
 
 
-def _forest(rows: dict, level: int, share: int) -> list[tuple[int, int]]:
-    """Links between the classes of one block pair that join its parts."""
-    vid, part = rows["vid"], rows["part"]
-    n = len(vid)
-    if n < 2:
-        return []
-    size = np.array(rows["n_shingles"], np.int64)
-    a = np.array(rows["a"], np.int64)
-    b = np.array(rows["b"], np.int64)
-    signature = np.frombuffer(b"".join(rows["signature"]), "<u4").reshape(n, SIGNATURE)
-    side = np.array(part)
-    two = len(set(part)) > 1
-    sets = [np.frombuffer(x, "<u8") for x in rows["shingles"]]
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one block after the other, of batches in the order of blocks."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in BLOCK], 1)
+        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        for i, j in zip(edges, edges[1:]):
+            if held and (keys[i] != key).any():
+                yield pa.Table.from_batches(held)
+                held = []
+            key = keys[i]
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _near(block: pa.Table, share: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of a block the later rows that may be linked with it, likelier ones first."""
+    n = len(block)
+
+    def wide(name: str) -> np.ndarray:
+        return block[name].combine_chunks().flatten().to_numpy().reshape(n, -1)
+
+    level, p, q = (block[c][0].as_py() for c in ("level", "p", "q"))
+    size, part, a, b = block["n_shingles"].to_numpy(), block["part"].to_numpy(), wide("a"), wide("b")
+    signature = np.frombuffer(b"".join(block["signature"].to_pylist()), "<u4").reshape(n, SIGNATURE)
     enough = least_agreement(share)
-    parent = list(range(n))
+    for x in range(n - 1):
+        y = slice(x + 1, n)
+        ok = (100 * np.minimum(size[y], size[x]) >= share * np.maximum(size[y], size[x])) & (b[y] == b[x]).any(1)
+        if p != q:
+            ok &= part[y] != part[x]
+        if level:
+            ok &= ~(a[y, :level] == a[x, :level]).any(1)
+        later = x + 1 + np.flatnonzero(ok)
+        if len(later):
+            agree = (signature[later] == signature[x]).sum(1)
+            order = np.argsort(-agree, kind="stable")
+            later = later[order[: int((agree >= enough).sum())]]
+            if len(later):
+                yield x, later
+
+
+def _survivors(share: int):
+    """The rows of each block that have a pair left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _by_block(batches):
+            on = np.zeros(len(block), bool)
+            for x, later in _near(block, share):
+                on[x] = on[later] = True
+            if on.any():
+                yield from block.filter(pa.array(on)).to_batches()
+
+    return run
+
+
+def _forest(block: pa.Table, share: int) -> list[tuple[int, int]]:
+    """Links between the rows of one block that join its parts."""
+    sets = [np.frombuffer(x.as_buffer(), "<u8") for x in block["shingles"]]
+    vid = block["vid"].to_pylist()
+    parent = list(range(len(vid)))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -131,21 +184,8 @@ def _forest(rows: dict, level: int, share: int) -> list[tuple[int, int]]:
         return x
 
     links = []
-    for x in range(n - 1):
-        y = slice(x + 1, n)
-        ok = (100 * np.minimum(size[y], size[x]) >= share * np.maximum(size[y], size[x])) & (b[y] == b[x]).any(1)
-        if two:
-            ok &= side[y] != side[x]
-        if level:
-            ok &= ~(a[y, :level] == a[x, :level]).any(1)
-        near = np.flatnonzero(ok)
-        if not len(near):
-            continue
-        agree = (signature[x + 1 + near] == signature[x]).sum(1)
-        for k in np.argsort(-agree, kind="stable"):
-            if agree[k] < enough:
-                break
-            z = int(near[k]) + x + 1
+    for x, later in _near(block, share):
+        for z in later.tolist():
             p, q = root(x), root(z)
             if p != q and _joined(sets, x, z, share):
                 parent[max(p, q)] = min(p, q)
@@ -154,101 +194,71 @@ def _forest(rows: dict, level: int, share: int) -> list[tuple[int, int]]:
 
 
 def _verified(share: int):
-    """Reads block pairs in order (rows of one follow each other) and returns their links."""
-    names = ["vid", "n_shingles", "a", "b", "signature", "shingles", "part"]
+    """The links of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {k: [] for k in names}
-        key = None
-        links: list[tuple[int, int]] = []
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_pydict({"u": pa.array([x[0] for x in links], pa.int64()), "v": pa.array([x[1] for x in links], pa.int64())})
-            links.clear()
-            return out
-
-        for batch in batches:
-            keys = list(zip(*(batch.column(k).to_pylist() for k in ("level", "half", "p", "q"))))
-            cols = {k: batch.column(k).to_pylist() for k in names}
-            i = 0
-            while i < len(keys):
-                j = i
-                while j < len(keys) and keys[j] == keys[i]:
-                    j += 1
-                if keys[i] != key and key is not None:
-                    links += _forest(held, key[0], share)
-                    held = {k: [] for k in names}
-                key = keys[i]
-                for k in names:
-                    held[k] += cols[k][i:j]
-                i = j
-            if links:
-                yield flush()
-        if key is not None:
-            links += _forest(held, key[0], share)
-        yield flush()
+        for block in _by_block(batches):
+            links = _forest(block, share)
+            yield pa.RecordBatch.from_pydict({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([x for _, x in links], pa.int64())})
 
     return run
 
 
-def _shared(rows: DataFrame, *key: str) -> DataFrame:
-    """Keys that more than one class has."""
-    return rows.groupBy(*key).agg(F.min("vid").alias("lo"), F.max("vid").alias("hi")).where("lo < hi").select(*key)
-
-
-def near_duplicates(docs: DataFrame, share: int = 85, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, share: int = 85, size: int = 5, id_col: str = "doc_id", text_col: str = "text", place: Column | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of `docs`.
 
     Rows are linked if 100 * intersection >= `share` * union of their sets of
-    `size`-word runs (share from 80 up); component_id is the least id of the
-    component, and kept says whether the row has that id.
+    `size`-word runs (a share that the minhashes cannot find at MISS is refused);
+    component_id is the least id of the component, and kept says whether the row
+    has that id.
 
     Null or empty texts and texts without words have no shingles and link with
     nothing.  A text with fewer than `size` words has one shingle.  Repeated rows
     are copies of each other.  A row without an id takes no part: its
-    component_id is null and kept is true.  Extra columns are not read.
+    component_id is null and kept is true.  Extra columns are not read.  With
+    `place`, a string that tells rows apart, it is returned as a further column.
     """
     spark = docs.sparkSession
     work = Scratch(spark, "neardup")
     n = half_count(share)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prints = work.save(docs.mapInArrow(_fingerprints(size, n), "doc_id long, n_shingles long, digest binary, a array<long>, b array<long>, signature binary"), "prints")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([] if place is None else [place.cast("string").alias("place")]))
+    carried = ("place",) * (place is not None)
+    schema = "doc_id long, n_shingles long, digest binary, a array<long>, b array<long>, signature binary" + ", place string" * len(carried)
+    prints = work.save(docs.mapInArrow(_fingerprints(size, n, carried), schema), "prints")
+    rows = prints.count()
 
     classes = prints.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), *(F.any_value(c).alias(c) for c in ("n_shingles", "a", "b", "signature")))
-    classes = work.save(classes.withColumn("vid", F.monotonically_increasing_id()), "classes")
-
-    # The tables: pairs of half keys.  A class whose A_i (or B_j) nobody shares is in no shared table.
-    near = classes.select("vid", "a", "b")
-    for half in ("a", "b"):
-        keys = near.select("vid", F.posexplode(half).alias("i", "key"))
-        near = near.join(keys.join(_shared(keys, "i", "key"), ["i", "key"]).select("vid").distinct(), "vid", "left_semi")
-    near = work.save(near, "near")
-    pair = F.explode(F.expr(f"flatten(transform(a, (x, i) -> transform(b, (y, j) -> xxhash64(x, y, i * {n} + j))))")).alias("key")
-    tables = near.select("vid", pair)
-    live = work.save(tables.join(_shared(tables, "key"), "key").select("vid").distinct(), "live")
-
-    # Full sets of the candidates, one document of each class.
-    wanted = classes.join(live, "vid", "left_semi").select("vid", "digest", F.col("first_id").alias("doc_id"))
-    texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_fingerprints(size, 0), "doc_id long, n_shingles long, digest binary, shingles binary").select("doc_id", "digest", "shingles")
-    sets = work.save(sets.join(wanted, ["doc_id", "digest"]).dropDuplicates(["vid"]).select("vid", "shingles"), "sets")
+    classes = work.save(classes.withColumn("vid", F.monotonically_increasing_id()), "classes", rows=rows)
 
-    facts = classes.join(live, "vid", "left_semi").select("vid", "n_shingles", "a", "b", "signature")
-    halves = facts.select("vid", "n_shingles", F.posexplode("a").alias("level", "half"))
+    # Groups of classes that share an A_i, dealt out as pairs of blocks.
+    halves = classes.select("vid", "n_shingles", F.posexplode("a").alias("level", "half"))
     groups = halves.groupBy("level", "half").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("all"))
     groups = groups.where("members > 1").withColumn("parts", F.expr(f"cast(ceil(greatest(members / {BLOCK_SETS}, all / {BLOCK_SHINGLES})) as int)"))
-    placed = halves.join(groups.select("level", "half", "parts"), ["level", "half"]).withColumn("part", F.expr("cast(pmod(xxhash64(vid), parts) as int)"))
+    placed = halves.select("vid", "level", "half").join(groups.select("level", "half", "parts"), ["level", "half"]).withColumn("part", F.expr("cast(pmod(xxhash64(vid), parts) as int)"))
     placed = placed.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    placed = placed.select("level", "half", "vid", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
-    blocks = placed.join(facts, "vid").join(sets, "vid").repartition("level", "half", "p", "q").sortWithinPartitions("level", "half", "p", "q")
-    blocks = blocks.select("level", "half", "p", "q", "vid", "n_shingles", "a", "b", "signature", "shingles", "part")
-    links = work.save(blocks.mapInArrow(_verified(share), "u long, v long"), "links")
+    placed = placed.select("level", "half", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "vid", "part")
+    blocks = placed.join(classes.drop("first_id"), "vid").repartition(*BLOCK).sortWithinPartitions(*BLOCK)
+    row = "level int, half long, p int, q int, vid long, part int, digest binary, n_shingles long, a array<long>, b array<long>, signature binary"
+    left = work.save(blocks.select(*(c.split()[0] for c in row.split(", "))).mapInArrow(_survivors(share), row), "left", rows=rows)
+    pairs = left.count()
+
+    # Full sets of the classes left, of one document each.
+    wanted, count = bounded(left.select("vid", "digest").distinct().join(classes.select("vid", F.col("first_id").alias("doc_id")), "vid"), work, "wanted", rows=pairs)
+    texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct().transform(count), "doc_id", "left_semi")
+    sets = texts.mapInArrow(_fingerprints(size, 0), "doc_id long, n_shingles long, digest binary, shingles binary").select("doc_id", "digest", "shingles")
+    sets = sets.join(wanted.transform(count), ["doc_id", "digest"]).dropDuplicates(["vid"]).select("vid", "shingles")
+    blocks = left.join(sets, "vid").repartition(*BLOCK).sortWithinPartitions(*BLOCK)
+    links = work.save(blocks.select(*left.columns, "shingles").mapInArrow(_verified(share), "u long, v long"), "links", rows=pairs)
+    work.drop("left", "wanted")
 
-    roots = components(links, work)
+    roots = components(links, work, rows=pairs)
+    work.drop("links")
     heads = roots.join(classes.select(F.col("vid").alias("node"), "first_id"), "node")
     least = heads.groupBy("root").agg(F.min("first_id").alias("least_id"))
     named = heads.join(least, "root").select(F.col("node").alias("vid"), "least_id")
     named = classes.select("vid", "digest", "first_id").join(named, "vid", "left").select("digest", F.coalesce("least_id", "first_id").alias("least_id"))
-    out = prints.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("least_id")), F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    # Rows without a set have no class to look up.
+    key = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest"))
+    out = prints.select("doc_id", "n_shingles", key.alias("digest"), *carried).join(named, "digest", "left")
+    component = F.coalesce("least_id", "doc_id")
+    return few(out, rows).select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *carried)
