@@ -4,8 +4,8 @@ Features are relative frequencies of byte n-grams (hashed, A-Z folded, other ASC
 characters counted as a blank) over the whole text.  One linear support vector
 machine per family, against the rest, picks the family; within it, one linear
 machine for each pair of languages votes.  All are trained here by dual coordinate
-descent on a sample of at most SAMPLE labelled texts, shared out evenly between
-languages.
+descent on a sample of at most SAMPLE labelled texts of at most SAMPLE_BYTES
+bytes together, shared out evenly between languages.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import textcore as tc
 
-SAMPLE, ORDERS, ROUNDS, PENALTY = 4000, (2, 3, 4), 12, 10.0
+SAMPLE, SAMPLE_BYTES, BITS, ORDERS, ROUNDS, PENALTY = 4000, 16_000_000, 16, (2, 3, 4), 12, 10.0
 # Families of common language codes.
 FAMILIES = {
     "germanic": "af da de en fy is lb nb nl nn no sv yi",
@@ -195,11 +195,14 @@ class Model:
         return lang, np.clip(score, 0, 1)
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text", lang_col: str = "lang", key: Column | None = None) -> Model:
+def train(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text", lang_col: str = "lang", key: Column | None = None, sample_bytes: int = SAMPLE_BYTES, bits: int = BITS) -> Model:
     """A model from the rows of `docs` that have a text and a language.
 
     At most `sample` rows are used, as many of each language as that allows
-    (at least one), chosen by a hash of `key` (default: the text).
+    (at least one), chosen by a hash of `key` (default: the text).  Of them those
+    are taken, in that order, whose texts have at most `sample_bytes` bytes, shared
+    out alike; the first text of a language always is.  n-grams fall into
+    2**`bits` buckets an order.
     """
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(key if key is not None else F.col(text_col)).alias("pick")).where("lang is not null and text <> ''")
     counts = rows.groupBy("lang").count().collect()  # one row a language
@@ -208,8 +211,9 @@ def train(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text", lang_co
     each = max(1, sample // len(counts))
     odds = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.5 * each / r["count"] + 0.001))])
     some = rows.where((F.col("pick") / 2.0**64 + 0.5) < odds[F.col("lang")])
-    some = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("pick", "text"))).where(F.col("rank") <= each)
-    bits = 16 if len(counts) <= 8 else 14
+    order = Window.partitionBy("lang").orderBy("pick", "text")
+    some = some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each)
+    some = some.withColumn("bytes", F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("rank") == 1) | (F.col("bytes") <= sample_bytes // len(counts)))
     found = some.select("lang", "text").mapInArrow(_features(bits), "lang string, places array<int>, weights array<float>").toArrow()
     labels = found["lang"].to_pylist()
     data = [(np.asarray(p.values.to_numpy(), np.int64), np.asarray(v.values.to_numpy(), np.float64)) for p, v in zip(found["places"], found["weights"])]
