@@ -4,8 +4,10 @@ A word (a run of letters, A-Z folded) has the sum of two hashed embeddings, one
 the word and one of its first bytes.  Filters of several widths slide over the
 whole text, each keeps its greatest response, and a logistic layer weighs them.
 The net is trained in numpy (Adam, balanced classes) on a sample of at most SAMPLE
-labelled texts.  The threshold of each language is then set on texts kept out of
-training; a score of 0.5 stands for it.  A text's language is guessed from the
+labelled texts of at most SAMPLE_BYTES bytes together.  The threshold of each
+language is then set on texts kept out of training, where those of other languages
+count as POOL texts together, so that few texts move a threshold little; a score
+of 0.5 stands for it.  A text's language is guessed from the
 function words in it, so that nothing but the text enters a score.
 """
 
@@ -16,14 +18,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textcore as tc
 
-SAMPLE, EPOCHS, BATCH, RATE = 6000, 12, 48, 0.01
+SAMPLE, SAMPLE_BYTES, EPOCHS, BATCH, RATE = 6000, 64_000_000, 12, 48, 0.01
 WIDTHS, FILTERS, SIZE, BITS, STEM = (1, 2, 3), 12, 16, 15, 5
-CALIBRATION_SHARE, LEAST_FOR_THRESHOLD = 0.2, 40
+CALIBRATION_SHARE, POOL = 0.2, 40
 # Frequent function words of some languages.
 FUNCTION_WORDS = {
     "en": "the and of to in is that for was with are this from",
@@ -185,23 +187,22 @@ class Net:
             table[~sparse[id(table)][1].any(1)] = 0
 
     def calibrate(self, logits: np.ndarray, labels: np.ndarray, langs: np.ndarray) -> None:
-        """For each language with enough texts, the threshold with the fewest errors, in the middle of its gap; for others, that of all."""
-
-        def best(z: np.ndarray, y: np.ndarray) -> float:
-            order = np.argsort(z, kind="stable")
-            z, y = z[order], y[order]
-            wrong = np.concatenate([[0], np.cumsum(y == 1)]) + np.concatenate([np.cumsum((y == 0)[::-1])[::-1], [0]])
-            edges = np.concatenate([[z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]])
-            least = np.flatnonzero(wrong == wrong.min())
-            return float(edges[least[len(least) // 2]])
+        """For each language the threshold with the least weight of errors, in the middle of its gap.
 
+        Texts of the language weigh 1 each, all others POOL together.  With one label only, nothing is known.
+        """
         if not len(labels) or labels.min() == labels.max():
             return
-        self.thresholds[:] = best(logits, labels)
+        order = np.argsort(logits, kind="stable")
+        z, y, langs = logits[order], labels[order], langs[order]
+        edges = np.concatenate([[z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]])
         for k in range(len(_LANGS)):
-            own = langs == k
-            if own.sum() >= LEAST_FOR_THRESHOLD and 0 < labels[own].sum() < own.sum():
-                self.thresholds[k] = best(logits[own], labels[own])
+            others = int((langs != k).sum())
+            weight = np.where(langs == k, 1.0, POOL / max(1, others))
+            wrong = np.concatenate([[0], np.cumsum(weight * (y == 1))]) + np.concatenate([np.cumsum((weight * (y == 0))[::-1])[::-1], [0]])
+            # Equal sums may differ in their last digits.
+            least = np.flatnonzero(wrong <= wrong.min() + 1e-9 * weight.sum())
+            self.thresholds[k] = edges[least[len(least) // 2]]
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,12 +214,14 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic")[i:j], "lang": pa.array(words.langs, pa.int64()), "word": pa.array([words.word[c].tobytes() for c in cut], pa.binary()), "stem": pa.array([words.stem[c].tobytes() for c in cut], pa.binary())})
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Net:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_bytes: int = SAMPLE_BYTES) -> Net:
     """A net from the rows of `docs` whose id has a label of 0 or 1.
 
     At most `sample` labelled ids are used, half of them of each label as far as
-    there are any, chosen by a hash of the id.  An id with both labels counts as
-    toxic.  Without texts of both labels, all scores are 1 or 0, as the label is
+    there are any, chosen by a hash of the id.  Of their texts those are taken, in
+    that order, that have at most `sample_bytes` bytes, half of them of each label;
+    the first of a label always is.  An id with both labels counts as toxic.  A
+    share CALIBRATION_SHARE of them sets the thresholds only.  Without texts of both labels, all scores are 1 or 0, as the label is
     (0 without any).
     """
     marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -233,7 +236,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     likely = marked.where((F.col("pick") / 2.0**64 + 0.5) < odds[F.col("toxic")])
     some = reduce(DataFrame.unionByName, [likely.where(F.col("toxic") == y).orderBy("pick", "doc_id").limit(n) for y, n in each.items()])
     # At most `sample` rows: bounded, so they may go to every executor.
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(some.select("doc_id", "toxic")), "doc_id").where("text is not null")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(some.select("doc_id", "toxic", "pick")), "doc_id").where("text is not null")
+    order = Window.partitionBy("toxic").orderBy("pick", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
+    texts = texts.withColumn("rank", F.count("*").over(order)).withColumn("bytes", F.sum(F.octet_length("text")).over(order)).where((F.col("rank") == 1) | (F.col("rank") <= sample) & (F.col("bytes") <= sample_bytes // 2))
     found = texts.select("toxic", "text").mapInArrow(_hashed, "toxic int, lang long, word binary, stem binary").toArrow()
     rows = sorted(zip(*(found[c].to_pylist() for c in ("toxic", "lang", "word", "stem"))))
     rows = [rows[k] for k in np.random.default_rng(3).permutation(len(rows))]
@@ -243,10 +248,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
         return net
     langs = np.array([r[1] for r in rows])
     data = [(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.int32)) for r in rows]
-    kept = int(len(rows) * CALIBRATION_SHARE) if len(rows) >= 200 else 0
+    kept = int(len(rows) * CALIBRATION_SHARE)
     net.fit(data[kept:], y[kept:])
-    if kept:
-        net.calibrate(np.array([net.logits(_single(d))[0] for d in data[:kept]]), y[:kept], langs[:kept])
+    net.calibrate(np.array([net.logits(_single(d))[0] for d in data[:kept]]), y[:kept], langs[:kept])
     return net
 
 
