@@ -14,6 +14,7 @@ fitted on at most SAMPLE candidates, chosen by a hash.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -135,6 +136,15 @@ def features(kind: str, span: str, said: tuple[int, ...]) -> list[float]:
     return [1.0, *(float(v > 0) for v in said), *(float(v < 0) for v in said), math.log(n) / 4, share, sum(c.isupper() for c in span) / n, _entropy(span) / 5, *(float(kind == k) for k in MORE_KINDS)]
 
 
+def _meets(taken: list[tuple[int, str, int]], at: int, start: int, end: int) -> bool:
+    """Whether one of the spans from place `at` on (they ascend by start) meets start to end."""
+    while at < len(taken) and taken[at][0] < end:
+        if taken[at][2] > start:
+            return True
+        at += 1
+    return False
+
+
 def candidates(text: str) -> Iterator[tuple[str, int, int, tuple[int, ...]]]:
     """(kind, start, end, votes) of all candidates outside the exact kinds."""
     taken = base_spans(text)
@@ -149,7 +159,7 @@ def candidates(text: str) -> Iterator[tuple[str, int, int, tuple[int, ...]]]:
                 continue
             while at < len(taken) and taken[at][2] <= start:
                 at += 1
-            if any(t[0] < end and t[2] > start for t in taken[at:]):
+            if _meets(taken, at, start, end):
                 continue
             yield kind, start, end, votes(kind, m[0], text[max(0, start - CONTEXT) : start])
 
@@ -218,29 +228,30 @@ class Model:
         return sorted(out, key=lambda s: (s[0], KINDS[s[1]], s[2]))
 
 
-_CANDIDATE = "kind string, said string, span string, pick long"
+def _pick(kind: str, said: tuple[int, ...], span: str) -> int:
+    """A hash by which candidates are chosen; signed 64 bits."""
+    return int.from_bytes(hashlib.blake2b(f"{kind}:{said}:{span}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
 def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kind, votes, hash and features of all candidates; spans themselves, which may be long, stay behind."""
     for batch in batches:
-        rows = [(kind, ",".join(map(str, said)), text[start:end]) for text in batch.column("text").to_pylist() if text for kind, start, end, said in candidates(text)]
-        yield pa.RecordBatch.from_pydict({"kind": pa.array([r[0] for r in rows], pa.string()), "said": pa.array([r[1] for r in rows], pa.string()), "span": pa.array([r[2] for r in rows], pa.string())})
+        rows = [(kind, ",".join(map(str, said)), _pick(kind, said, span), features(kind, span, said)) for text in batch.column("text").to_pylist() if text for kind, start, end, said in candidates(text) for span in (text[start:end],)]
+        yield pa.RecordBatch.from_pydict({"kind": pa.array([r[0] for r in rows], pa.string()), "said": pa.array([r[1] for r in rows], pa.string()), "pick": pa.array([r[2] for r in rows], pa.int64()), "x": pa.array([r[3] for r in rows], pa.list_(pa.float64()))})
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text") -> Model:
     """Reliabilities from all candidates of `docs`, and a classifier fitted on at most `sample` of them."""
     work = Scratch(docs.sparkSession, "pii")
-    found = docs.select(F.col(text_col).alias("text")).mapInArrow(_collect, "kind string, said string, span string")
-    found = work.save(found.withColumn("pick", F.xxhash64("kind", "said", "span")), "candidates")
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(_collect, "kind string, said string, pick long, x array<double>")
+    found = work.save(found, "candidates")
     model = Model()
     # At most one row for each kind and pattern of votes.
     counts = {(r["kind"], tuple(map(int, r["said"].split(",")))): r["count"] for r in found.groupBy("kind", "said").count().collect()}
     if counts:
         belief = model.estimate(counts)
-        rows = found.orderBy("pick", "kind", "said", "span").limit(sample).collect()
-        said = [tuple(map(int, r["said"].split(","))) for r in rows]
-        x = np.array([features(r["kind"], r["span"], v) for r, v in zip(rows, said)])
-        model.fit(x, np.array([belief[r["kind"], v] for r, v in zip(rows, said)]))
+        rows = found.orderBy("pick", "kind", "said", "x").limit(sample).collect()
+        model.fit(np.array([r["x"] for r in rows]), np.array([belief[r["kind"], tuple(map(int, r["said"].split(",")))] for r in rows]))
     work.drop("candidates")
     return model
 
