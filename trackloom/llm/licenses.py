@@ -19,6 +19,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -68,17 +69,20 @@ def _longest_increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """A longest common subsequence of two short lists, as pairs of places."""
-    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    """A longest common subsequence of two lists, as pairs of places."""
+    number = {w: k for k, w in enumerate(dict.fromkeys([*a, *b]))}
+    x, y = (np.array([number[w] for w in own], np.int32) for own in (a, b))
+    table = np.zeros((len(a) + 1, len(b) + 1), np.uint16 if min(len(a), len(b)) < 1 << 16 else np.int32)
     for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            table[i][j] = table[i + 1][j + 1] + 1 if a[i] == b[j] else max(table[i + 1][j], table[i][j + 1])
+        # The best that ends with word i or without it; a row never falls from right to left.
+        best = np.maximum(table[i + 1, :-1], table[i + 1, 1:] + (y == x[i]))
+        np.maximum.accumulate(best[::-1], out=table[i, -2::-1])
     out, i, j = [], 0, 0
     while i < len(a) and j < len(b):
         if a[i] == b[j]:
             out.append((i, j))
             i, j = i + 1, j + 1
-        elif table[i + 1][j] >= table[i][j + 1]:
+        elif table[i + 1, j] >= table[i, j + 1]:
             i += 1
         else:
             j += 1
