@@ -43,18 +43,21 @@ def descriptions(vectors: np.ndarray, segments: int) -> np.ndarray:
 def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, id, score): the k best of `vectors` for each query, the query's own id left out.
 
-    Vectors hold whole numbers as doubles; ties go to the smaller id.
+    Vectors hold whole numbers as doubles; ties go to the smaller id.  Where sums
+    of products could pass 2**53, which doubles no longer hold exactly, scores are
+    summed as Python's integers; one beyond 64 bits raises OverflowError.
     """
     width = vectors.shape[1] if vectors.ndim == 2 else 0
     levels = [n for n in LEVELS if n <= width // 2]
     bounds = [(descriptions(queries, n), descriptions(vectors, n)) for n in levels]
-    slack = 1e-9 * (1 + np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * max(1, width))
+    largest = np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * max(1, width)
+    slack = 1e-9 * (1 + largest)
     out: list[list[np.ndarray]] = [[], [], []]
     for a in range(0, len(queries), ROWS):
         rows = slice(a, min(a + ROWS, len(queries)))
         n = rows.stop - a
         worst = np.full(n, -np.inf)
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
         for c in range(0, len(vectors), STEP):
             near = np.arange(c, min(c + STEP, len(vectors)))
             on = np.arange(n)
@@ -68,8 +71,13 @@ def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors:
             if not len(near) or not len(on):
                 continue
             score = queries[rows][on] @ vectors[near].T
-            i, j = np.nonzero((score >= worst[on, None]) & (ids[near] != query_ids[rows][on, None]))
-            held = [np.concatenate(x) for x in zip(held, (on[i], ids[near[j]], score[i, j]))]
+            i, j = np.nonzero((score >= worst[on, None] - (slack if largest >= 1 << 53 else 0)) & (ids[near] != query_ids[rows][on, None]))
+            if largest >= 1 << 53:
+                own = [sum(int(p) * int(q) for p, q in zip(x, y)) for x, y in zip(queries[rows][on[i]], vectors[near[j]])]
+                score = np.array(own, object).astype(np.int64)
+            else:
+                score = score[i, j].astype(np.int64)
+            held = [np.concatenate(x) for x in zip(held, (on[i], ids[near[j]], score))]
             order = np.lexsort((held[1], -held[2], held[0]))
             held = [x[order] for x in held]
             first = np.searchsorted(held[0], np.arange(n))
@@ -84,7 +92,7 @@ def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors:
         out[2].append(held[2])
     if not out[0]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(out[0]), np.concatenate(out[1]), np.concatenate(out[2]).astype(np.int64)
+    return np.concatenate(out[0]), np.concatenate(out[1]), np.concatenate(out[2])
 
 
 def _packed(scale: float):
