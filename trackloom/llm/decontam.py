@@ -19,7 +19,8 @@ Candidates are verified on full sets by exact containment of the whole document.
 
 Block minima of wider classes are minima of finer ones, so each document run is
 hashed once per function.  Items are shipped to executors in slices whose size is
-checked (SLICE_CHARS characters); more items mean more passes over the documents.
+checked (SLICE_CHARS characters, or one longer item).  More items mean more passes
+over the documents, one after the other: the driver holds one slice at a time.
 """
 
 from __future__ import annotations
@@ -30,10 +31,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
+from .scratch import Scratch
 
 THRESHOLD, MISS, HASHES, TINY, FINEST = 0.8, 1e-6, 96, 8, 16
 SLICE_CHARS = 16_000_000
@@ -47,7 +49,7 @@ def bands(similarity: float) -> tuple[int, int]:
         n = math.ceil(math.log(MISS) / math.log1p(-(min(similarity, 0.999999) ** rows)))
         if n * rows <= HASHES:
             return n, rows
-    return HASHES, 1
+    raise ValueError(f"{HASHES} minhashes are too few for a similarity of {similarity:.3f}: use a higher threshold")
 
 
 def _band_key(signature: np.ndarray, band: int, rows: int) -> np.ndarray:
@@ -187,12 +189,13 @@ class Index:
                 yield row + doc, self.ids[item], len(own), shared
 
 
-def _search(index):
+def _search(index, carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = list(index.value.contained(batch.column("text")))
+            at = pa.array([x[0] for x in rows], pa.int64())
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id").take(pa.array([x[0] for x in rows], pa.int64())),
+                **{c: batch.column(c).take(at) for c in carried},
                 "item_id": pa.array([x[1] for x in rows], pa.int64()),
                 "n_item": pa.array([x[2] for x in rows], pa.int64()),
                 "n_shared": pa.array([x[3] for x in rows], pa.int64()),
@@ -201,23 +204,31 @@ def _search(index):
     return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, size: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, size: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", place: Column | None = None) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared, containment): every pair at or over the threshold.
 
     Null or empty texts and items without words match nothing.  An item of fewer
     than `size` words is one run of its own length, looked for among runs of that
     length.  Repeated rows give repeated results; rows of `items` without an id
-    are left out.  Extra columns are not read.
+    are left out.  Extra columns are not read.  A threshold that the minhashes
+    cannot serve at MISS is refused.  With `place`, a string that tells rows of
+    `docs` apart, it is returned as a further column.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    carried = ["doc_id", *["place"] * (place is not None)]
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([] if place is None else [place.cast("string").alias("place")]))
     items = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null and text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     slices = max(1, math.ceil(chars / SLICE_CHARS))
+    work = Scratch(spark, "decontam")
     found = []
     for s in range(slices):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == s).collect()
         index = spark.sparkContext.broadcast(Index([x[0] for x in part], [x[1] for x in part], size, threshold))
-        found.append(docs.mapInArrow(_search(index), "doc_id long, item_id long, n_item long, n_shared long"))
+        hits = docs.mapInArrow(_search(index, carried), "doc_id long, " + "place string, " * (place is not None) + "item_id long, n_item long, n_shared long")
+        if slices > 1:
+            hits = work.save(hits, f"slice-{s}")
+            index.destroy()
+        found.append(hits)
     out = reduce(DataFrame.unionByName, found)
-    return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))
+    return out.select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"), *carried[1:])
