@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ans, bpe, decontam, langid, licenses, neardup, pii, prefix_counts, topk, toxicity
-from .scratch import Scratch
+from .scratch import Scratch, text_batches
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return text_batches(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def _remainder(n: int):

@@ -19,9 +19,19 @@ BROADCAST_ROWS = 200_000
 #: Rows a file of a small table.
 FILE_ROWS = 100_000
 
+#: Rows of text that Spark reads and hands to Python at once.  Its own settings (4096 and 10000) are made for
+#: rows of a few numbers; with texts of kilobytes they fill the heap with arrays of tens of megabytes.
+TEXT_BATCH = {"spark.sql.parquet.columnarReaderBatchSize": "512", "spark.sql.execution.arrow.maxRecordsPerBatch": "1024"}
 _local: dict[str, str] = {}
 
 
+def text_batches(spark: SparkSession) -> SparkSession:
+    """The session, set to take rows of text in small batches; results do not depend on it."""
+    for name, value in TEXT_BATCH.items():
+        spark.conf.set(name, value)
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder of this session."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
