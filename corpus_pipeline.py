@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from trackloom.llm import bpe, decontam, neardup, pii, toxicity
 from trackloom.llm.queries import RANKS
-from trackloom.llm.scratch import Scratch, bounded
+from trackloom.llm.scratch import Scratch, bounded, text_batches
 
 
 def _free(docs: DataFrame, name: str) -> str:
@@ -55,6 +55,7 @@ def _without(spark: SparkSession, docs: DataFrame, place: str, gone: DataFrame)
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier, trained on all labels, does not call toxic; a text without words is judged like any other."""
+    text_batches(spark)
     net = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     score, said = _free(docs, "toxic_score"), _free(docs, "toxic_predicted")
     return toxicity.classify(docs, net, out_cols=(score, said)).where(F.col(said) == 0).select(docs.columns)
@@ -65,6 +66,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows without words or without a doc_id are in no group and stay.
     """
+    text_batches(spark)
     rows, place = _placed(spark, docs)
     marks = Scratch(spark, "pipeline-marks").save(neardup.near_duplicates(rows, share=80, place=F.col(place)), "marks")
     heads = marks.where("kept and n_shingles > 0 and doc_id is not null")
@@ -76,6 +78,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that contain no item of `benchmark`."""
+    text_batches(spark)
     rows, place = _placed(spark, docs)
     hits = decontam.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), place=F.col(place))
     return _without(spark, rows, place, hits.select("place"))
@@ -83,6 +86,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, personal data in their texts replaced by its kind in brackets; n_chars follows the text."""
+    text_batches(spark)
     spans, masked = _free(docs, "personal_spans"), _free(docs, "masked_text")
     found = pii.detect(docs, pii.train(docs), out_col=spans, redacted_col=masked)
     return found.withColumn("text", F.col(masked)).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
@@ -90,6 +94,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all rows, with a digest of the bytes that the ids decode to."""
+    text_batches(spark)
     both = bpe.encode(docs, RANKS, as_bytes=True, out_col="token_ids", keep=["doc_id", "lang", "source", "n_chars"], decoded_col="decoded")
     return both.select("doc_id", "lang", "source", "n_chars", F.expr("cast(octet_length(token_ids) div 4 as long)").alias("n_tokens"), "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -109,7 +114,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of `sf_dir`, each written to the shared folder before the next."""
     work = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = text_batches(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
