@@ -5,6 +5,8 @@ They run inside grouped Arrow functions, on one frame or one window at a time.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 
@@ -55,23 +57,56 @@ def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner[columns][order], columns[order]
 
 
-def assign_within(cost: np.ndarray, limit: float) -> tuple[list[tuple[int, int]], list[int], list[int]]:
-    """C17: pairs of an assignment none of which costs over `limit`, and the rows and columns left over.
+def _blocks(near: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and columns of each connected part of a table of pairs that has a pair."""
+    n, m = near.shape
+    rows = np.where(near.any(1), np.arange(n), n)
+    while True:
+        # A column has the least label among its rows, a row the least among its columns.
+        columns = np.where(near, rows[:, None], n).min(0, initial=n)
+        low = np.minimum(rows, np.where(near, columns[None], n).min(1, initial=n))
+        if (low == rows).all():
+            break
+        rows = low
+    row_order, column_order = np.argsort(rows, kind="stable"), np.argsort(columns, kind="stable")
+    for label in np.unique(rows[rows < n]):
+        i = row_order[np.searchsorted(rows[row_order], label) : np.searchsorted(rows[row_order], label, "right")]
+        j = column_order[np.searchsorted(columns[column_order], label) : np.searchsorted(columns[column_order], label, "right")]
+        yield i, j
+
+
+def assign_pairs(cost: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """C17: rows and columns of an assignment none of whose pairs costs over `limit`, by row.
 
-    A pair over the limit is never better than leaving both alone.
+    Leaving a row and a column alone costs `limit` together, so a pair is worth
+    `limit` less its cost.  Parts of the table that no allowed pair connects are
+    solved one by one.
     """
     cost = np.asarray(cost, float)
+    allowed = np.isfinite(cost) & (cost <= limit)
+    rows, columns = [np.zeros(0, int)], [np.zeros(0, int)]
+    for i, j in _blocks(allowed):
+        part, ok = cost[np.ix_(i, j)], allowed[np.ix_(i, j)]
+        if len(i) == 1 or len(j) == 1:
+            at = np.unravel_index(int(np.argmin(np.where(ok, part, np.inf))), part.shape)
+            a, b = np.array([at[0]]), np.array([at[1]])
+        else:
+            a, b = assign(np.where(ok, part - limit, 0.0))
+            keep = ok[a, b]
+            a, b = a[keep], b[keep]
+        rows.append(i[a])
+        columns.append(j[b])
+    rows, columns = np.concatenate(rows), np.concatenate(columns)
+    order = np.argsort(rows, kind="stable")
+    return rows[order], columns[order]
+
+
+def assign_within(cost: np.ndarray, limit: float) -> tuple[list[tuple[int, int]], list[int], list[int]]:
+    """C17: the pairs of `assign_pairs`, and the rows and columns left over."""
+    cost = np.asarray(cost, float)
     n, m = cost.shape
-    if not n or not m:
-        return [], list(range(n)), list(range(m))
-    size = n + m
-    big = np.full((size, size), limit / 2)
-    big[n:, m:] = 0
-    big[:n, :m] = np.where(np.isfinite(cost) & (cost <= limit), cost, 1e6 + abs(limit) * 1e3)
-    rows, columns = assign(big)
-    pairs = [(int(i), int(j)) for i, j in zip(rows, columns) if i < n and j < m and cost[i, j] <= limit]
-    used_rows, used_columns = {i for i, _ in pairs}, {j for _, j in pairs}
-    return pairs, [i for i in range(n) if i not in used_rows], [j for j in range(m) if j not in used_columns]
+    rows, columns = assign_pairs(cost, limit)
+    return list(zip(rows.tolist(), columns.tolist())), np.setdiff1d(np.arange(n), rows).tolist(), np.setdiff1d(np.arange(m), columns).tolist()
 
 
 def greedy_pairs(score: np.ndarray, least: float = 0.0) -> list[tuple[int, int]]:

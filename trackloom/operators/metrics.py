@@ -3,7 +3,8 @@
 `evaluate` gives the additive parts of each sequence as a long table (seq, metric,
 field, alpha, value); `combine` adds them up over any grouping and `finals` turns
 them into ratios.  A sequence is the parallel unit; its kernel sees ids and
-similarities of one frame after the other.
+similarities of one frame after the other, read from Arrow arrays.  Plain counts
+need no kernel.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .assignment import assign
+from .times import list_parts, matrices
 
 ALPHAS = np.arange(1, 20) * 0.05
 EPS = np.finfo(float).eps
@@ -77,12 +80,20 @@ def hota_parts(frames: Sequence[Frame], n_gt: int, n_tracker: int) -> list[Parts
 
 
 def clear_parts(frames: Sequence[Frame], n_gt: int, n_tracker: int, threshold: float = 0.5) -> list[Parts]:
-    """M3: matches that go on from the frame before come first; switches count against the last id a track ever had."""
+    """M3: matches that go on from the frame before come first; switches count against the last id a track ever had.
+
+    A frame with one side empty is passed over: what was matched before it goes on after it.
+    """
     tp = fn = fp = switches = 0
     overlap = 0.0
     last, before = np.full(n_gt, -1), np.full(n_gt, -1)
     present, matched, starts = np.zeros(n_gt), np.zeros(n_gt), np.zeros(n_gt)
     for f in frames:
+        if not len(f.gt) or not len(f.tracker):
+            present[f.gt] += 1
+            fn += len(f.gt)
+            fp += len(f.tracker)
+            continue
         goes_on = (before[f.gt][:, None] == f.tracker[None]) & (f.similarity >= threshold - EPS)
         score = np.where(f.similarity >= threshold - EPS, 1000.0 * goes_on + f.similarity, 0.0)
         rows, columns = assign(-score)
@@ -101,7 +112,7 @@ def clear_parts(frames: Sequence[Frame], n_gt: int, n_tracker: int, threshold: f
         overlap += float(f.similarity[rows[ok], columns[ok]].sum())
     share = matched[present > 0] / present[present > 0]
     mostly, partly = int((share > 0.8).sum()), int(((share >= 0.2) & (share <= 0.8)).sum())
-    sums = {"CLR_TP": tp, "CLR_FN": fn, "CLR_FP": fp, "IDSW": switches, "MOTP_sum": overlap, "MT": mostly, "PT": partly, "ML": n_gt - mostly - partly, "Frag": float(np.maximum(starts - 1, 0).sum()), "CLR_Frames": len(frames)}
+    sums = {"CLR_TP": tp, "CLR_FN": fn, "CLR_FP": fp, "IDSW": switches, "MOTP_sum": overlap, "MT": mostly, "PT": partly, "ML": n_gt - mostly - partly, "Frag": float(np.maximum(starts - 1, 0).sum()), "CLR_Frames": len(frames) if n_gt and n_tracker else 0}
     return [Parts(k, None, float(v)) for k, v in sums.items()]
 
 
@@ -137,61 +148,78 @@ def vace_parts(frames: Sequence[Frame], n_gt: int, n_tracker: int, threshold: fl
     return [Parts(k, None, float(v)) for k, v in sums.items()]
 
 
-def count_parts(frames: Sequence[Frame], n_gt: int, n_tracker: int) -> list[Parts]:
-    """M9: detections and ids."""
-    sums = {"Dets": sum(len(f.tracker) for f in frames), "GT_Dets": sum(len(f.gt) for f in frames), "IDs": n_tracker, "GT_IDs": n_gt, "Frames": len(frames)}
-    return [Parts(k, None, float(v)) for k, v in sums.items()]
+#: M1, M3, M4, M5 by a kernel; M9 ("Count") is a plain aggregation.
+KERNELS = {"HOTA": hota_parts, "CLEAR": clear_parts, "Identity": identity_parts, "VACE": vace_parts}
 
 
-KERNELS = {"HOTA": hota_parts, "CLEAR": clear_parts, "Identity": identity_parts, "VACE": vace_parts, "Count": count_parts}
+def frames_of(times: pa.Table) -> tuple[list[Frame], int, int]:
+    """Frames in order of time from rows (t, gt_ids, tracker_ids, pairs)."""
+    times = times.sort_by("t")
+    gt_all, tracker_all = (np.unique(list_parts(times[c])[1]) for c in ("gt_ids", "tracker_ids"))
+    frames = [Frame(np.searchsorted(gt_all, gt_ids), np.searchsorted(tracker_all, tracker_ids), s) for gt_ids, tracker_ids, s in matrices(times)]
+    return frames, len(gt_all), len(tracker_all)
 
 
-def frames_of(times: pd.DataFrame) -> tuple[list[Frame], int, int]:
-    """Frames in order of time from rows (t, gt_ids, tracker_ids, pairs)."""
-    times = times.sort_values("t")
-    gt_place = {x: k for k, x in enumerate(sorted({x for ids in times["gt_ids"] for x in ids}))}
-    tracker_place = {x: k for k, x in enumerate(sorted({x for ids in times["tracker_ids"] for x in ids}))}
-    frames = []
-    for gt_ids, tracker_ids, pairs in zip(times["gt_ids"], times["tracker_ids"], times["pairs"]):
-        gt_ids, tracker_ids = sorted(gt_ids), sorted(tracker_ids)
-        row, column = {x: k for k, x in enumerate(gt_ids)}, {x: k for k, x in enumerate(tracker_ids)}
-        s = np.zeros((len(gt_ids), len(tracker_ids)))
-        for p in pairs:
-            s[row[p["gt_id"]], column[p["tracker_id"]]] = p["similarity"]
-        frames.append(Frame(np.array([gt_place[x] for x in gt_ids], int), np.array([tracker_place[x] for x in tracker_ids], int), s))
-    return frames, len(gt_place), len(tracker_place)
-
-
-def timeline(gt: DataFrame, tracker: DataFrame, similarity: DataFrame) -> DataFrame:
+def timeline(gt: DataFrame, tracker: DataFrame, similarity: DataFrame | None = None) -> DataFrame:
     """One row for each time of a sequence: ids of both sides and pairs of similarity over 0.
 
     Inputs: gt(seq, t, gt_id), tracker(seq, t, tracker_id), similarity(seq, t, gt_id,
-    tracker_id, similarity).  Times without rows on one side have an empty array.
+    tracker_id, similarity); without the last there are no pairs.  Times without
+    rows on one side have an empty array.
     """
     key = ["seq", "t"]
     a = gt.groupBy(*key).agg(F.collect_set("gt_id").alias("gt_ids"))
     b = tracker.groupBy(*key).agg(F.collect_set("tracker_id").alias("tracker_ids"))
-    c = similarity.where("similarity > 0").groupBy(*key).agg(F.collect_list(F.struct("gt_id", "tracker_id", F.col("similarity").cast("double").alias("similarity"))).alias("pairs"))
-    out = a.join(b, key, "full_outer").join(c, key, "left")
+    out = a.join(b, key, "full_outer")
 
     def filled(name: str):
         kind = dict(out.dtypes)[name]
         return F.coalesce(name, F.array().cast(kind)).alias(name)
 
+    if similarity is None:
+        return out.select(*key, filled("gt_ids"), filled("tracker_ids"))
+    pairs = similarity.where("similarity > 0").groupBy(*key).agg(F.collect_list(F.struct("gt_id", "tracker_id", F.col("similarity").cast("double").alias("similarity"))).alias("pairs"))
+    out = out.join(pairs, key, "left")
     return out.select(*key, filled("gt_ids"), filled("tracker_ids"), filled("pairs"))
 
 
-def evaluate(times: DataFrame, metrics: Sequence[str] = tuple(KERNELS)) -> DataFrame:
-    """Additive parts of each sequence: (seq, metric, field, alpha, value)."""
+def _counts(times: DataFrame) -> DataFrame:
+    """M9: detections, ids and times of each sequence, as parts."""
+    dets = times.groupBy("seq").agg(F.sum(F.size("tracker_ids")).alias("Dets"), F.sum(F.size("gt_ids")).alias("GT_Dets"), F.count("*").alias("Frames"))
+    for name, ids in (("IDs", "tracker_ids"), ("GT_IDs", "gt_ids")):
+        own = times.select("seq", F.explode(ids).alias("id")).groupBy("seq").agg(F.countDistinct("id").alias(name))
+        dets = dets.join(own, "seq", "left").fillna(0, [name])
+    names = ["Dets", "GT_Dets", "IDs", "GT_IDs", "Frames"]
+    parts = F.explode(F.array(*(F.struct(F.lit(n).alias("field"), F.col(n).cast("double").alias("value")) for n in names))).alias("x")
+    return dets.select("seq", parts).select("seq", F.lit("Count").alias("metric"), "x.field", F.lit(None).cast("double").alias("alpha"), "x.value")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+
+def evaluate(times: DataFrame, metrics: Sequence[str] = (*KERNELS, "Count"), lengths: DataFrame | None = None) -> DataFrame:
+    """Additive parts of each sequence: (seq, metric, field, alpha, value).
+
+    `lengths` has (seq, n_times) where sequences have times without any row;
+    frames are counted by it, and sequences it lacks keep the times seen.
+    """
+    chosen = [m for m in metrics if m in KERNELS]
+
+    def run(rows: pa.Table) -> pa.Table:
         frames, n_gt, n_tracker = frames_of(rows)
-        found = [(rows["seq"].iloc[0], m, *p) for m in metrics for p in KERNELS[m](frames, n_gt, n_tracker)]
-        return pd.DataFrame(found, columns=["seq", "metric", "field", "alpha", "value"]).astype({"alpha": float})
+        found = [(m, *p) for m in chosen for p in KERNELS[m](frames, n_gt, n_tracker)]
+        seq = rows["seq"].combine_chunks().take(pa.array([0] * len(found)))
+        return pa.table({"seq": seq, "metric": pa.array([x[0] for x in found], pa.string()), "field": pa.array([x[1] for x in found], pa.string()), "alpha": pa.array([x[2] for x in found], pa.float64()), "value": pa.array([x[3] for x in found], pa.float64())})
 
     kind = times.schema["seq"].dataType.simpleString()
-    out = times.groupBy("seq").applyInPandas(run, f"seq {kind}, metric string, field string, alpha double, value double")
-    return out.withColumn("alpha", F.nanvl("alpha", F.lit(None)))
+    out = []
+    if chosen:
+        out.append(times.select("seq", "t", "gt_ids", "tracker_ids", "pairs").groupBy("seq").applyInArrow(run, f"seq {kind}, metric string, field string, alpha double, value double"))
+    if "Count" in metrics:
+        out.append(_counts(times))
+    parts = out[0] if len(out) == 1 else out[0].unionByName(out[1])
+    if lengths is None:
+        return parts
+    frames = F.col("field").isin("CLR_Frames", "Frames") & (F.col("value") > 0)
+    value = F.when(frames, F.coalesce(F.col("n_times").cast("double"), F.col("value"))).otherwise(F.col("value"))
+    return parts.join(lengths.select("seq", "n_times"), "seq", "left").withColumn("value", value).drop("n_times")
 
 
 def combine(parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -257,8 +285,8 @@ def summary(hota: DataFrame, by: Sequence[str] = ("seq",)) -> DataFrame:
 def travelled(gt: DataFrame, matches: DataFrame) -> DataFrame:
     """M8: share of the ground truth's travelled distance that one tracker id each covers.
 
-    gt(seq, t, gt_id, x, y); matches(seq, t, gt_id, tracker_id) holds pairs over the
-    similarity threshold.  Distances are window sums; the assignment is one kernel a
+    gt(seq, t, gt_id, x, y); matches(seq, t, gt_id, tracker_id) holds all pairs at or
+    over the similarity threshold, not only one a row.  Distances are window sums; the assignment is one kernel a
     sequence.
     """
     from .windows import path_length

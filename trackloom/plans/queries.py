@@ -517,18 +517,23 @@ def m12_confusion(spark, sf):
     return D.confusion(found, gt, tr, ["frame"], "gt", "tr", "iou")
 
 
-def _times(spark, sf):
-    """Two sides of the tracks in five sequences, by IoU."""
+def _two_sides(spark, sf):
+    """The tracks of either side, by sequence and time."""
     rows = trk(spark, sf).withColumn("seq", F.expr("frame div 24"))
     gt = rows.where("user_id % 2 = 0").select("seq", F.col("frame").alias("t"), F.col("user_id").alias("gt_id"), F.col("box").alias("gt_box"))
-    tr = rows.where("user_id % 2 = 1").select("seq", F.col("frame").alias("t"), F.col("user_id").alias("tracker_id"), F.col("box").alias("tracker_box"))
+    return gt, rows.where("user_id % 2 = 1").select("seq", F.col("frame").alias("t"), F.col("user_id").alias("tracker_id"), F.col("box").alias("tracker_box"))
+
+
+def _times(spark, sf):
+    """Two sides of the tracks in five sequences, by IoU."""
+    gt, tr = _two_sides(spark, sf)
     s = pairs.similarities(gt, tr, ["seq", "t"], "gt_id", "tracker_id", G.iou(F.col("gt_box"), F.col("tracker_box")))
     return M.timeline(gt, tr, s)
 
 
 @query(f"WITH {TRK} SELECT frame // 24 AS seq, CAST(count(*) FILTER (user_id % 2 = 1) AS DOUBLE) AS Dets, CAST(count(*) FILTER (user_id % 2 = 0) AS DOUBLE) AS GT_Dets, CAST(count(DISTINCT user_id) FILTER (user_id % 2 = 1) AS DOUBLE) AS IDs, CAST(count(DISTINCT user_id) FILTER (user_id % 2 = 0) AS DOUBLE) AS GT_IDs, CAST(count(DISTINCT frame) AS DOUBLE) AS Frames FROM trk GROUP BY ALL")
 def m9_counts(spark, sf):
-    return M.finals(M.evaluate(_times(spark, sf), ["Count"]), "Count")
+    return M.finals(M.evaluate(M.timeline(*_two_sides(spark, sf)), ["Count"]), "Count")
 
 
 @query()
