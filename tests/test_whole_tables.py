@@ -21,7 +21,7 @@ def small(spark, tmp_path_factory):
     return str(at), v @ v.T
 
 
-def test_components_of_the_whole_table(spark, small):
+def test_components_of_the_table(spark, small):
     at, cosine = small
     root = list(range(240))
     for a in range(240):
@@ -30,7 +30,7 @@ def test_components_of_the_whole_table(spark, small):
                 p, q = sorted((root[a], root[b]))
                 root = [p if x == q else x for x in root]
     want = {k: root[k] for k in range(240) if any(k != j and root[j] == root[k] for j in range(240))}
-    assert {r["node"]: r["root"] for r in more.c13_components_whole(spark, at).collect()} == want
+    assert {r["node"]: r["root"] for r in more.c13_components(spark, at).collect()} == want
 
 
 @pytest.mark.parametrize("name, column", [("c18_reranked", "a"), ("c20_propagated", "id")])
@@ -46,7 +46,7 @@ def test_every_track_has_an_identity(spark, small):
 
 def test_every_vector_is_an_anchor(spark, small):
     at, cosine = small
-    got = {r["a"]: (r["hardest_positive"], r["hardest_negative"]) for r in plans.QUERIES["c23_hardest_whole"](spark, at).collect()}
+    got = {r["a"]: (r["hardest_positive"], r["hardest_negative"]) for r in plans.QUERIES["c23_hardest"](spark, at).collect()}
     same = np.arange(240)[:, None] % 3 == np.arange(240)[None] % 3
     own = same & ~np.eye(240, dtype=bool)
     assert sorted(got) == list(range(240))
@@ -55,7 +55,7 @@ def test_every_vector_is_an_anchor(spark, small):
 
 
 def test_every_vector_is_in_a_set_and_every_track_in_pairs(spark, small):
-    sets = plans.QUERIES["j12_topk_pair_mean_whole"](spark, small[0]).collect()
+    sets = plans.QUERIES["j12_topk_pair_mean"](spark, small[0]).collect()
     assert len(sets) == 9 and all(r["n_1"] == 40 and r["n_2"] == 40 for r in sets)
-    found = plans.QUERIES["j7_positional_distance_whole"](spark, small[0]).select("id_1", "id_2").collect()
+    found = plans.QUERIES["j7_positional_distance"](spark, small[0]).select("id_1", "id_2").collect()
     assert sorted(map(tuple, found)) == [(a, b) for a in range(70) for b in range(a + 1, 70)]

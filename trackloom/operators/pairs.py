@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import geometry as G
 from ..functions import vectors as V
@@ -106,18 +108,40 @@ def feature_pairs(df: DataFrame, group: Sequence[str], member: str, vector: str,
 
 
 def set_similarity(left: DataFrame, right: DataFrame, key: Sequence[str], left_set: str, right_set: str, vector: str, k: int = 5, limit: float = 0.8) -> DataFrame:
-    """Sets of vectors compared: mean of the k best cosines, and whether min(n1, n2, k) pairs are over `limit`."""
-    a = left.select(*key, F.col(left_set).alias("set_1"), F.col(vector).alias("_a"))
-    b = right.select(*key, F.col(right_set).alias("set_2"), F.col(vector).alias("_b"))
+    """Sets of vectors compared: mean of the k best cosines, and whether min(n1, n2, k) pairs are over `limit`.
+
+    Vectors meet in blocks (`meeting`); of each pair of sets a block returns its k
+    best cosines and its count, so pairs of vectors are never written out.  With
+    `key`, only vectors equal in it are compared.  A pair with a zero vector has no
+    cosine and does not count.
+    """
+    a = left.select(*key, F.col(left_set).alias("set_1"), F.col(vector).cast("array<double>").alias("v"))
+    b = right.select(*key, F.col(right_set).alias("set_2"), F.col(vector).cast("array<double>").alias("v"))
     n1 = a.groupBy("set_1").agg(F.count("*").alias("n_1"))
     n2 = b.groupBy("set_2").agg(F.count("*").alias("n_2"))
-    join = a.join(b, list(key)) if key else a.crossJoin(b)
-    pairs = join.withColumn("s", V.cosine(F.col("_a"), F.col("_b"))).drop("_a", "_b")
-    # Of each pair of sets only the best k similarities are needed: a rank that is cut before it is shuffled.
-    w = Window.partitionBy("set_1", "set_2").orderBy(F.desc("s"))
-    over = pairs.groupBy("set_1", "set_2").agg(F.count_if(F.col("s") >= limit).alias("n_over"))
-    top = pairs.withColumn("_row", F.row_number().over(w)).where(F.col("_row") <= k).groupBy("set_1", "set_2").agg(F.avg("s").alias("mean_of_top"))
-    out = top.join(over, ["set_1", "set_2"]).join(n1, "set_1").join(n2, "set_2")
+    kinds = dict(a.dtypes)["set_1"], dict(b.dtypes)["set_2"]
+
+    def kernel(one: pa.Table, two: pa.Table) -> pa.Table:
+        s = cosine_matrix(stacked(one["v"]), stacked(two["v"]))
+        s[np.linalg.norm(stacked(one["v"]), axis=1) == 0] = s[:, np.linalg.norm(stacked(two["v"]), axis=1) == 0] = np.nan
+        rows, columns = one["set_1"].combine_chunks().dictionary_encode(), two["set_2"].combine_chunks().dictionary_encode()
+        i, j = rows.indices.to_numpy(), columns.indices.to_numpy()
+        first, second, tops, over, n = [], [], [], [], []
+        for x in range(len(rows.dictionary)):
+            for y in range(len(columns.dictionary)):
+                own = s[np.ix_(i == x, j == y)].ravel()
+                own = own[~np.isnan(own)]
+                first.append(x)
+                second.append(y)
+                tops.append(-np.sort(-own)[:k] if len(own) <= 4 * k else -np.sort(np.partition(-own, k)[:k]))
+                over.append(int((own >= limit).sum()))
+                n.append(len(own))
+        return pa.table({"set_1": rows.dictionary.take(pa.array(first)), "set_2": columns.dictionary.take(pa.array(second)), "tops": pa.array(tops, pa.list_(pa.float64())), "n_over": pa.array(over, pa.int64()), "n_pairs": pa.array(n, pa.int64())})
+
+    found = meeting(a, b, kernel, f"set_1 {kinds[0]}, set_2 {kinds[1]}, tops array<double>, n_over long, n_pairs long", by=key)
+    best = V.mean_of_top(F.flatten(F.collect_list("tops")), k).alias("mean_of_top")
+    out = found.groupBy("set_1", "set_2").agg(best, F.sum("n_over").alias("n_over"), F.sum("n_pairs").alias("n_pairs")).where("n_pairs > 0").drop("n_pairs")
+    out = out.join(n1, "set_1").join(n2, "set_2")
     return out.withColumn("similar", F.col("n_over") >= F.least("n_1", "n_2", F.lit(k)))
 
 
@@ -138,6 +162,51 @@ def fill_from_track(df: DataFrame, track: Sequence[str], frame: str, value: str)
     return df.withColumn(value, F.coalesce(F.col(value), first))
 
 
+def stacked(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as the rows of a matrix."""
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def meeting(left: DataFrame, right: DataFrame, kernel: Callable[[pa.Table, pa.Table], pa.Table], schema: str, group: int = 2048, part: int = 16384, by: Sequence[str] = ()) -> DataFrame:
+    """What `kernel` makes of every group of `left` rows and every part of `right` rows.
+
+    Groups and parts are of bounded size (`group` and `part` rows or so), dealt out
+    by a hash of the rows; rows equal in `by`, if given, meet only each other.
+    """
+    groups, parts = (max(1, -(-x.count() // n)) for x, n in ((left, group), (right, part)))
+
+    def dealt(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+        rest = [c for c in df.columns if c not in by]
+        return df.withColumn(own, F.pmod(F.xxhash64(*rest), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+
+    empty = T.StructType.fromDDL(schema)
+
+    def meet(one: pa.Table, two: pa.Table) -> pa.Table:
+        return kernel(one, two) if len(one) and len(two) else to_arrow_schema(empty).empty_table()
+
+    a, b = dealt(left, "_a", groups, "_b", parts), dealt(right, "_b", parts, "_a", groups)
+    return a.groupBy(*by, "_a", "_b").cogroup(b.groupBy(*by, "_a", "_b")).applyInArrow(meet, schema)
+
+
+def _vectors(df: DataFrame, id_col: str, vector: str, *more: str) -> DataFrame:
+    return df.where(F.col(id_col).isNotNull() & F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"), *more)
+
+
+def distances(queries: DataFrame, gallery: DataFrame, query_id: str, gallery_id: str, vector: str) -> DataFrame:
+    """(q, g, distance): 1 - cosine (1 with a zero vector) of each query with each gallery row, by matrix products in blocks.
+
+    Rows with a null id or vector are left out.
+    """
+    a, b = _vectors(queries, query_id, vector), _vectors(gallery, gallery_id, vector)
+
+    def kernel(one: pa.Table, two: pa.Table) -> pa.Table:
+        d = 1 - cosine_matrix(stacked(one["v"]), stacked(two["v"]))
+        n, m = d.shape
+        return pa.table({"q": one["id"].combine_chunks().take(pa.array(np.repeat(np.arange(n), m))), "g": two["id"].combine_chunks().take(pa.array(np.tile(np.arange(m), n))), "distance": d.ravel()})
+
+    return meeting(a, b, kernel, f"q {dict(a.dtypes)['id']}, g {dict(b.dtypes)['id']}, distance double", group=512, part=4096)
+
+
 def neighbours(queries: DataFrame, gallery: DataFrame, query_id: str, gallery_id: str, vector: str, k: int, metric: str = "cosine", group: int = 2048, part: int = 16384) -> DataFrame:
     """The k nearest gallery rows of each query, by distance, then gallery id: (q, g, distance, rank).
 
@@ -146,26 +215,36 @@ def neighbours(queries: DataFrame, gallery: DataFrame, query_id: str, gallery_id
     product; every meeting keeps k rows a query, so pairs are never written out.
     Rows with a null id or vector are left out.
     """
-    a = queries.where(F.col(query_id).isNotNull() & F.col(vector).isNotNull()).select(F.col(query_id).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    b = gallery.where(F.col(gallery_id).isNotNull() & F.col(vector).isNotNull()).select(F.col(gallery_id).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    groups, parts = (max(1, -(-x.count() // n)) for x, n in ((a, group), (b, part)))
+    a, b = _vectors(queries, query_id, vector), _vectors(gallery, gallery_id, vector)
 
-    def dealt(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"q": [], "g": [], "distance": []})
-        right = right.sort_values("id", kind="stable")
-        x, y, ids = np.stack(left["v"]), np.stack(right["v"]), right["id"].to_numpy()
+    def kernel(one: pa.Table, two: pa.Table) -> pa.Table:
+        two = two.sort_by("id")
+        x, y = stacked(one["v"]), stacked(two["v"])
         if metric == "cosine":
             d = 1 - cosine_matrix(x, y)
         else:
             d = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0)
         # Equal distances keep the order of ids.
         near = np.argsort(d, 1, kind="stable")[:, :k]
-        return pd.DataFrame({"q": np.repeat(left["id"].to_numpy(), near.shape[1]), "g": ids[near].ravel(), "distance": np.take_along_axis(d, near, 1).ravel()})
+        return pa.table({"q": one["id"].combine_chunks().take(pa.array(np.repeat(np.arange(len(x)), near.shape[1]))), "g": two["id"].combine_chunks().take(pa.array(near.ravel())), "distance": np.take_along_axis(d, near, 1).ravel()})
 
-    kinds = dict(a.dtypes)["id"], dict(b.dtypes)["id"]
-    found = dealt(a, "_a", groups, "_b", parts).groupBy("_a", "_b").cogroup(dealt(b, "_b", parts, "_a", groups).groupBy("_a", "_b")).applyInPandas(meet, f"q {kinds[0]}, g {kinds[1]}, distance double")
+    found = meeting(a, b, kernel, f"q {dict(a.dtypes)['id']}, g {dict(b.dtypes)['id']}, distance double", group, part)
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", "g"))).where(F.col("rank") <= k)
+
+
+def hardest(rows: DataFrame, id_col: str, identity: str, vector: str) -> DataFrame:
+    """For each row the distance to the farthest other one of its identity and to the nearest of another (null without any).
+
+    Rows meet in blocks that return one row an anchor.  Equal ids are one anchor, with a distance to itself left out.
+    """
+    own = _vectors(rows, id_col, vector, F.col(identity).alias("label"))
+
+    def kernel(one: pa.Table, two: pa.Table) -> pa.Table:
+        d = 1 - cosine_matrix(stacked(one["v"]), stacked(two["v"]))
+        same = np.asarray(one["label"].to_pylist(), object)[:, None] == np.asarray(two["label"].to_pylist(), object)[None]
+        self = np.asarray(one["id"].to_pylist(), object)[:, None] == np.asarray(two["id"].to_pylist(), object)[None]
+        far, near = np.where(same & ~self, d, -np.inf).max(1), np.where(~same & ~self, d, np.inf).min(1)
+        return pa.table({"a": one["id"].combine_chunks(), "hardest_positive": pa.array(far, mask=np.isinf(far)), "hardest_negative": pa.array(near, mask=np.isinf(near))})
+
+    found = meeting(own, own, kernel, f"a {dict(own.dtypes)['id']}, hardest_positive double, hardest_negative double")
+    return found.groupBy("a").agg(F.max("hardest_positive").alias("hardest_positive"), F.min("hardest_negative").alias("hardest_negative"))

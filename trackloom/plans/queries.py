@@ -291,12 +291,6 @@ def j3_nearest_gt(spark, sf):
     return pairs.nearest(gt, tr, ["frame"], "gt", "tr", ["x1", "y1"]).withColumn("distance", r6("distance"))
 
 
-@query()
-def j7_positional_distance_whole(spark, sf):
-    """As j7_positional_distance, over all tracks."""
-    return pairs.positional_distance(trk(spark, sf), "user_id", "frame", ["x1", "y1"]).withColumn("distance", r6("distance"))
-
-
 @query(f"WITH {TRK}, n AS (SELECT user_id, count(*) AS n FROM trk GROUP BY user_id), s AS (SELECT a.user_id AS id_1, b.user_id AS id_2, count(*) AS n_shared FROM trk a JOIN trk b ON a.frame = b.frame AND a.user_id < b.user_id GROUP BY ALL) SELECT id_1, id_2, n_shared, x.n AS n_1, y.n AS n_2, n_shared / least(x.n, y.n) AS ratio FROM s JOIN n x ON x.user_id = id_1 JOIN n y ON y.user_id = id_2")
 def j5_pair_overlap(spark, sf):
     return pairs.overlap_ratio(trk(spark, sf).select("frame", "user_id"), "frame", "user_id")
@@ -309,9 +303,9 @@ def j6_frame_distance(spark, sf):
     return out.select("id_1", "id_2", "n_shared", *(r6(c).alias(c) for c in ("least", "mean", "greatest")))
 
 
-@query(f"WITH {TRK}, k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY frame) AS p FROM trk WHERE user_id % 5 = 0) SELECT a.user_id AS id_1, b.user_id AS id_2, count(*) AS n_points, round(avg(sqrt((a.x1 - b.x1) ** 2 + (a.y1 - b.y1) ** 2)), 6) AS distance FROM k a JOIN k b ON a.p = b.p AND a.user_id < b.user_id GROUP BY ALL")
+@query(f"WITH {TRK}, k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY frame) AS p FROM trk) SELECT a.user_id AS id_1, b.user_id AS id_2, count(*) AS n_points, round(avg(sqrt((a.x1 - b.x1) ** 2 + (a.y1 - b.y1) ** 2)), 6) AS distance FROM k a JOIN k b ON a.p = b.p AND a.user_id < b.user_id GROUP BY ALL")
 def j7_positional_distance(spark, sf):
-    return pairs.positional_distance(trk(spark, sf).where("user_id % 5 = 0"), "user_id", "frame", ["x1", "y1"]).withColumn("distance", r6("distance"))
+    return pairs.positional_distance(trk(spark, sf), "user_id", "frame", ["x1", "y1"]).withColumn("distance", r6("distance"))
 
 
 @query(f"WITH {EV}, s AS (SELECT user_id * 100 + frame // 16 % 100 AS id, user_id % 4 AS cam, min(frame) AS f, max(frame) AS l FROM ev GROUP BY ALL) SELECT a.id AS id_1, b.id AS id_2, least(a.l, b.l) - greatest(a.f, b.f) + 1 AS n_shared FROM s a JOIN s b ON a.id < b.id AND a.cam <> b.cam AND least(a.l, b.l) - greatest(a.f, b.f) + 1 >= 12")
@@ -333,18 +327,10 @@ def p17_normalise(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.transform(V.normalised(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
 
 
-@query(f"WITH {_EMB}, a AS (SELECT label AS set_1, v FROM e WHERE vec_id % 4 = 0), b AS (SELECT label AS set_2, v FROM e WHERE vec_id % 4 = 1), p AS (SELECT set_1, set_2, list_cosine_similarity(a.v, b.v) AS s FROM a, b), k AS (SELECT *, row_number() OVER (PARTITION BY set_1, set_2 ORDER BY s DESC) AS r FROM p) SELECT set_1, set_2, round(avg(s) FILTER (r <= 5), 6) AS mean_of_top, count(*) FILTER (s >= 0.3) AS n_over, any_value(n.c) AS n_1, any_value(m.c) AS n_2, count(*) FILTER (s >= 0.3) >= least(any_value(n.c), any_value(m.c), 5) AS similar FROM k JOIN (SELECT set_1 AS s1, count(*) AS c FROM a GROUP BY 1) n ON s1 = set_1 JOIN (SELECT set_2 AS s2, count(*) AS c FROM b GROUP BY 1) m ON s2 = set_2 GROUP BY set_1, set_2")
+@query(f"WITH {_EMB}, a AS (SELECT label AS set_1, v FROM e WHERE vec_id % 2 = 0), b AS (SELECT label AS set_2, v FROM e WHERE vec_id % 2 = 1), p AS (SELECT set_1, set_2, list_cosine_similarity(a.v, b.v) AS s FROM a, b), k AS (SELECT *, row_number() OVER (PARTITION BY set_1, set_2 ORDER BY s DESC) AS r FROM p) SELECT set_1, set_2, round(avg(s) FILTER (r <= 5), 6) AS mean_of_top, count(*) FILTER (s >= 0.3) AS n_over, any_value(n.c) AS n_1, any_value(m.c) AS n_2, count(*) FILTER (s >= 0.3) >= least(any_value(n.c), any_value(m.c), 5) AS similar FROM k JOIN (SELECT set_1 AS s1, count(*) AS c FROM a GROUP BY 1) n ON s1 = set_1 JOIN (SELECT set_2 AS s2, count(*) AS c FROM b GROUP BY 1) m ON s2 = set_2 GROUP BY set_1, set_2")
 def j12_topk_pair_mean(spark, sf):
     rows = table(spark, sf, "embeddings")
-    out = pairs.set_similarity(rows.where("vec_id % 4 = 0"), rows.where("vec_id % 4 = 1"), [], "label", "label", "embedding", 5, 0.3)
-    return out.withColumn("mean_of_top", r6("mean_of_top"))
-
-
-@query()
-def j12_topk_pair_mean_whole(spark, sf):
-    """As j12_topk_pair_mean, with every vector on one side: even ids left, odd ids right."""
-    rows = table(spark, sf, "embeddings")
-    out = pairs.set_similarity(rows.where("vec_id % 2 = 0"), rows.where("vec_id % 2 <> 0"), [], "label", "label", "embedding", 5, 0.3)
+    out = pairs.set_similarity(rows.where("vec_id % 2 = 0"), rows.where("vec_id % 2 = 1"), [], "label", "label", "embedding", 5, 0.3)
     return out.withColumn("mean_of_top", r6("mean_of_top"))
 
 
@@ -424,9 +410,7 @@ _NN = f"{_EMB}, q AS (SELECT * FROM e WHERE vec_id % 10 = 0), g AS (SELECT * FRO
 def _ranked(spark, sf):
     rows = table(spark, sf, "embeddings")
     queries, gallery = rows.where("vec_id % 10 = 0"), rows.where("vec_id % 10 <> 0")
-    a = queries.select(F.col("vec_id").alias("q"), F.col("embedding").alias("_a"))
-    b = gallery.select(F.col("vec_id").alias("g"), F.col("embedding").alias("_b"))
-    found = a.crossJoin(b).select("q", "g", F.round(1 - V.cosine(F.col("_a"), F.col("_b")), 9).alias("distance"))
+    found = pairs.distances(queries, gallery, "vec_id", "vec_id", "embedding").withColumn("distance", F.round("distance", 9))
     return retrieval.ranked(found, queries.select(F.col("vec_id").alias("q"), F.col("label").alias("pid"), (F.col("vec_id") % 4).alias("camid")), gallery.select(F.col("vec_id").alias("g"), F.col("label").alias("pid"), (F.col("vec_id") % 4).alias("camid")))
 
 
@@ -467,23 +451,10 @@ def c19_query_expansion(spark, sf):
     return out.select("q", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
-@query(f"WITH {_EMB}, d AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, 1 - list_cosine_similarity(a.v, b.v) AS x FROM e a, e b WHERE a.vec_id % 10 = 0 AND a.vec_id <> b.vec_id) SELECT a, round(max(x) FILTER (same), 6) AS hardest_positive, round(min(x) FILTER (NOT same), 6) AS hardest_negative FROM d GROUP BY a")
+@query(f"WITH {_EMB}, d AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, 1 - list_cosine_similarity(a.v, b.v) AS x FROM e a, e b WHERE a.vec_id <> b.vec_id) SELECT a, round(max(x) FILTER (same), 6) AS hardest_positive, round(min(x) FILTER (NOT same), 6) AS hardest_negative FROM d GROUP BY a")
 def c23_hardest(spark, sf):
-    return _hardest(spark, sf, "vec_id % 10 = 0")
-
-
-@query()
-def c23_hardest_whole(spark, sf):
-    """As c23_hardest, with every vector as an anchor."""
-    return _hardest(spark, sf, "true")
-
-
-def _hardest(spark, sf, anchors):
-    rows = table(spark, sf, "embeddings")
-    a = rows.where(anchors).select(F.col("vec_id").alias("a"), F.col("label").alias("la"), F.col("embedding").alias("ea"))
-    b = rows.select(F.col("vec_id").alias("b"), F.col("label").alias("lb"), F.col("embedding").alias("eb"))
-    found = a.crossJoin(b).select("a", "b", (F.col("la") == F.col("lb")).cast("int").alias("same"), (1 - V.cosine(F.col("ea"), F.col("eb"))).alias("distance"))
-    return retrieval.hardest(found).select("a", r6("hardest_positive").alias("hardest_positive"), r6("hardest_negative").alias("hardest_negative"))
+    out = pairs.hardest(table(spark, sf, "embeddings"), "vec_id", "label", "embedding")
+    return out.select("a", r6("hardest_positive").alias("hardest_positive"), r6("hardest_negative").alias("hardest_negative"))
 
 
 @query("SELECT vec_id, label, 1.0 / count(*) OVER (PARTITION BY label) AS weight FROM embeddings")
