@@ -219,3 +219,19 @@ def fuse_iou(appearance_cost: Column, similarity: Column) -> Column:
 def fuse_motion(cost: Column, gate_distance: Column, limit: float, share: float = 0.98) -> Column:
     """Cost mixed with the squared Mahalanobis distance; infinite beyond the gate."""
     return F.when(gate_distance > limit, F.lit(float("inf"))).otherwise(share * cost + (1 - share) * gate_distance)
+
+
+def project_by(matrix: Column, x: Column, y: Column) -> Column:
+    """`project` with a matrix that is a column of nested arrays; null where there is none."""
+
+    def row(i: int) -> Column:
+        r = F.get(matrix, F.lit(i))
+        return F.get(r, F.lit(0)) * x + F.get(r, F.lit(1)) * y + F.get(r, F.lit(2))
+
+    w = F.nullif(row(2), F.lit(0.0))
+    return F.when(w.isNotNull(), F.struct((row(0) / w).alias("x"), (row(1) / w).alias("y")))
+
+
+def half_even(value: Column, digits: int = 6) -> Column:
+    """P20: rounded to `digits` places, a tie to the even neighbour."""
+    return F.bround(value, digits)

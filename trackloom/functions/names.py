@@ -50,3 +50,9 @@ def feature_name(path: Column) -> Column:
     score = F.concat(F.substring(part(7), 1, 1), F.lit("."), F.coalesce(F.substring(part(7), 2, 30), F.lit("0")))
     kinds = [(1, "frame", "int"), (2, "n", "int"), (3, "x1", "int"), (4, "x2", "int"), (5, "y1", "int"), (6, "y2", "int")]
     return F.struct(*(part(i).cast(t).alias(n) for i, n, t in kinds), score.try_cast("double").alias("score"), part(8).cast("int").alias("class_id"))
+
+
+def label_colour(label: Column) -> Column:
+    """Blue, green and red of an id, from the first bytes of the MD5 of its text."""
+    digest = F.md5(label.cast("string").cast("binary"))
+    return F.struct(*(F.conv(F.substring(digest, at, 2), 16, 10).cast("int").alias(name) for name, at in (("b", 5), ("g", 3), ("r", 1))))

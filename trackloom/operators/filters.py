@@ -122,3 +122,42 @@ def unique_across(df: DataFrame, id_col: str, owner: str) -> DataFrame:
 def timesteps(df: DataFrame, video: str, order: str) -> DataFrame:
     """Place of each image in its video, from 0."""
     return df.withColumn("timestep", F.row_number().over(Window.partitionBy(video).orderBy(order)) - 1)
+
+
+def noise_level(keypoints: Column, sure: float = 0.75) -> Column:
+    """4 without a sure joint, 3 with one, 2 with two of which none is of the head (places 0 to 4), else 0."""
+    places = F.filter(F.transform(keypoints, lambda k, i: F.when(k["score"] > sure, i)), lambda i: i.isNotNull())
+    n = F.size(places)
+    return F.when(n == 0, 4).when(n == 1, 3).when((n == 2) & (F.array_min(places) > 4), 2).otherwise(0)
+
+
+def without_noise_images(df: DataFrame, keypoints: DataFrame, key: Sequence[str], global_id: str = "global_id", box: str = "box", joints: str = "keypoints", widest: float = 3.0, tallest: float = 5.0, small: float = 100.0) -> DataFrame:
+    """rows with a global id and key points, whose box is no sliver and whose key points are sure enough.
+
+    Noise level 2 is let pass where the box's shorter side is under `small`.
+    `keypoints` has the key and `joints`; of several, the first by level counts.
+    """
+    levels = keypoints.groupBy(*key).agg(F.min(noise_level(F.col(joints))).alias("_level"))
+    b = F.col(box)
+    w, h = b["x2"] - b["x1"], b["y2"] - b["y1"]
+    fits = (w <= widest * h) & (h <= tallest * w)
+    sure = (F.col("_level") < 2) | ((F.col("_level") == 2) & (F.least(w, h) < small))
+    return df.where(F.col(global_id).isNotNull()).join(levels, list(key)).where(fits & sure).drop("_level")
+
+
+def eligible(df: DataFrame, n: str, score: str, least_rows: int, most_score: float, class_col: str | None = None, posed: Sequence[str] = ("Person", "FourierGR1T2", "AgilityDigit")) -> DataFrame:
+    """representatives of tracks of at least `least_rows` rows whose condition is at most `most_score`; with `class_col` only classes that have a pose are held to it."""
+    good = F.col(score) <= most_score
+    if class_col is not None:
+        good = good | ~F.col(class_col).isin(*posed)
+    return df.where((F.col(n) >= least_rows) & good)
+
+
+def largest(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """The greatest value of a column, over all rows or by group."""
+    return df.groupBy(*by).agg(F.max(column).alias(column))
+
+
+def numeric_order(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows in order of columns that hold numbers as text, those that are none at the end, as text."""
+    return df.orderBy(*(c for name in columns for c in (F.col(name).try_cast("long").asc_nulls_last(), F.col(name))))

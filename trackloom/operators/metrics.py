@@ -9,6 +9,7 @@ need no kernel.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .assignment import assign
+from .assignment import assign, assign_pairs, iou_matrix
 from .times import list_parts, matrices
 
 ALPHAS = np.arange(1, 20) * 0.05
@@ -79,43 +80,96 @@ def hota_parts(frames: Sequence[Frame], n_gt: int, n_tracker: int) -> list[Parts
     return out
 
 
-def clear_parts(frames: Sequence[Frame], n_gt: int, n_tracker: int, threshold: float = 0.5) -> list[Parts]:
+class Clear:
     """M3: matches that go on from the frame before come first; switches count against the last id a track ever had.
 
-    A frame with one side empty is passed over: what was matched before it goes on after it.
+    A frame with one side empty is passed over: what was matched before it goes on
+    after it.  Ids are any hashable values; frames are taken one at a time.
     """
-    tp = fn = fp = switches = 0
-    overlap = 0.0
-    last, before = np.full(n_gt, -1), np.full(n_gt, -1)
-    present, matched, starts = np.zeros(n_gt), np.zeros(n_gt), np.zeros(n_gt)
-    for f in frames:
-        if not len(f.gt) or not len(f.tracker):
-            present[f.gt] += 1
-            fn += len(f.gt)
-            fp += len(f.tracker)
-            continue
-        goes_on = (before[f.gt][:, None] == f.tracker[None]) & (f.similarity >= threshold - EPS)
-        score = np.where(f.similarity >= threshold - EPS, 1000.0 * goes_on + f.similarity, 0.0)
+
+    def __init__(self, threshold: float = 0.5):
+        self.threshold, self.frames = threshold, 0
+        self.tp = self.fn = self.fp = self.switches = 0
+        self.overlap = 0.0
+        self.last: dict = {}
+        self.before: dict = {}
+        self.present: Counter = Counter()
+        self.matched: Counter = Counter()
+        self.starts: Counter = Counter()
+
+    def update(self, gt: Sequence, tracker: Sequence, similarity: np.ndarray) -> list[tuple]:
+        """Takes a frame's ids and their similarities; returns the pairs that match."""
+        self.frames += 1
+        self.present.update(gt)
+        if not len(gt) or not len(tracker):
+            self.fn += len(gt)
+            self.fp += len(tracker)
+            return []
+        near = similarity >= self.threshold - EPS
+        score = np.where(near, similarity, 0.0)
+        place = {k: j for j, k in enumerate(tracker)}
+        for i, g in enumerate(gt):
+            j = place.get(self.before.get(g))
+            if j is not None and near[i, j]:
+                score[i, j] += 1000.0
         rows, columns = assign(-score)
         ok = score[rows, columns] > EPS
-        g, k = f.gt[rows[ok]], f.tracker[columns[ok]]
-        switches += int(((last[g] >= 0) & (last[g] != k)).sum())
-        present[f.gt] += 1
-        matched[g] += 1
-        starts[g] += before[g] < 0
-        last[g] = k
-        before[:] = -1
-        before[g] = k
-        tp += len(g)
-        fn += len(f.gt) - len(g)
-        fp += len(f.tracker) - len(g)
-        overlap += float(f.similarity[rows[ok], columns[ok]].sum())
-    share = matched[present > 0] / present[present > 0]
-    mostly, partly = int((share > 0.8).sum()), int(((share >= 0.2) & (share <= 0.8)).sum())
-    sums = {"CLR_TP": tp, "CLR_FN": fn, "CLR_FP": fp, "IDSW": switches, "MOTP_sum": overlap, "MT": mostly, "PT": partly, "ML": n_gt - mostly - partly, "Frag": float(np.maximum(starts - 1, 0).sum()), "CLR_Frames": len(frames) if n_gt and n_tracker else 0}
+        pairs = [(gt[i], tracker[j]) for i, j in zip(rows[ok], columns[ok])]
+        for g, k in pairs:
+            self.switches += g in self.last and self.last[g] != k
+            self.starts[g] += g not in self.before
+            self.matched[g] += 1
+            self.last[g] = k
+        self.before = dict(pairs)
+        self.tp += len(pairs)
+        self.fn += len(gt) - len(pairs)
+        self.fp += len(tracker) - len(pairs)
+        self.overlap += float(similarity[rows[ok], columns[ok]].sum())
+        return pairs
+
+    def parts(self, n_gt: int | None = None) -> dict[str, float]:
+        """Additive parts so far; `n_gt` is the number of ground-truth ids (default: those seen)."""
+        shares = [self.matched[g] / n for g, n in self.present.items()]
+        mostly, partly = sum(x > 0.8 for x in shares), sum(0.2 <= x <= 0.8 for x in shares)
+        n_gt = len(self.present) if n_gt is None else n_gt
+        return {"CLR_TP": self.tp, "CLR_FN": self.fn, "CLR_FP": self.fp, "IDSW": self.switches, "MOTP_sum": self.overlap, "MT": mostly, "PT": partly, "ML": n_gt - mostly - partly, "Frag": sum(max(0, n - 1) for n in self.starts.values()), "CLR_Frames": self.frames}
+
+
+def clear_parts(frames: Sequence[Frame], n_gt: int, n_tracker: int, threshold: float = 0.5) -> list[Parts]:
+    """M3: the parts of a sequence; without rows on one side no frame counts."""
+    state = Clear(threshold)
+    for f in frames:
+        state.update(f.gt.tolist(), f.tracker.tolist(), f.similarity)
+    sums = state.parts(n_gt) | ({} if n_gt and n_tracker else {"CLR_Frames": 0})
     return [Parts(k, None, float(v)) for k, v in sums.items()]
 
 
+class Online:
+    """Scores of a tracker while it runs; frames are taken in order, boxes as corners.
+
+    Tracker boxes that are matched to a box to ignore, by IoU of 0.5 or more, are
+    taken out first; the others are matched with the ground truth.
+    """
+
+    def __init__(self, threshold: float = 0.5):
+        self.clear = Clear(threshold)
+
+    def update(self, gt_ids: Sequence, gt_boxes: np.ndarray, tracker_ids: Sequence, tracker_boxes: np.ndarray, ignored_boxes: np.ndarray | None = None) -> list[tuple]:
+        """Takes a frame; returns the pairs that match."""
+        tracker_ids, tracker_boxes = list(tracker_ids), np.asarray(tracker_boxes, float).reshape(-1, 4)
+        if ignored_boxes is not None and len(ignored_boxes) and len(tracker_ids):
+            apart = 1 - iou_matrix(ignored_boxes, tracker_boxes)
+            _, hit = assign_pairs(apart, 0.5)
+            kept = np.setdiff1d(np.arange(len(tracker_ids)), hit)
+            tracker_ids, tracker_boxes = [tracker_ids[k] for k in kept], tracker_boxes[kept]
+        return self.clear.update(list(gt_ids), tracker_ids, iou_matrix(gt_boxes, tracker_boxes))
+
+    def scores(self) -> dict[str, float]:
+        """Parts so far, with MOTA and MOTP."""
+        p = self.clear.parts()
+        return p | {"MOTA": (p["CLR_TP"] - p["CLR_FP"] - p["IDSW"]) / max(1, p["CLR_TP"] + p["CLR_FN"]), "MOTP": p["MOTP_sum"] / max(1, p["CLR_TP"])}
+
+
 def identity_parts(frames: Sequence[Frame], n_gt: int, n_tracker: int, threshold: float = 0.5) -> list[Parts]:
     """M4: one matching of whole tracks with the most matched detections."""
     overlap = np.zeros((n_gt, n_tracker))
@@ -307,3 +361,24 @@ def travelled(gt: DataFrame, matches: DataFrame) -> DataFrame:
 
     kind = gt.schema["seq"].dataType.simpleString()
     return rows.groupBy("seq").applyInPandas(run, f"seq {kind}, IDEucl double")
+
+
+def world_evaluate(gt: DataFrame, tracker: DataFrame, metrics: Sequence[str] = (*KERNELS, "Count")) -> DataFrame:
+    """`evaluate` for upright boxes in the world, similar by their 3-D IoU.
+
+    Both tables have seq, frame (from 1), id and box (x, y, z, l, w, h), of one class.
+    Times are those up to the last ground-truth frame of a sequence.  Ids are not
+    numbered anew: each side has as many as its greatest id and one more.
+    """
+    from ..functions.geometry import iou_3d
+
+    lengths = gt.groupBy("seq").agg(F.max("frame").alias("n_times"))
+    tracker = tracker.join(lengths, "seq").where(F.col("frame") <= F.col("n_times")).drop("n_times")
+    a = gt.select("seq", F.col("frame").alias("t"), F.col("id").alias("gt_id"), F.col("box").alias("a"))
+    b = tracker.select("seq", F.col("frame").alias("t"), F.col("id").alias("tracker_id"), F.col("box").alias("b"))
+    near = a.join(b, ["seq", "t"]).select("seq", "t", "gt_id", "tracker_id", iou_3d(F.col("a"), F.col("b")).alias("similarity"))
+    parts = evaluate(timeline(a, b, near), metrics, lengths)
+    absent = [df.groupBy("seq").agg((F.max("id") + 1 - F.countDistinct("id")).alias(name)) for df, name in ((gt, "_gt"), (tracker, "_tracker"))]
+    out = parts.join(absent[0], "seq", "left").join(absent[1], "seq", "left")
+    more = F.when(F.col("field").isin("ML", "GT_IDs", "VACE_GT_IDs"), F.col("_gt")).when(F.col("field").isin("IDs", "VACE_IDs"), F.col("_tracker")).otherwise(0)
+    return out.withColumn("value", F.col("value") + F.coalesce(more, F.lit(0))).drop("_gt", "_tracker")

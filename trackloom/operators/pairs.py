@@ -248,3 +248,21 @@ def hardest(rows: DataFrame, id_col: str, identity: str, vector: str) -> DataFra
 
     found = meeting(own, own, kernel, f"a {dict(own.dtypes)['id']}, hardest_positive double, hardest_negative double")
     return found.groupBy("a").agg(F.max("hardest_positive").alias("hardest_positive"), F.min("hardest_negative").alias("hardest_negative"))
+
+
+def same_camera_overlap(df: DataFrame, camera: str, id_col: str, frame: str) -> DataFrame:
+    """(camera, id_1, id_2, n_shared): tracks of one camera that are in a frame together, so they cannot be one object."""
+    rows = df.select(camera, frame, F.col(id_col).alias("id_1")).distinct()
+    other = rows.withColumnRenamed("id_1", "id_2")
+    return rows.join(other, [camera, frame]).where("id_1 < id_2").groupBy(camera, "id_1", "id_2").agg(F.count("*").alias("n_shared"))
+
+
+def mark_incompatible(scores: DataFrame, apart: DataFrame, score: str, kind: str = "similarity") -> DataFrame:
+    """`scores` (camera, id_1, id_2, score) where pairs of `apart` have similarity -1, or the greatest finite distance there is."""
+    marked = scores.join(apart.select("camera", "id_1", "id_2").distinct().withColumn("_apart", F.lit(True)), ["camera", "id_1", "id_2"], "left")
+    if kind == "similarity":
+        worst = F.lit(-1.0)
+    else:
+        top = scores.where(F.col(score) < float("inf")).agg(F.max(score).alias("_top"))
+        marked, worst = marked.crossJoin(F.broadcast(top)), F.col("_top")
+    return marked.withColumn(score, F.when(F.col("_apart"), worst).otherwise(F.col(score))).drop("_apart", "_top")

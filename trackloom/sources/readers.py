@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import io
 import json
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -219,6 +221,98 @@ def features(spark: SparkSession, path: str, most_frames: int | None = None) ->
     return out
 
 
+def burst(spark: SparkSession, path: str, truth: bool = True, distractors: Sequence[int] = ()) -> dict[str, DataFrame]:
+    """A BURST document as the tables of `coco_tables`: videos, images, tracks and annotations with masks.
+
+    Videos are numbered by their place, images by video and place, and tracks by
+    video and the number they have there, all in the order of the document.
+    Annotations of `distractors` are left out; only ground truth leaves them out.
+    """
+    seq = "struct<id:long,seq_name:string,dataset:string,width:int,height:int,neg_category_ids:array<long>,not_exhaustive_category_ids:array<long>,track_category_ids:map<string,long>,annotated_image_paths:array<string>,segmentations:array<map<string,struct<rle:string,is_gt:boolean,score:double>>>>"
+    rows = _whole_json(spark, path, f"struct<split:string,sequences:array<{seq}>>").select(F.posexplode("v.sequences").alias("place", "s"))
+    videos = rows.select(F.col("s.id").alias("id"), F.concat_ws("/", "s.dataset", "s.seq_name").alias("name"), "s.neg_category_ids", "s.not_exhaustive_category_ids", F.col("s.width").alias("width"), F.col("s.height").alias("height"))
+    stride = F.lit(1_000_000)
+    image_id = (F.col("s.id") * stride + F.col("frame_index")).alias("id")
+    images = rows.select("s", F.posexplode("s.annotated_image_paths").alias("frame_index", "file")).select(image_id, F.col("s.id").alias("video_id"), "frame_index", F.col("s.width").alias("width"), F.col("s.height").alias("height"), F.concat_ws("/", "s.dataset", "s.seq_name", "file").alias("file_name"))
+    masks = rows.select("s", F.posexplode("s.segmentations").alias("frame_index", "m")).select("s", "frame_index", F.explode("m").alias("local", "mask"))
+    category = F.element_at("s.track_category_ids", F.col("local"))
+    found = masks.select((F.col("s.id") * stride + F.col("frame_index")).alias("image_id"), category.alias("category_id"), (F.col("s.id") * stride + F.col("local").cast("long")).alias("track_id"), F.col("s.id").alias("video_id"), F.struct(F.col("s.height").alias("height"), F.col("s.width").alias("width"), F.col("mask.rle").alias("counts")).alias("mask"), F.col("mask.score").alias("score"))
+    if truth and distractors:
+        found = found.where(~F.col("category_id").isin(*distractors))
+    tracks = found.groupBy("track_id").agg(F.min("category_id").alias("category_id"), F.min("video_id").alias("video_id")).withColumnRenamed("track_id", "id")
+    return {"videos": videos, "images": images, "tracks": tracks, "annotations": found}
+
+
+def indexed_png(content: bytes) -> np.ndarray:
+    """Palette places (or grey values) of a PNG of one channel of 1, 2, 4 or 8 bits, without interlacing."""
+    if content[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("not a PNG file")
+    at, data, head = 8, [], None
+    while at < len(content):
+        size, kind = int.from_bytes(content[at : at + 4], "big"), content[at + 4 : at + 8]
+        body = content[at + 8 : at + 8 + size]
+        if kind == b"IHDR":
+            head = struct.unpack(">IIBBBBB", body)
+        elif kind == b"IDAT":
+            data.append(body)
+        at += 12 + size
+    if head is None or head[3] not in (0, 3) or head[2] > 8 or head[6]:
+        raise ValueError("only PNG files of one channel without interlacing hold masks")
+    width, height, depth = head[:3]
+    stride = -(-width * depth // 8)
+    raw = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(height, stride + 1)
+    out = np.zeros((height, stride), np.uint8)
+    above = np.zeros(stride, np.uint8)
+    for y in range(height):
+        kind, line = raw[y, 0], raw[y, 1:]
+        if kind == 0:
+            own = line
+        elif kind == 1:
+            own = np.cumsum(line, dtype=np.uint8)
+        elif kind == 2:
+            own = line + above
+        else:
+            own = np.zeros(stride, np.uint8)
+            left = corner = 0
+            for x, (value, up) in enumerate(zip(line.tolist(), above.tolist())):
+                if kind == 3:
+                    guess = (left + up) // 2
+                else:
+                    base = left + up - corner
+                    guess = min((left, up, corner), key=lambda c: abs(base - c))
+                left, corner = (value + guess) & 0xFF, up
+                own[x] = left
+        out[y] = above = own
+    if depth == 8:
+        return out
+    bits = np.unpackbits(out, axis=1).reshape(height, -1, depth)
+    return (bits @ (1 << np.arange(depth)[::-1])).astype(np.uint8)[:, :width]
+
+
+def davis(spark: SparkSession, path: str, void: int = 254) -> DataFrame:
+    """Indexed PNG masks in a folder a sequence: (seq, t, id, height, width, counts, void), a row an object; objects count from 1.
+
+    Frames are numbered from 0 in order of their file names.  `void` marks the row
+    of pixels that do not count, whose id is null.
+    """
+    from ..operators.masks import from_mask
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.png").load(path)
+    parts = F.split("path", "/")
+    rows = files.select(F.element_at(parts, -2).alias("seq"), F.element_at(parts, -1).alias("file"), "content")
+    order = rows.select("seq", "file", (F.row_number().over(Window.partitionBy("seq").orderBy("file")) - 1).alias("t"))
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for seq, file, content in zip(frame["seq"], frame["file"], frame["content"]):
+                image = indexed_png(content)
+                own = [(seq, file, None if v == void else int(v), *from_mask(image == v), v == void) for v in np.unique(image) if v]
+                yield pd.DataFrame(own, columns=["seq", "file", "id", "height", "width", "counts", "void"]).astype({"id": "Int64"})
+
+    found = rows.mapInPandas(decode, "seq string, file string, id long, height int, width int, counts string, void boolean")
+    return found.join(order, ["seq", "file"]).select("seq", "t", "id", "height", "width", "counts", "void")
+
+
 def zipped_text(spark: SparkSession, path: str, member: str = ".txt") -> DataFrame:
     """Lines of the members of zip files."""
 
