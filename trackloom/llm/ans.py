@@ -24,6 +24,7 @@ states u64[checkpoints][lanes]; stream u32[words]; crc32 u32.
 from __future__ import annotations
 
 import gc
+import json
 import struct
 import zlib
 from array import array
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .prefix_counts import byte_symbols
+from .prefix_counts import byte_symbols, require_byte_level
 from .pretokens import Pieces, Stretches
 from .scratch import BROADCAST_ROWS, Scratch
 
@@ -184,6 +185,7 @@ class LibraryEncoder:
     def __init__(self, raw: bytes):
         from tokenizers import Tokenizer
 
+        require_byte_level(json.loads(raw))
         self.tokenizer = Tokenizer.from_buffer(raw)
         self.model = self.tokenizer.model
         self.specials = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]

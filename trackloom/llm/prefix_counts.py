@@ -165,10 +165,21 @@ class Grammar:
         return out
 
 
+def require_byte_level(file: dict) -> None:
+    """Refuses a tokenizers file that does more or else than split by the byte-level pattern and merge by rank."""
+    split, model = file.get("pre_tokenizer") or {}, file.get("model") or {}
+    plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    merges = model.get("type") in (None, "BPE") and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    words = all(not any(x.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")) for x in file.get("added_tokens", []))
+    if not (plain and merges and words and not file.get("normalizer") and not file.get("truncation") and not file.get("padding")):
+        raise ValueError("only tokenizers files with a byte-level pattern, plain merges and plain added tokens are supported")
+
+
 def load(path: str) -> tuple[list[tuple[bytes, bytes]], list[str]]:
     """Merges in order, as bytes, and the special strings of a tokenizers file with a byte-level BPE model."""
     with open(path, encoding="utf-8") as f:
         file = json.load(f)
+    require_byte_level(file)
     back = {c: b for b, c in enumerate(byte_symbols())}
     merges = []
     for m in file["model"]["merges"]:
