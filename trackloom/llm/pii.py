@@ -36,6 +36,7 @@ SAMPLE, ROUNDS, CONTEXT = 20_000, 50, 40
 # Gazetteers and cue words.
 SECRET_PREFIXES = "AKIA ASIA ghp_ gho_ github_pat_ glpat- sk_live_ sk_test_ sk- xoxb- xoxp- AIza ya29. eyJ".split()
 GIVEN_NAMES = frozenset("James Mary John Patricia Robert Jennifer Michael Linda William Elizabeth David Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Anna Peter Maria Hans Klaus Sophie Pierre Marie Jean Jacques Carlos Juan Ana Luis Carmen Jose".split())
+TITLES = "Mr Mrs Ms Dr Herr Frau Monsieur Madame Señor Señora".split()
 CUES = {
     "secret": ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "api key", "access key", "private key", "credential", "bearer"),
     "person": ("mr", "mrs", "ms", "dr", "name is", "name:", "named", "signed", "contact", "herr", "frau", "monsieur", "madame", "señor", "señora"),
@@ -53,7 +54,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _CANDIDATES = {
     "secret": re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}(?![A-Za-z0-9_-])"),
-    "person": re.compile(r"(?:" + "|".join(sorted(GIVEN_NAMES)) + r") [A-Z][a-z]+(?![^\W\d_])"),
+    "person": re.compile(r"(?:(?:" + "|".join(sorted(GIVEN_NAMES)) + r") [A-Z][a-z]+|(?:" + "|".join(TITLES) + r")\.? [A-Z][a-z]+(?: [A-Z][a-z]+)?)(?![^\W\d_])"),
     "contact": re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]{1,63})+"),
     "account": re.compile(r"(?<![0-9A-Za-z.+-])(?:[A-Z]{2}[0-9]{2} ?)?[0-9](?:[ -]?[0-9]){6,30}(?![0-9A-Za-z-])"),
 }
@@ -118,7 +119,13 @@ def votes(kind: str, span: str, before: str) -> tuple[int, int, int, int]:
         e = _entropy(span)
         random = 1 if e >= 3.2 and mixed else -1 if e < 2.8 or not digits else 0
     elif kind == "person":
-        shape, listed, random = 1, 1, 0
+        # A title, two names and a listed name are told apart by different labelers.
+        words = span.split()
+        titled = words[0].rstrip(".") in TITLES
+        names = words[titled:]
+        shape = 1 if len(names) > 1 and all(len(w) > 2 for w in names) else 0 if titled else -1
+        listed, random = (1 if names[0] in GIVEN_NAMES else 0), 0
+        before += " name: " * titled
     elif kind == "contact":
         shape, random = 1, 0
         listed = 1 if re.search(r"(?:com|org|net|edu|de|fr|es|uk|io)$", span, re.IGNORECASE) else 0
