@@ -54,11 +54,13 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _CANDIDATES = {
     "secret": re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}(?![A-Za-z0-9_-])"),
-    "person": re.compile(r"(?:(?:" + "|".join(sorted(GIVEN_NAMES)) + r") [A-Z][a-z]+|(?:" + "|".join(TITLES) + r")\.? [A-Z][a-z]+(?: [A-Z][a-z]+)?)(?![^\W\d_])"),
+    "person": re.compile(r"(?:" + "|".join(sorted(GIVEN_NAMES)) + r") [A-Z][a-z]+(?![^\W\d_])"),
     "contact": re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]{1,63})+"),
     "account": re.compile(r"(?<![0-9A-Za-z.+-])(?:[A-Z]{2}[0-9]{2} ?)?[0-9](?:[ -]?[0-9]){6,30}(?![0-9A-Za-z-])"),
 }
 
+_TITLED = re.compile(r"(?:" + "|".join(TITLES) + r")\.? [A-Z][a-z]+(?: [A-Z][a-z]+)?(?![^\W\d_])")
+
 
 def luhn(digits: str) -> bool:
     total = 0
@@ -152,6 +154,19 @@ def _meets(taken: list[tuple[int, str, int]], at: int, start: int, end: int) ->
     return False
 
 
+def _places(kind: str, text: str) -> Iterator[tuple[int, int]]:
+    """Places of a kind's candidates, in order; of persons that meet, the first."""
+    spans = (m.span() for m in _CANDIDATES[kind].finditer(text))
+    if kind != "person" or not (titled := [m.span() for m in _TITLED.finditer(text)]):
+        yield from spans
+        return
+    last = 0
+    for start, end in sorted([*spans, *titled]):
+        if start >= last:
+            yield start, end
+            last = end
+
+
 def candidates(text: str) -> Iterator[tuple[str, int, int, tuple[int, ...]]]:
     """(kind, start, end, votes) of all candidates outside the exact kinds."""
     taken = base_spans(text)
@@ -160,15 +175,14 @@ def candidates(text: str) -> Iterator[tuple[str, int, int, tuple[int, ...]]]:
         if kind in ("secret", "account") and not has_digit or kind == "contact" and "at]" not in text and "at)" not in text:
             continue
         at = 0
-        for m in _CANDIDATES[kind].finditer(text):
-            start, end = m.span()
-            if kind == "secret" and not _DIGIT.search(m[0]) or kind == "person" and start and text[start - 1].isalpha():
+        for start, end in _places(kind, text):
+            if kind == "secret" and not _DIGIT.search(text, start, end) or kind == "person" and start and text[start - 1].isalpha():
                 continue
             while at < len(taken) and taken[at][2] <= start:
                 at += 1
             if _meets(taken, at, start, end):
                 continue
-            yield kind, start, end, votes(kind, m[0], text[max(0, start - CONTEXT) : start])
+            yield kind, start, end, votes(kind, text[start:end], text[max(0, start - CONTEXT) : start])
 
 
 class Model:
