@@ -334,9 +334,10 @@ def j12_topk_pair_mean(spark, sf):
     return out.withColumn("mean_of_top", r6("mean_of_top"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority LIKE '1%')")
 def j15_anti(spark, sf):
-    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an open order of the first priority: all have some order."""
+    orders = table(spark, sf, "orders").where("o_orderstatus = 'P' and o_orderpriority like '1%'").select(F.col("o_custkey").alias("c_custkey"))
     return X.without(table(spark, sf, "customer"), orders, ["c_custkey"]).select("c_custkey", "c_name")
 
 
@@ -386,9 +387,9 @@ def u1_union_offset(spark, sf):
     return A.offset_union(a, table(spark, sf, "customer").select(F.col("c_custkey").alias("k")), ["k"])
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority LIKE '1%'")
 def u2_except(spark, sf):
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("k")).exceptAll(table(spark, sf, "orders").select(F.col("o_custkey").alias("k")).distinct()).distinct()
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("k")).exceptAll(table(spark, sf, "orders").where("o_orderstatus = 'P' and o_orderpriority like '1%'").select(F.col("o_custkey").alias("k")).distinct()).distinct()
 
 
 @query("SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders")

@@ -24,9 +24,23 @@ def session(name: str = "trackloom", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+_local: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share: the one in spark.checkpoint.dir; without it a local one, in a local session only."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("a cluster needs spark.checkpoint.dir: a folder that all its machines share")
+    if "here" not in _local:
+        _local["here"] = "file://" + tempfile.mkdtemp(prefix="trackloom-")
+    return _local["here"]
+
+
 def checkpoints(spark: SparkSession) -> None:
-    """Makes sure that checkpoints have a folder: the one in spark.checkpoint.dir, or a local one where that is unset."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="trackloom-"))
+    """Makes sure that checkpoints have a folder: the shared one."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
