@@ -13,7 +13,7 @@ from ..operators import filters as X
 from ..operators import graph, identities, metrics, pairs, retrieval, tracklets, windows
 from ..session import checkpoints
 from ..sources import writers
-from .queries import _EMB, _PAIR, _ranked, _sides, _times, query, r6
+from .queries import _EMB, _NN, _PAIR, _ranked, _sides, _times, query, r6
 from .tables import EV, TRK, ev, table, trk
 
 
@@ -90,7 +90,11 @@ def w5_fill_short_gaps(spark, sf):
     return out.select("user_id", "frame", r6("x1").alias("x1"), "filled")
 
 
-@query()
+@query(f"""WITH RECURSIVE {TRK}, o AS (SELECT user_id, frame, x1, y1, row_number() OVER (PARTITION BY user_id ORDER BY frame) AS k FROM trk),
+r AS (SELECT user_id, k, frame, x1, y1, 0.0::DOUBLE AS sx, 0.0::DOUBLE AS sy, 0::BIGINT AS piece FROM o WHERE k = 1 UNION ALL
+SELECT user_id, k, frame, x1, y1, CASE WHEN sqrt(vx * vx + vy * vy) > 45 THEN 0.0 ELSE vx END, CASE WHEN sqrt(vx * vx + vy * vy) > 45 THEN 0.0 ELSE vy END, piece + CASE WHEN sqrt(vx * vx + vy * vy) > 45 THEN 1 ELSE 0 END
+FROM (SELECT o.*, r.piece, (1 - pow(0.5, o.frame - r.frame)) * (o.x1 - r.x1) / (o.frame - r.frame) + pow(0.5, o.frame - r.frame) * r.sx AS vx, (1 - pow(0.5, o.frame - r.frame)) * (o.y1 - r.y1) / (o.frame - r.frame) + pow(0.5, o.frame - r.frame) * r.sy AS vy FROM o JOIN r ON o.user_id = r.user_id AND o.k = r.k + 1))
+SELECT user_id, frame, x1, y1, piece FROM r""")
 def w7_warp_pieces(spark, sf):
     return tracklets.split_warps(trk(spark, sf).select("user_id", "frame", "x1", "y1"), ["user_id"], "frame", "x1", "y1", 45.0)
 
@@ -184,7 +188,7 @@ def m14_single_shot_cmc(spark, sf):
     return retrieval.single_shot_cmc(_ranked(spark, sf), gallery, 4, 10)
 
 
-@query()
+@query(f"WITH {_NN}, g AS (SELECT q % 5 AS fold, 0.1::DOUBLE * k AS threshold, sum(CASE WHEN (distance < 0.1::DOUBLE * k) = (hit = 1) THEN 1 ELSE 0 END) AS good, count(*) AS n FROM r, range(1, 20) t(k) GROUP BY ALL), a AS (SELECT threshold, sum(good) AS good, sum(n) AS n FROM g GROUP BY threshold), c AS (SELECT g.*, row_number() OVER (PARTITION BY fold ORDER BY (a.good - g.good) / nullif(a.n - g.n, 0) DESC, threshold) AS place FROM g JOIN a USING (threshold)) SELECT fold, threshold, good / n AS accuracy FROM c WHERE place = 1")
 def m18_verification(spark, sf):
     found = _ranked(spark, sf).select((F.col("q") % 5).alias("fold"), "distance", F.col("hit").alias("same"))
     return retrieval.verification(found, [0.1 * k for k in range(1, 20)], 5)

@@ -9,7 +9,7 @@ from ..functions import names as N
 from ..operators import aggregates as A
 from ..operators import categories as C
 from ..operators import filters as X
-from ..operators import identities, pairs, retrieval, windows
+from ..operators import identities, online, pairs, retrieval, tracklets, windows
 from .queries import _EMB, _PAIR, _sides, query, r6
 from .tables import EV, TRK, ev, table, trk
 
@@ -214,3 +214,38 @@ def w4_fill_all_gaps(spark, sf):
 @query(f"WITH {TRK} SELECT user_id, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS n_frames FROM trk GROUP BY user_id")
 def w9_extent(spark, sf):
     return windows.extent(trk(spark, sf), ["user_id"], "frame")
+
+
+_NEAR = f"{_EMB}, p AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label WHERE a.vec_id = b.vec_id OR list_cosine_similarity(a.v, b.v) >= 0.25)"
+
+
+@query(f"WITH RECURSIVE {_NEAR}, r AS (SELECT a AS node, a AS root FROM p UNION SELECT p.b, r.root FROM r JOIN p ON r.node = p.a) SELECT node AS vec_id, min(root) AS cluster FROM r GROUP BY node")
+def c1_single_linkage(spark, sf):
+    """Clusters of each label by their least member; rows of a frame of their own, so that none is split."""
+    rows = table(spark, sf, "embeddings").select("label", F.col("vec_id").alias("frame"), "vec_id", "embedding")
+    out = tracklets.cluster_detections(rows, ["label"], "frame", "vec_id", "embedding", cut=0.75)
+    names = out.groupBy("label", "local_id").agg(F.min("vec_id").alias("cluster"))
+    return out.join(names, ["label", "local_id"]).select("vec_id", "cluster")
+
+
+@query(f"WITH RECURSIVE {_NEAR}, n AS (SELECT a, count(*) >= 4 AS core FROM p GROUP BY a), c AS (SELECT p.a, p.b FROM p JOIN n x ON x.a = p.a AND x.core JOIN n y ON y.a = p.b AND y.core), r AS (SELECT a AS node, a AS root FROM c UNION SELECT c.b, r.root FROM r JOIN c ON r.node = c.a), k AS (SELECT node, min(root) AS root FROM r GROUP BY node) SELECT n.a AS vec_id, CASE WHEN n.core THEN 'core ' || k.root WHEN EXISTS (SELECT 1 FROM p JOIN n x ON x.a = p.b AND x.core WHERE p.a = n.a) THEN 'border' ELSE 'alone' END AS place FROM n LEFT JOIN k ON k.node = n.a")
+def c2_density_clusters(spark, sf):
+    """Cores with the least core of their cluster; which cluster a border point joins is a matter of order."""
+    rows = table(spark, sf, "embeddings").select("label", F.col("vec_id").alias("frame"), "vec_id", "embedding")
+    out = tracklets.cluster_detections(rows, ["label"], "frame", "vec_id", "embedding", method="density", reach=0.75, least_points=4)
+    near = pairs.feature_pairs(rows, ["label"], "vec_id", "embedding", 0.25)
+    ends = near.select(F.col("member_1").alias("vec_id")).unionByName(near.select(F.col("member_2").alias("vec_id")))
+    cores = ends.groupBy("vec_id").agg(F.count("*").alias("n")).where("n >= 3").select("vec_id", F.lit(True).alias("core"))
+    marked = out.join(cores, "vec_id", "left")
+    names = marked.groupBy("label", "local_id").agg(F.min(F.when(F.col("core"), F.col("vec_id"))).alias("first"))
+    place = F.when(F.col("core"), F.concat_ws(" ", F.lit("core"), "first")).when(F.col("first").isNotNull(), "border").otherwise("alone")
+    return marked.join(names, ["label", "local_id"]).select("vec_id", place.alias("place"))
+
+
+@query(f"WITH {TRK}, b AS (SELECT event_id, user_id, frame, CASE WHEN frame - lag(frame) OVER w > 7 THEN 1 ELSE 0 END AS fresh FROM trk WINDOW w AS (PARTITION BY user_id ORDER BY frame)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY frame) AS s FROM b) SELECT event_id, min(event_id) OVER (PARTITION BY user_id, s) AS track FROM s")
+def r8_best_overlap(spark, sf):
+    """R8 on users far apart: a track ends when it is not seen for more than seven frames; it is called by its least row."""
+    rows = trk(spark, sf).select((F.col("user_id") % 4).alias("camera"), "frame", "event_id", F.expr("user_id * 1000.0D + frame % 24").alias("x1"), F.lit(0.0).alias("y1"), F.expr("user_id * 1000.0D + frame % 24 + 100").alias("x2"), F.lit(50.0).alias("y2"))
+    out = online.best_overlap(rows, "camera", "event_id")
+    names = out.groupBy("camera", "track_id").agg(F.min("event_id").alias("track"))
+    return out.join(names, ["camera", "track_id"]).select("event_id", "track")
