@@ -188,7 +188,7 @@ def m14_single_shot_cmc(spark, sf):
     return retrieval.single_shot_cmc(_ranked(spark, sf), gallery, 4, 10)
 
 
-@query(f"WITH {_NN}, g AS (SELECT q % 5 AS fold, 0.1::DOUBLE * k AS threshold, sum(CASE WHEN (distance < 0.1::DOUBLE * k) = (hit = 1) THEN 1 ELSE 0 END) AS good, count(*) AS n FROM r, range(1, 20) t(k) GROUP BY ALL), a AS (SELECT threshold, sum(good) AS good, sum(n) AS n FROM g GROUP BY threshold), c AS (SELECT g.*, row_number() OVER (PARTITION BY fold ORDER BY (a.good - g.good) / nullif(a.n - g.n, 0) DESC, threshold) AS place FROM g JOIN a USING (threshold)) SELECT fold, threshold, good / n AS accuracy FROM c WHERE place = 1")
+@query(f"WITH {_NN}, gr AS (SELECT q % 5 AS fold, 0.1::DOUBLE * k AS threshold, sum(CASE WHEN (distance < 0.1::DOUBLE * k) = (hit = 1) THEN 1 ELSE 0 END) AS good, count(*) AS n FROM r, range(1, 20) t(k) GROUP BY ALL), a AS (SELECT threshold, sum(good) AS good, sum(n) AS n FROM gr GROUP BY threshold), c AS (SELECT gr.*, row_number() OVER (PARTITION BY fold ORDER BY (a.good - gr.good) / nullif(a.n - gr.n, 0) DESC, threshold) AS place FROM gr JOIN a USING (threshold)) SELECT fold, threshold, good / n AS accuracy FROM c WHERE place = 1")
 def m18_verification(spark, sf):
     found = _ranked(spark, sf).select((F.col("q") % 5).alias("fold"), "distance", F.col("hit").alias("same"))
     return retrieval.verification(found, [0.1 * k for k in range(1, 20)], 5)
