@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import textcore as tc
 
-SAMPLE, SAMPLE_BYTES, EPOCHS, BATCH, RATE = 6000, 64_000_000, 12, 48, 0.01
+SAMPLE, SAMPLE_BYTES, EPOCHS, BATCH, RATE = 6000, 24_000_000, 12, 48, 0.01
 WIDTHS, FILTERS, SIZE, BITS, STEM = (1, 2, 3), 12, 16, 15, 5
 CALIBRATION_SHARE, POOL = 0.2, 40
 # Frequent function words of some languages.
