@@ -5,13 +5,17 @@ from itertools import permutations
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from trackloom.functions import geometry as G
 from trackloom.operators import assignment
 from trackloom.operators import detection as D
 from trackloom.operators import metrics as M
+from trackloom.operators import pairs
 
 
-def frames(spark, gt, tracker, pairs):
-    return M.timeline(spark.createDataFrame(gt, "seq string, t int, gt_id int"), spark.createDataFrame(tracker, "seq string, t int, tracker_id int"), spark.createDataFrame(pairs, "seq string, t int, gt_id int, tracker_id int, similarity double"))
+def frames(spark, gt, tracker, near):
+    return M.timeline(spark.createDataFrame(gt, "seq string, t int, gt_id int"), spark.createDataFrame(tracker, "seq string, t int, tracker_id int"), spark.createDataFrame(near, "seq string, t int, gt_id int, tracker_id int, similarity double"))
 
 
 def test_a_frame_with_one_side_empty_breaks_nothing(spark):
@@ -86,12 +90,12 @@ def random_rows(seed, n_times=6):
 
 @pytest.mark.parametrize("seed", range(3))
 def test_identity_and_vace_against_all_permutations(spark, seed):
-    gt, tracker, pairs = random_rows(seed)
-    parts = M.evaluate(frames(spark, gt, tracker, pairs), ["Identity", "VACE"])
+    gt, tracker, near = random_rows(seed)
+    parts = M.evaluate(frames(spark, gt, tracker, near), ["Identity", "VACE"])
     overlap, share = np.zeros((4, 4)), np.zeros((4, 4))
     for g in range(4):
         for k in range(4):
-            overlap[g, k] = sum(s >= 0.5 for _, _, a, b, s in pairs if (a, b) == (g, 10 + k))
+            overlap[g, k] = sum(s >= 0.5 for _, _, a, b, s in near if (a, b) == (g, 10 + k))
             either = {t for _, t, a in gt if a == g} | {t for _, t, b in tracker if b == 10 + k}
             share[g, k] = overlap[g, k] / max(1, len(either))
     one = M.finals(parts, "Identity").first()
@@ -101,18 +105,18 @@ def test_identity_and_vace_against_all_permutations(spark, seed):
     for t in range(6):
         own, other = [g for _, u, g in gt if u == t], [k for _, u, k in tracker if u == t]
         if own and other:
-            s = np.array([[next((x for _, u, a, b, x in pairs if (u, a, b) == (t, g, k)), 0.0) for k in other] for g in own])
+            s = np.array([[next((x for _, u, a, b, x in near if (u, a, b) == (t, g, k)), 0.0) for k in other] for g in own])
             fda += best_total(s) / (0.5 * (len(own) + len(other)))
     assert two["STDA"] == pytest.approx(best_total(share)) and two["FDA"] == pytest.approx(fda)
 
 
 @pytest.mark.parametrize("seed", range(3))
 def test_frame_matches_against_all_permutations(spark, seed):
-    gt, tracker, pairs = random_rows(seed + 10)
-    got = D.frame_matches(frames(spark, gt, tracker, pairs), 0.4).collect()
+    gt, tracker, near = random_rows(seed + 10)
+    got = D.frame_matches(frames(spark, gt, tracker, near), 0.4).collect()
     for t in range(6):
         own, other = [g for _, u, g in gt if u == t], [k for _, u, k in tracker if u == t]
-        s = np.array([[next((x for _, u, a, b, x in pairs if (u, a, b) == (t, g, k)), 0.0) for k in other] for g in own]).reshape(len(own), len(other))
+        s = np.array([[next((x for _, u, a, b, x in near if (u, a, b) == (t, g, k)), 0.0) for k in other] for g in own]).reshape(len(own), len(other))
         assert sum(r["similarity"] for r in got if r["t"] == t) == pytest.approx(best_total(np.where(s >= 0.4, s, 0)) if s.size else 0)
 
 
@@ -122,3 +126,19 @@ def test_travelled_share_counts_all_pairs_over_the_limit(spark):
     matches = spark.createDataFrame([("a", t, 1, 7) for t in range(5)] + [("a", t, 1, 8) for t in (0, 4)] + [("a", 2, 1, 9)], "seq string, t int, gt_id int, tracker_id int")
     assert M.travelled(gt, matches).first()["IDEucl"] == pytest.approx(1.0)
     assert M.travelled(gt, matches.where("tracker_id <> 7 and t < 4")).first()["IDEucl"] == 0.0
+
+
+def test_boxes_meet_as_pairs_do(spark):
+    r = np.random.default_rng(3)
+    corners = np.sort(r.random((120, 2, 2)) * 60, axis=1).reshape(120, 4)
+    rows = [("a" if k % 3 else "b", k % 7, k, corners[k].tolist()) for k in range(120)]
+    df = spark.createDataFrame(rows, "seq string, t int, id int, b array<double>").selectExpr("seq", "t", "id", "struct(b[0] as x1, b[1] as y1, b[2] as x2, b[3] as y2) as box")
+    gt = df.where("id % 2 = 0 and t <> 5").selectExpr("seq", "t", "id as gt_id", "box as gt_box")
+    tracker = df.where("id % 2 = 1 and t <> 3").selectExpr("seq", "t", "id as tracker_id", "box as tracker_box")
+    near = pairs.similarities(gt, tracker, ["seq", "t"], "gt_id", "tracker_id", G.iou(F.col("gt_box"), F.col("tracker_box")))
+
+    def plain(times):
+        return sorted((x["seq"], x["t"], sorted(x["gt_ids"]), sorted(x["tracker_ids"]), sorted((p["gt_id"], p["tracker_id"], round(p["similarity"], 9)) for p in x["pairs"])) for x in times.collect())
+
+    assert plain(M.box_timeline(gt, tracker)) == plain(M.timeline(gt, tracker, near))
+    assert plain(M.box_timeline(gt.limit(0), tracker.limit(0))) == []

@@ -10,12 +10,13 @@ need no kernel.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -237,6 +238,43 @@ def timeline(gt: DataFrame, tracker: DataFrame, similarity: DataFrame | None = N
     return out.select(*key, filled("gt_ids"), filled("tracker_ids"), filled("pairs"))
 
 
+def box_timeline(gt: DataFrame, tracker: DataFrame, gt_box: str = "gt_box", tracker_box: str = "tracker_box") -> DataFrame:
+    """`timeline` by the IoU of boxes: gt(seq, t, gt_id, box), tracker(seq, t, tracker_id, box).
+
+    A time's boxes meet in one matrix, so that pairs are neither joined nor gathered row by row.
+    """
+    key = ["seq", "t"]
+
+    def bag(df: DataFrame, id_col: str, box: str, name: str) -> DataFrame:
+        return df.groupBy(*key).agg(F.collect_list(F.struct(F.col(id_col).alias("id"), *(F.col(f"{box}.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")))).alias(name))
+
+    rows = bag(gt, "gt_id", gt_box, "a").join(bag(tracker, "tracker_id", tracker_box, "b"), key, "full_outer").select(*key, "a", "b")
+    kinds = [dict(df.dtypes)[c] for df, c in ((gt, "seq"), (gt, "t"), (gt, "gt_id"), (tracker, "tracker_id"))]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = []
+            for c in ("a", "b"):
+                column = batch.column(c)
+                sizes = np.array([0 if x is None else x for x in pc.list_value_length(column).to_pylist()], np.int64)
+                ids, *corners = column.flatten().flatten()
+                sides.append((np.concatenate([[0], np.cumsum(sizes)]), ids, np.stack([x.to_numpy(zero_copy_only=False) for x in corners], 1)))
+            (at, gt_ids, one), (to, tracker_ids, two) = sides
+            left, right, value, sizes = [], [], [], [0]
+            for k in range(len(batch)):
+                table = iou_matrix(one[at[k] : at[k + 1]], two[to[k] : to[k + 1]])
+                i, j = np.nonzero(table)
+                left.append(i + at[k])
+                right.append(j + to[k])
+                value.append(table[i, j])
+                sizes.append(len(i))
+            pairs = pa.StructArray.from_arrays([gt_ids.take(pa.array(np.concatenate(left), pa.int64())), tracker_ids.take(pa.array(np.concatenate(right), pa.int64())), pa.array(np.concatenate(value), pa.float64())], names=["gt_id", "tracker_id", "similarity"])
+            lists = [pa.ListArray.from_arrays(pa.array(x, pa.int32()), v) for x, v in ((at, gt_ids), (to, tracker_ids), (np.cumsum(sizes), pairs))]
+            yield pa.RecordBatch.from_arrays([batch.column("seq"), batch.column("t"), *lists], names=["seq", "t", "gt_ids", "tracker_ids", "pairs"])
+
+    return rows.mapInArrow(each, f"seq {kinds[0]}, t {kinds[1]}, gt_ids array<{kinds[2]}>, tracker_ids array<{kinds[3]}>, pairs array<struct<gt_id:{kinds[2]},tracker_id:{kinds[3]},similarity:double>>")
+
+
 def _counts(times: DataFrame) -> DataFrame:
     """M9: detections, ids and times of each sequence, as parts."""
     dets = times.groupBy("seq").agg(F.sum(F.size("tracker_ids")).alias("Dets"), F.sum(F.size("gt_ids")).alias("GT_Dets"), F.count("*").alias("Frames"))

@@ -41,7 +41,7 @@ def _near(spark, sf):
 
 
 def _times(spark, sf):
-    return M.timeline(*_near(spark, sf))
+    return M.box_timeline(*_apart(spark, sf))
 
 
 _HOTA = """, a AS (SELECT i * 0.05 AS a FROM range(1, 20) q(i)), c AS (SELECT a, seq, gt_id, tracker_id, count(*) AS c, sum(s) AS loc FROM m, a WHERE s >= a - 1e-9 GROUP BY ALL),
