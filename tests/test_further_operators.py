@@ -210,3 +210,22 @@ def test_a_cluster_without_shared_folder_is_refused():
 
     with pytest.raises(ValueError):
         session.shared_folder(Session())
+
+
+def test_anchors_fit_their_clusters(spark):
+    from trackloom.operators import retrieval
+
+    r = np.random.default_rng(5)
+    sizes = [(10, 10), (40, 80), (200, 120)]
+    rows = [(float(w * r.uniform(0.9, 1.1)), float(h * r.uniform(0.9, 1.1))) for w, h in sizes for _ in range(60)] + [(1.0, 1.0), (0.0, 9.0)]
+    found = retrieval.anchors(spark.createDataFrame(rows, "w double, h double"), 3, generations=100)
+    assert all(abs(a - w) < 0.15 * w and abs(b - h) < 0.15 * h for (a, b), (w, h) in zip(found, sizes))
+    assert retrieval.anchors(spark.createDataFrame([], "w double, h double"), 3) == []
+
+
+def test_the_frontier_has_what_nothing_beats(spark):
+    from trackloom.operators import windows
+
+    rows = [(1, 1.0, 9.0), (1, 2.0, 9.0), (1, 3.0, 5.0), (1, 3.0, 4.0), (1, 5.0, 1.0), (1, 4.0, 0.0), (2, 0.0, 0.0)]
+    got = windows.frontier(spark.createDataFrame(rows, "g int, x double, y double"), ["g"], "x", "y")
+    assert sorted(map(tuple, got.collect())) == [(1, 2.0, 9.0), (1, 3.0, 5.0), (1, 5.0, 1.0), (2, 0.0, 0.0)]

@@ -161,3 +161,16 @@ def largest(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
 def numeric_order(df: DataFrame, *columns: str) -> DataFrame:
     """Rows in order of columns that hold numbers as text, those that are none at the end, as text."""
     return df.orderBy(*(c for name in columns for c in (F.col(name).try_cast("long").asc_nulls_last(), F.col(name))))
+
+
+def countable(df: DataFrame, visibility: str = "visibility", least: float = 0.4, classes: Sequence[int] | None = None, class_col: str = "class_id", counts: str | None = "counts") -> DataFrame:
+    """ground-truth rows that are visible enough, of one of `classes` and not marked as not to count."""
+    rows = df.where(F.col(visibility) > least)
+    if classes is not None:
+        rows = rows.where(F.col(class_col).isin(*classes))
+    return rows if counts is None else rows.where(F.col(counts))
+
+
+def earliest(df: DataFrame, group: Sequence[str], first_frame: str, *ties: str) -> DataFrame:
+    """Of each group (a scene's open tracks, say) the row that begins first."""
+    return df.withColumn("_row", F.row_number().over(Window.partitionBy(*group).orderBy(first_frame, *ties))).where("_row = 1").drop("_row")

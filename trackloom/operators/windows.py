@@ -6,8 +6,10 @@ shuffle once, on the track, and leave the order of rows open.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,3 +137,39 @@ def envelope(df: DataFrame, group: Sequence[str], order: str, value: str) -> Dat
     """The greatest value at or after each row, which makes a curve fall monotonically."""
     w = _over(group, order).rowsBetween(0, Window.unboundedFollowing)
     return df.withColumn("envelope", F.max(value).over(w))
+
+
+def frontier(df: DataFrame, group: Sequence[str], x: str, y: str) -> DataFrame:
+    """Rows that no other row of the group beats in x and y: each has the greatest y among those of as great an x; equal rows count once."""
+    ahead = Window.partitionBy(*group).orderBy(F.desc(x)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    beyond = Window.partitionBy(*group).orderBy(F.desc(x), F.desc(y)).rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumn("_top", F.max(y).over(ahead)).withColumn("_before", F.max(y).over(beyond))
+    return rows.where((F.col(y) == F.col("_top")) & (F.col("_before").isNull() | (F.col(y) > F.col("_before")))).drop("_top", "_before")
+
+
+def smoothed_features(df: DataFrame, track: Sequence[str], order: str, vector: str, alpha: float = 0.9) -> DataFrame:
+    """`smooth`: the moving average of a track's vectors, each set to length 1 before, the average after each step; zero vectors stay zero.
+
+    A track's rows come sorted and a batch at a time; only its average is held.
+    """
+    key = list(track)
+
+    def unit(v: np.ndarray) -> np.ndarray:
+        n = np.linalg.norm(v)
+        return v / n if n else v
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = None, None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in key)))
+            out = []
+            for own, v in zip(keys, batch.column(vector).to_pylist()):
+                look = unit(np.asarray(v, float))
+                held = look if held is None or own != last else unit(alpha * held + (1 - alpha) * look)
+                last = own
+                out.append(held)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*key, order]), pa.array(out, pa.list_(pa.float64()))], names=[*key, order, "smooth"])
+
+    rows = df.where(F.col(vector).isNotNull()).select(*key, order, vector).repartition(*key).sortWithinPartitions(*key, order)
+    kinds = dict(df.dtypes)
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in [*key, order]) + ", smooth array<double>")

@@ -249,3 +249,35 @@ def r8_best_overlap(spark, sf):
     out = online.best_overlap(rows, "camera", "event_id")
     names = out.groupBy("camera", "track_id").agg(F.min("event_id").alias("track"))
     return out.join(names, ["camera", "track_id"]).select("event_id", "track")
+
+
+@query(f"WITH {TRK} SELECT event_id FROM trk WHERE score > 0.4 AND user_id % 3 IN (0, 2) AND event_id % 4 <> 0")
+def f13_countable(spark, sf):
+    rows = trk(spark, sf).withColumns({"visibility": F.col("score"), "class_id": F.col("user_id") % 3, "counts": F.col("event_id") % 4 != 0})
+    return X.countable(rows, classes=[0, 2]).select("event_id")
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1")
+def t6_earliest(spark, sf):
+    return X.earliest(table(spark, sf, "orders"), ["o_custkey"], "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey")
+
+
+@query(f"WITH {TRK}, p AS (SELECT user_id, x1, y1 FROM trk GROUP BY ALL) SELECT p.user_id, p.x1, p.y1 FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.user_id = p.user_id AND q.x1 >= p.x1 AND q.y1 >= p.y1 AND (q.x1 > p.x1 OR q.y1 > p.y1))")
+def m20_frontier(spark, sf):
+    return windows.frontier(trk(spark, sf).select("user_id", "x1", "y1").distinct(), ["user_id"], "x1", "y1")
+
+
+@query(f"""WITH RECURSIVE {_EMB}, o AS (SELECT label, vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM e),
+r AS (SELECT label, vec_id, k, v AS s FROM o WHERE k = 1 UNION ALL SELECT label, vec_id, k, list_transform(m, lambda x: x / sqrt(list_inner_product(m, m))) FROM (SELECT o.label, o.vec_id, o.k, list_transform(list_zip(r.s, o.v), lambda z: 0.9::DOUBLE * z[1] + (1 - 0.9::DOUBLE) * z[2]) AS m FROM o JOIN r ON o.label = r.label AND o.k = r.k + 1))
+SELECT label, vec_id, list_transform(s, lambda x: round(x, 6)) AS smooth FROM r""")
+def w11_smoothed_features(spark, sf):
+    out = windows.smoothed_features(table(spark, sf, "embeddings").select("label", "vec_id", "embedding"), ["label"], "vec_id", "embedding")
+    return out.select("label", "vec_id", F.transform("smooth", lambda x: F.round(x, 6)).alias("smooth"))
+
+
+@query(f"WITH {TRK} SELECT a.user_id % 3 AS cam_1, a.user_id // 3 AS id_1, b.user_id % 3 AS cam_2, b.user_id // 3 AS id_2, round(min(sqrt((a.x1 - b.x1) ** 2 + (a.y1 - b.y1) ** 2)), 6) AS least, CASE WHEN count(*) > 45 THEN round(avg(sqrt((a.x1 - b.x1) ** 2 + (a.y1 - b.y1) ** 2)), 6) END AS mean FROM trk a JOIN trk b ON a.frame = b.frame AND a.user_id % 3 < b.user_id % 3 GROUP BY ALL")
+def a8_distance_stats(spark, sf):
+    """The mean counts only where tracks share frames enough."""
+    points = trk(spark, sf).select(F.lit(1).alias("scene"), (F.col("user_id") % 3).alias("camera"), F.expr("user_id div 3").alias("local_id"), "frame", "x1", "y1")
+    out = identities.trajectory_pairs(points, ["scene"], "frame", ["x1", "y1"])
+    return out.select(F.col("a.camera").alias("cam_1"), F.col("a.local_id").alias("id_1"), F.col("b.camera").alias("cam_2"), F.col("b.local_id").alias("id_2"), r6("least").alias("least"), F.when(F.col("n_shared") > 45, r6("distance")).alias("mean"))
