@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a few short columns that may go to every executor; more are joined by shuffling.
 BROADCAST_ROWS = 200_000
-#: Rows a file of a small table.
-FILE_ROWS = 100_000
+#: Rows a file of a table of numbers, and of texts.
+FILE_ROWS, FILE_TEXTS = 100_000, 25_000
 
 #: Rows of text that Spark reads and hands to Python at once.  Its own settings (4096 and 10000) are made for
 #: rows of a few numbers; with texts of kilobytes they fill the heap with arrays of tens of megabytes.
@@ -68,10 +68,10 @@ class Scratch:
             at.getFileSystem(conf).delete(at, True)
 
 
-def few(df: DataFrame, rows: int, least: int | None = None) -> DataFrame:
-    """`df` of about `rows` short rows in partitions of FILE_ROWS or more, but in `least` (three a core) if that is more: files of a few rows cost more than they hold."""
-    least = 3 * df.sparkSession.sparkContext.defaultParallelism if least is None else least
-    return df.coalesce(max(least, -(-rows // FILE_ROWS)))
+def few(df: DataFrame, rows: int, least: int | None = None, each: int | None = None) -> DataFrame:
+    """`df` of about `rows` rows in partitions of `each` (FILE_ROWS) or more, but in `least` (two a core) if that is more: files of a few rows cost more than they hold."""
+    least = 2 * df.sparkSession.sparkContext.defaultParallelism if least is None else least
+    return df.coalesce(max(least, -(-rows // (each or FILE_ROWS))))
 
 
 def bounded(df: DataFrame, work: Scratch, name: str, rows: int | None = None) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
