@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from trackloom.llm import bpe, decontam, neardup, pii, toxicity
 from trackloom.llm.queries import RANKS
-from trackloom.llm.scratch import Scratch, bounded, text_batches
+from trackloom.llm.scratch import FILE_TEXTS, Scratch, bounded, few, text_batches
 
 
 def _free(docs: DataFrame, name: str) -> str:
@@ -28,6 +28,11 @@ def _free(docs: DataFrame, name: str) -> str:
     return name
 
 
+def _whole_files(docs: DataFrame) -> DataFrame:
+    """`docs` in no more partitions than its number of texts, or the cores, ask for."""
+    return few(docs, docs.count(), each=FILE_TEXTS)
+
+
 def _placed(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
     """`docs` with a column that tells rows apart, the same at every reading: a row's file and its number in it.
 
@@ -58,7 +63,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text_batches(spark)
     net = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     score, said = _free(docs, "toxic_score"), _free(docs, "toxic_predicted")
-    return toxicity.classify(docs, net, out_cols=(score, said)).where(F.col(said) == 0).select(docs.columns)
+    return toxicity.classify(_whole_files(docs), net, out_cols=(score, said)).where(F.col(said) == 0).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,6 +73,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     text_batches(spark)
     rows, place = _placed(spark, docs)
+    rows = _whole_files(rows)
     marks = Scratch(spark, "pipeline-marks").save(neardup.near_duplicates(rows, share=80, place=F.col(place)), "marks")
     heads = marks.where("kept and n_shingles > 0 and doc_id is not null")
     # A group's first row may come again: texts of one set under one id.
@@ -80,6 +86,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Rows that contain no item of `benchmark`."""
     text_batches(spark)
     rows, place = _placed(spark, docs)
+    rows = _whole_files(rows)
     hits = decontam.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), place=F.col(place))
     return _without(spark, rows, place, hits.select("place"))
 
@@ -88,14 +95,15 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """All rows, personal data in their texts replaced by its kind in brackets; n_chars follows the text."""
     text_batches(spark)
     spans, masked = _free(docs, "personal_spans"), _free(docs, "masked_text")
-    found = pii.detect(docs, pii.train(docs), out_col=spans, redacted_col=masked)
+    rows = _whole_files(docs)
+    found = pii.detect(rows, pii.train(rows), out_col=spans, redacted_col=masked)
     return found.withColumn("text", F.col(masked)).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all rows, with a digest of the bytes that the ids decode to."""
     text_batches(spark)
-    both = bpe.encode(docs, RANKS, as_bytes=True, out_col="token_ids", keep=["doc_id", "lang", "source", "n_chars"], decoded_col="decoded")
+    both = bpe.encode(_whole_files(docs), RANKS, as_bytes=True, out_col="token_ids", keep=["doc_id", "lang", "source", "n_chars"], decoded_col="decoded")
     return both.select("doc_id", "lang", "source", "n_chars", F.expr("cast(octet_length(token_ids) div 4 as long)").alias("n_tokens"), "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
