@@ -218,7 +218,7 @@ def test_anchors_fit_their_clusters(spark):
     r = np.random.default_rng(5)
     sizes = [(10, 10), (40, 80), (200, 120)]
     rows = [(float(w * r.uniform(0.9, 1.1)), float(h * r.uniform(0.9, 1.1))) for w, h in sizes for _ in range(60)] + [(1.0, 1.0), (0.0, 9.0)]
-    found = retrieval.anchors(spark.createDataFrame(rows, "w double, h double"), 3, generations=100)
+    found = retrieval.anchors(spark.createDataFrame(rows, "w double, h double"), 3, rounds=60)
     assert all(abs(a - w) < 0.15 * w and abs(b - h) < 0.15 * h for (a, b), (w, h) in zip(found, sizes))
     assert retrieval.anchors(spark.createDataFrame([], "w double, h double"), 3) == []
 
