@@ -69,8 +69,8 @@ class Scratch:
 
 
 def few(df: DataFrame, rows: int, least: int | None = None, each: int | None = None) -> DataFrame:
-    """`df` of about `rows` rows in partitions of `each` (FILE_ROWS) or more, but in `least` (two a core) if that is more: files of a few rows cost more than they hold."""
-    least = 2 * df.sparkSession.sparkContext.defaultParallelism if least is None else least
+    """`df` of about `rows` rows in partitions of `each` (FILE_ROWS) or more, but in `least` (three a core) if that is more: files of a few rows cost more than they hold."""
+    least = 3 * df.sparkSession.sparkContext.defaultParallelism if least is None else least
     return df.coalesce(max(least, -(-rows // (each or FILE_ROWS))))
 
 
