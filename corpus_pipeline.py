@@ -30,7 +30,7 @@ def _free(docs: DataFrame, name: str) -> str:
 
 def _whole_files(docs: DataFrame) -> DataFrame:
     """`docs` in no more partitions than its number of texts, or the cores, ask for."""
-    return few(docs, docs.count(), each=FILE_TEXTS)
+    return few(docs, docs.count(), 2 * docs.sparkSession.sparkContext.defaultParallelism, FILE_TEXTS)
 
 
 def _placed(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
