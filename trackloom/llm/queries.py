@@ -12,11 +12,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ans, bpe, decontam, langid, licenses, neardup, pii, prefix_counts, topk, toxicity
+from . import alignment, ans, balltree, bpe, decontam, langid, licenses, neardup, pii, prefix_counts, topk, toxicity, warc
 from .scratch import Scratch, text_batches
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,8 +86,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = Scratch(spark, "warc")
+    warc.write(text_batches(spark).read.parquet(f"{sf_dir}/pages.parquet"), work.path("archives"), work)
+    back = warc.read(spark, work.path("archives"), with_payload=False)
+    return back.select(warc.page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_number("refers_to").alias("refers_to"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), Scratch(spark, "centroids"), k=16, rounds=3, width=64, scale=64.0, seed="1")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_documents(spark, sf_dir), TOKENIZER, PIECES, Scratch(spark, "alignment"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_language_id, op2_byte_bpe, op3_token_files, op4_license_scan, op5_toxicity, op6_pii, op7_prefix_counts, op8_exact_top_k, op9_near_duplicates, op10_decontamination)
+    own = (op1_language_id, op2_byte_bpe, op3_token_files, op4_license_scan, op5_toxicity, op6_pii, op7_prefix_counts, op8_exact_top_k, op9_near_duplicates, op10_decontamination, op11_warc, op12_centroids, op13_token_alignment)
     return {f.__name__: f for f in own}
 
 
@@ -135,6 +151,47 @@ c AS (SELECT doc_id, item_id, n, count(*) AS hits FROM dx JOIN bx USING (x) GROU
 SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_item, hits AS n_shared, hits / n AS containment FROM c WHERE 10 * hits >= 8 * n
 """
 
+_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+n AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+r AS (SELECT *, payload_bytes >= 100 AND first IS NOT NULL AND page_id IS DISTINCT FROM first AS again FROM n)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM r
+"""
+
+
+def _centroids(k: int, rounds: int, width: int) -> str:
+    """SQL of op12: an assignment and an update a round."""
+    parts = [
+        f"""v AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)""",
+        f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id), e) - 1 AS INTEGER) AS cluster, e FROM v WHERE vec_id IS NOT NULL QUALIFY cluster < {k})",
+    ]
+    for t in range(rounds + 1):
+        parts.append(
+            f"""a{t} AS MATERIALIZED (
+  SELECT v.r, arg_min(c.cluster, (list_inner_product(v.e, v.e) - 2 * list_inner_product(v.e, c.e) + list_inner_product(c.e, c.e), c.cluster)) AS cluster,
+    CAST(min(list_inner_product(v.e, v.e) - 2 * list_inner_product(v.e, c.e) + list_inner_product(c.e, c.e)) AS BIGINT) AS distance
+  FROM v CROSS JOIN c{t} c GROUP BY v.r
+)"""
+        )
+        if t < rounds:
+            parts.append(
+                f"""s{t} AS (
+  SELECT cluster, i, sum(CAST(x AS BIGINT)) AS s, count(*) AS n FROM (SELECT a.cluster, unnest(v.e) AS x, unnest(range({width})) AS i FROM a{t} a JOIN v USING (r)) GROUP BY ALL
+), c{t + 1} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(m.e, c.e) AS e FROM c{t} c
+  LEFT JOIN (SELECT cluster, list(CAST((s - ((s % n + n) % n)) // n AS DOUBLE) ORDER BY i) AS e FROM s{t} GROUP BY cluster) m USING (cluster)
+)"""
+            )
+    return f"""
+WITH {", ".join(parts)}
+SELECT v.vec_id, a.cluster, a.distance, CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(list_transform(c.e, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (r) JOIN c{rounds} c USING (cluster)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_top_k": _TOP_K, "op9_near_duplicates": _NEAR, "op10_decontamination": _CONTAINED}
+    return {"op8_exact_top_k": _TOP_K, "op9_near_duplicates": _NEAR, "op10_decontamination": _CONTAINED, "op11_warc": _WARC, "op12_centroids": _centroids(16, 3, 64)}
