@@ -314,9 +314,10 @@ def pieces_of(model: bytes) -> int:
 
 def _summed(texts: pa.Table, back: pa.Table) -> pa.Table:
     """Texts of one block, with the corpus-wide counts of its pairs."""
-    place = back["place"].to_numpy()
-    total, best = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
-    total[place], best[place] = back["total"].to_numpy(), back["best"].to_numpy(zero_copy_only=False)
+    total, best = np.zeros(len(back), np.int64), np.zeros(len(back), np.int64)
+    if len(back):  # an empty side has no columns but its key
+        place = back["place"].to_numpy()
+        total[place], best[place] = back["total"].to_numpy(), back["best"].to_numpy(zero_copy_only=False)
     sums, hits = [], []
     for raw in texts["links"].to_pylist():
         own, times = np.frombuffer(raw, "<u4").reshape(2, -1).astype(np.int64)
