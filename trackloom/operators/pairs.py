@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,11 +101,26 @@ def overlapping_ranges(df: DataFrame, id_col: str, first: str, last: str, least:
 
 
 def feature_pairs(df: DataFrame, group: Sequence[str], member: str, vector: str, least: float | None = None) -> DataFrame:
-    """Cosine of all pairs of vectors of a group (member_1 < member_2), those of at least `least`."""
-    a = df.select(*group, F.col(member).alias("member_1"), F.col(vector).alias("_a"))
-    b = df.select(*group, F.col(member).alias("member_2"), F.col(vector).alias("_b"))
-    pairs = a.join(b, list(group)).where("member_1 < member_2").withColumn("cosine", V.cosine(F.col("_a"), F.col("_b"))).drop("_a", "_b")
-    return pairs if least is None else pairs.where(F.col("cosine") >= least)
+    """Cosine of all pairs of vectors of a group (member_1 < member_2), those of at least `least`.
+
+    A group's vectors meet in blocks (`meeting`), so a group of any size is spread
+    over tasks.  A zero vector has no cosine and is in no pair; members or vectors
+    that are null take no part.
+    """
+    kinds = dict(df.dtypes)
+    own = df.where(F.col(member).isNotNull() & F.col(vector).isNotNull()).select(*group, F.col(member).alias("member"), F.col(vector).cast("array<double>").alias("v"))
+
+    def kernel(one: pa.Table, two: pa.Table) -> pa.Table:
+        x, y = stacked(one["v"]), stacked(two["v"])
+        s = cosine_matrix(x, y)
+        s[np.linalg.norm(x, axis=1) == 0] = s[:, np.linalg.norm(y, axis=1) == 0] = np.nan
+        i, j = np.nonzero(~np.isnan(s) if least is None else s >= least - 1e-12)
+        first, second = one["member"].combine_chunks().take(pa.array(i)), two["member"].combine_chunks().take(pa.array(j))
+        out = pa.table({**{c: one[c].combine_chunks().take(pa.array(i)) for c in group}, "member_1": first, "member_2": second, "cosine": s[i, j]})
+        return out.filter(pc.less(first, second))
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in group) + f", member_1 {kinds[member]}, member_2 {kinds[member]}, cosine double"
+    return meeting(own, own.select("*"), kernel, schema.removeprefix(", "), group=1024, part=4096, by=group)
 
 
 def set_similarity(left: DataFrame, right: DataFrame, key: Sequence[str], left_set: str, right_set: str, vector: str, k: int = 5, limit: float = 0.8) -> DataFrame:

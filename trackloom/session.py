@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Results do not depend on these; they keep joins and partitions in good shape as data grows.
 SETTINGS = {
@@ -44,3 +44,9 @@ def checkpoints(spark: SparkSession) -> None:
     """Makes sure that checkpoints have a folder: the shared one."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df`, written to the shared folder and read from there on."""
+    checkpoints(df.sparkSession)
+    return df.checkpoint()
