@@ -5,8 +5,11 @@ each template: words that are unique in both are anchors, their longest increasi
 subsequence is kept, and the gaps between anchors are aligned in the same way; a
 gap without anchors falls back to a longest common subsequence.  Coverage is the
 share of the template's words that are aligned.  A long text is looked at in
-overlapping windows of twice the template, so that repeated words elsewhere
-do not hide an anchor.
+overlapping windows, so that repeated words elsewhere do not hide an anchor: of
+twice the template first; where none of these reaches the coverage, of four times
+it, eight times it and so on, up to the whole text.  In these wider windows words
+count as one occurrence as long as at most GAP foreign words stand between
+neighbours, so words that lie about in a long text make no license.
 
 Windows are passed over only where coverage cannot be reached: a window must hold
 enough words of the template, counted with repeats.
@@ -24,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 COVERAGE = 0.8
+#: Foreign words between two neighbouring words of an occurrence that is spread over more than twice the template.
+GAP = 8
 # Notices and short texts of common licenses.
 TEMPLATES = {
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
@@ -150,29 +155,59 @@ class Scanner:
             marked = [k for k, w in enumerate(words) if w in count]
             if len(marked) < need:
                 continue
-            best: tuple[int, int, int] | None = None
-            width, step = 2 * len(template), max(1, len(template) // 2)
-            seen = -1
-            for k in marked:
-                # Windows begin on a grid, at a word of the template or before it.
-                start = k - k % step
-                if start == seen:
-                    continue
-                seen = start
-                for begin in (max(0, start - step), start):
-                    part = words[begin : begin + width]
-                    if sum((Counter(w for w in part if w in count) & count).values()) < need:
-                        continue
-                    pairs = align(part, template)
-                    if len(pairs) >= need and (best is None or len(pairs) > best[0]):
-                        best = (len(pairs), begin + pairs[0][0], begin + pairs[-1][0])
-                if best and best[0] == len(template):
-                    break
+            if sum((Counter(words[k] for k in marked) & count).values()) < need:
+                continue
+            best = self._dense(words, marked, template, count, need) or self._spread(words, marked, template, count, need)
             if best:
                 out.append((name, best[0] / len(template), spans[best[1]][0], spans[best[2]][1]))
         return out
 
 
+    def _dense(self, words: list[str], marked: list[int], template: list[str], count: Counter, need: float) -> tuple[int, int, int] | None:
+        """(words, first, last) of the best window of twice the template."""
+        best: tuple[int, int, int] | None = None
+        width, step = 2 * len(template), max(1, len(template) // 2)
+        seen = -1
+        for k in marked:
+            # Windows begin on a grid, at a word of the template or before it.
+            start = k - k % step
+            if start == seen:
+                continue
+            seen = start
+            for begin in (max(0, start - step), start):
+                part = words[begin : begin + width]
+                if sum((Counter(w for w in part if w in count) & count).values()) < need:
+                    continue
+                pairs = align(part, template)
+                if len(pairs) >= need and (best is None or len(pairs) > best[0]):
+                    best = (len(pairs), begin + pairs[0][0], begin + pairs[-1][0])
+            if best and best[0] == len(template):
+                break
+        return best
+
+    def _spread(self, words: list[str], marked: list[int], template: list[str], count: Counter, need: float) -> tuple[int, int, int] | None:
+        """The same over ever wider windows, for words with at most GAP others between neighbours; wider windows are looked at as long as they show more."""
+        width, best = 4 * len(template), None
+        while True:
+            before = best
+            for begin in range(0, len(words), width // 2):
+                # Only words of the template can be aligned.
+                own = marked[bisect_left(marked, begin) : bisect_left(marked, begin + width)]
+                part = [words[k] for k in own]
+                if len(part) < need or sum((Counter(part) & count).values()) < need:
+                    continue
+                places = [own[i] for i, _ in align(part, template)]
+                first = 0
+                for k in range(1, len(places) + 1):
+                    if k == len(places) or places[k] - places[k - 1] > GAP + 1:
+                        if k - first >= need and (best is None or k - first > best[0]):
+                            best = (k - first, places[first], places[k - 1])
+                        first = k
+            if best and best == before or width >= 2 * len(words):
+                return best
+            width *= 2
+
+
 def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(*shared.value)
