@@ -163,6 +163,12 @@ def numeric_order(df: DataFrame, *columns: str) -> DataFrame:
     return df.orderBy(*(c for name in columns for c in (F.col(name).try_cast("long").asc_nulls_last(), F.col(name))))
 
 
+def numeric_places(df: DataFrame, *columns: str, name: str = "place") -> DataFrame:
+    """Each row's place (from 1) in the order of `numeric_order`, numbered by ranges."""
+    keys = {f"_key_{i}_{kind}": c for i, column in enumerate(columns) for kind, c in (("none", F.col(column).try_cast("long").isNull()), ("number", F.col(column).try_cast("long")), ("text", F.col(column)))}
+    return numbered(df.withColumns(keys), list(keys), name).drop(*keys)
+
+
 def countable(df: DataFrame, visibility: str = "visibility", least: float = 0.4, classes: Sequence[int] | None = None, class_col: str = "class_id", counts: str | None = "counts") -> DataFrame:
     """ground-truth rows that are visible enough, of one of `classes` and not marked as not to count."""
     rows = df.where(F.col(visibility) > least)

@@ -117,12 +117,12 @@ def p27_fused_costs(spark, sf):
     return _sides(spark, sf).select("frame", "gt", "tr", r6(1 - G.fuse_score(G.iou(a, b), F.lit(0.5))).alias("nothing"), r6(G.fuse_iou(F.lit(0.4), G.iou(a, b))).alias("by_overlap"), F.when(motion < float("inf"), r6(motion)).alias("by_motion"))
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS place FROM orders QUALIFY place <= 50")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS place FROM orders")
 def t2_numeric_order(spark, sf):
-    """Keys as text, in the order of their numbers; the first fifty, as an order has no rows of its own."""
+    """Keys as text, all of them placed in the order of their numbers."""
     rows = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("c"), F.col("o_orderkey").cast("string").alias("o"))
-    first = X.numeric_order(rows, "c", "o").limit(50).coalesce(1)
-    return first.select(F.col("o").cast("long").alias("o_orderkey"), (F.monotonically_increasing_id() + 1).alias("place"))
+    placed = X.numeric_places(rows, "c", "o", name="place")
+    return placed.select(F.col("o").cast("long").alias("o_orderkey"), "place")
 
 
 @query(f"WITH {TRK} SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_id) AS rank FROM trk")
@@ -150,10 +150,9 @@ def j9_same_camera_overlap(spark, sf):
     return pairs.same_camera_overlap(rows, "camera", "user_id", "frame")
 
 
-@query(f"WITH {EV}, r AS (SELECT user_id % 4 AS camera, user_id AS id, min(frame) AS f, max(frame) AS l FROM ev WHERE frame % 30 < 2 GROUP BY ALL), p AS (SELECT a.camera, a.id AS id_1, b.id AS id_2, round(abs(a.f - b.f) / 100.0, 4) AS similarity FROM r a JOIN r b ON a.camera = b.camera AND a.id < b.id), s AS (SELECT DISTINCT a.user_id AS id_1, b.user_id AS id_2 FROM ev a JOIN ev b ON a.user_id % 4 = b.user_id % 4 AND a.frame = b.frame AND a.user_id < b.user_id WHERE a.frame % 30 < 2 AND b.frame % 30 < 2) SELECT camera, p.id_1, p.id_2, CASE WHEN s.id_1 IS NOT NULL THEN -1.0 ELSE similarity END AS similarity FROM p LEFT JOIN s ON s.id_1 = p.id_1 AND s.id_2 = p.id_2")
+@query(f"WITH {EV}, r AS (SELECT user_id % 4 AS camera, user_id AS id, min(frame) AS f, max(frame) AS l FROM ev GROUP BY ALL), p AS (SELECT a.camera, a.id AS id_1, b.id AS id_2, round(abs(a.f - b.f) / 100.0, 4) AS similarity FROM r a JOIN r b ON a.camera = b.camera AND a.id < b.id), s AS (SELECT DISTINCT a.user_id AS id_1, b.user_id AS id_2 FROM ev a JOIN ev b ON a.user_id % 4 = b.user_id % 4 AND a.frame = b.frame AND a.user_id < b.user_id) SELECT camera, p.id_1, p.id_2, CASE WHEN s.id_1 IS NOT NULL THEN -1.0 ELSE similarity END AS similarity FROM p LEFT JOIN s ON s.id_1 = p.id_1 AND s.id_2 = p.id_2")
 def j9_incompatible_pairs(spark, sf):
-    """Frames are those two of each thirty: other rows are of no sensor here."""
-    rows = ev(spark, sf).where("frame % 30 < 2").withColumn("camera", F.col("user_id") % 4)
+    rows = ev(spark, sf).withColumn("camera", F.col("user_id") % 4)
     ends = windows.extent(rows, ["camera", "user_id"], "frame")
     a = ends.select("camera", F.col("user_id").alias("id_1"), F.col("first_frame").alias("f"))
     b = ends.select("camera", F.col("user_id").alias("id_2"), F.col("first_frame").alias("g"))

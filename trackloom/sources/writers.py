@@ -70,11 +70,11 @@ def mask_lines(df: DataFrame) -> DataFrame:
 
 
 def coco_document(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
-    """One JSON document; annotations get numbers from 1 in order of image and box.
+    """One JSON document; annotations get numbers from 1 in order of image, box and category.
 
     A COCO document is one value, so this gathers it: for exports, not for pipelines.
     """
-    rows = numbered(annotations, ["image_id", "x", "y", "category_id"], "id")
+    rows = numbered(annotations, ["image_id", "x", "y", "category_id", "w", "h"], "id")
     item = F.struct("id", "image_id", "category_id", F.array("x", "y", "w", "h").alias("bbox"), (F.col("w") * F.col("h")).alias("area"), F.lit(0).alias("iscrowd"))
     a = images.agg(F.sort_array(F.collect_list(F.struct(*images.columns))).alias("images"))
     b = rows.agg(F.sort_array(F.collect_list(item)).alias("annotations"))
