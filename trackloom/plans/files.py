@@ -25,10 +25,18 @@ def _written(lines: DataFrame, name: str) -> str:
     return path
 
 
-def _document(rows: DataFrame, value, key=None) -> DataFrame:
-    """One JSON value: the list of `value` of all rows, or a map from `key` to it.  These formats are single documents by camera or scene."""
+def _documents(rows: DataFrame, part, value, key=None, member: str | None = None, name: str = "documents") -> str:
+    """The path of JSON documents, one for each value of `part` (a camera, a scene, a run of frames): the list of `value`, or a map from `key` to it; with `member`, as that member of an object."""
     item = F.collect_list(value) if key is None else F.map_from_entries(F.collect_list(F.struct(key, value)))
-    return rows.agg(F.to_json(item).alias("value"))
+    lines = rows.groupBy(part.alias("part")).agg(item.alias("item"))
+    return _apart(lines.select(F.to_json(F.col("item") if member is None else F.struct(F.col("item").alias(member)), {"ignoreNullFields": "false"}).alias("value"), "part"), name)
+
+
+def _apart(lines: DataFrame, name: str) -> str:
+    """The path of text files, one for each `part`, that holds its `value`: each is a document."""
+    path = _file(lines.sparkSession, name)
+    lines.select("value", "part").write.partitionBy("part").text(path)
+    return path
 
 
 def _r2(c):
@@ -63,8 +71,7 @@ def s7_calibration(spark, sf):
 
     kind = F.when(F.col("s_suppkey") % 3 != 0, "camera").otherwise("lidar")
     sensor = F.struct(kind.alias("type"), F.col("s_suppkey").cast("string").alias("id"), F.struct((F.col("s_nationkey") + 0.5).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z")).alias("coordinates"), F.round("s_acctbal", 2).alias("scaleFactor"), matrix(3, 4).alias("cameraMatrix"), matrix(3, 3).alias("homography"), matrix(3, 3).alias("intrinsicMatrix"), matrix(3, 4).alias("extrinsicMatrix"))
-    lines = rows.agg(F.to_json(F.struct(F.collect_list(sensor).alias("sensors"))).alias("value"))
-    found = readers.calibration(spark, _written(lines, "calibration.json"))
+    found = readers.calibration(spark, _documents(rows, F.col("s_nationkey"), sensor, member="sensors"))
     return found.select(F.col("id").cast("long").alias("id"), F.round("scaleFactor", 2).alias("scale"), F.col("coordinates.x").alias("x"), F.get(F.get("intrinsicMatrix", F.lit(0)), F.lit(0)).alias("fx"))
 
 
@@ -74,7 +81,7 @@ def s9_keypoints(spark, sf):
     s = (F.col("event_id") % 10) / 10
     person = F.struct(F.array("x1", "y1", "x2", "y2", s).alias("bbox"), F.array(F.array("x1", "y1", s)).alias("keypoints"))
     frames = rows.groupBy("frame").agg(F.collect_list(person).alias("people"))
-    found = readers.keypoints(spark, _written(_document(frames, F.col("people"), F.col("frame").cast("string")), "keypoints.json"))
+    found = readers.keypoints(spark, _documents(frames, F.expr("frame div 24"), F.col("people"), F.col("frame").cast("string")))
     joint = F.get("keypoints", F.lit(0))
     return found.select("frame", joint["x"].alias("x1"), joint["y"].alias("y1"), F.round(joint["score"], 1).alias("score"))
 
@@ -84,8 +91,8 @@ def s10_tracklets(spark, sf):
     """Frames with their objects, and which camera sees each."""
     rows = trk(spark, sf).select("frame", F.col("user_id").alias("global_id"), F.lit("Person").alias("class_name"), F.col("x1").alias("x"), F.col("y1").alias("y"), F.lit(0.0).alias("z"), F.lit(0.5).alias("w"), F.lit(0.6).alias("l"), F.lit(1.7).alias("h"), F.lit(0.1).alias("yaw"), F.concat(F.lit("Camera_"), F.col("user_id") % 3).alias("camera"), "box")
     frames = writers.frame_document(rows)
-    lines = frames.agg(F.concat(F.lit("{"), F.concat_ws(",", F.collect_list(F.concat(F.lit('"'), F.col("frame"), F.lit('":'), F.col("objects")))), F.lit("}")).alias("value"))
-    found = readers.tracklets(spark, _written(lines, "ground_truth.json"))
+    lines = frames.groupBy(F.expr("frame div 24").alias("part")).agg(F.concat(F.lit("{"), F.concat_ws(",", F.collect_list(F.concat(F.lit('"'), F.col("frame"), F.lit('":'), F.col("objects")))), F.lit("}")).alias("value"))
+    found = readers.tracklets(spark, _apart(lines, "ground_truth"))
     return found.select("camera", "frame", "object_id", F.round("x", 4).alias("x"), G.width(F.col("box")).alias("width"))
 
 
@@ -131,7 +138,7 @@ def s17_bdd(spark, sf):
     label = F.struct(F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("category"), F.struct((F.col("event_id") % 5 == 0).alias("Crowd")).alias("attributes"), F.col("box").alias("box2d"))
     frames = trk(spark, sf).groupBy("frame").agg(F.collect_list(label).alias("labels"))
     item = F.struct(F.concat(F.lit("f"), F.col("frame")).alias("name"), F.concat(F.lit("v"), F.expr("frame div 24")).alias("videoName"), (F.col("frame") % 24).alias("frameIndex"), "labels")
-    found = readers.bdd(spark, _written(_document(frames, item), "bdd.json"))
+    found = readers.bdd(spark, _documents(frames, F.expr("frame div 24"), item))
     return found.select("video", "frame", "id", "class_name", "crowd", F.col("box.x1").alias("x1"), F.col("box.y2").alias("y2"))
 
 
@@ -142,17 +149,18 @@ def s19_youtube_vis(spark, sf):
     parts = rows.select("user_id", F.struct("frame", mask.alias("m"), (F.col("x2") - F.col("x1")).alias("area")).alias("p")).groupBy("user_id").agg(F.sort_array(F.collect_list("p")).alias("ps"))
     item = F.struct(F.col("user_id").alias("id"), (F.col("user_id") % 5).alias("video_id"), F.lit(1).alias("category_id"), F.lit(0).alias("iscrowd"), F.transform("ps", lambda p: p["m"]).alias("segmentations"), F.transform("ps", lambda p: p["area"]).alias("areas"))
     # Nulls in lists stand for frames without the object.
-    lines = parts.agg(F.to_json(F.struct(F.collect_list(item).alias("annotations")), {"ignoreNullFields": "false"}).alias("value"))
-    found = readers.youtube_vis(spark, _written(lines, "instances.json"))
+    found = readers.youtube_vis(spark, _documents(parts, F.expr("user_id div 50"), item, member="annotations"))
     return found.select("video", "track", "t", F.col("mask.counts").alias("counts"), "area")
 
 
 @query("SELECT s_suppkey AS id, s_nationkey % 7 AS category_id FROM supplier")
 def s20_merged_categories(spark, sf):
     """Annotations whose category was merged into another."""
-    notes = table(spark, sf, "supplier").agg(F.collect_list(F.struct(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") % 7 + 100).alias("category_id"))).alias("annotations"))
+    notes = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("part")).agg(F.collect_list(F.struct(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") % 7 + 100).alias("category_id"))).alias("annotations"))
+    # The first document has the categories too.
     kinds = spark.range(7).agg(F.collect_list(F.struct("id", F.array(F.struct((F.col("id") + 100).alias("id"))).alias("merged"))).alias("categories"))
-    tables = readers.coco_tables(spark, _written(notes.crossJoin(kinds).select(F.to_json(F.struct("annotations", "categories")).alias("value")), "tao.json"))
+    first = notes.agg(F.min("part").alias("part")).crossJoin(kinds)
+    tables = readers.coco_tables(spark, _apart(notes.join(first, "part", "left").select(F.to_json(F.struct("annotations", "categories")).alias("value"), "part"), "tao"))
     return readers.merged_categories(tables["annotations"].select("id", "category_id"), tables["categories"]).select("id", "category_id")
 
 
@@ -164,7 +172,7 @@ def s21_burst(spark, sf):
     frame = F.struct("o_orderkey", name.alias("name"), (F.col("o_orderkey") % 5).alias("kind"), F.concat(F.lit("r"), F.col("o_orderkey")).alias("rle"))
     own = table(spark, sf, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(frame)).alias("fs"))
     seq = F.struct(F.col("o_custkey").alias("id"), F.lit("s").alias("seq_name"), F.lit("d").alias("dataset"), F.lit(4).alias("width"), F.lit(5).alias("height"), F.map_from_entries(F.array_distinct(F.transform("fs", lambda f: F.struct(f["name"], f["kind"])))).alias("track_category_ids"), F.transform("fs", lambda f: F.concat(f["rle"], F.lit(".jpg"))).alias("annotated_image_paths"), F.transform("fs", lambda f: F.create_map(f["name"], F.struct(f["rle"].alias("rle")))).alias("segmentations"))
-    path = _written(own.agg(F.to_json(F.struct(F.lit("val").alias("split"), F.collect_list(seq).alias("sequences"))).alias("value")), "burst.json")
+    path = _documents(own, F.expr("o_custkey div 100"), seq, member="sequences")
     found = readers.burst(spark, path, distractors=[3])["annotations"]
     local = F.expr("(track_id - video_id * 1000000) div 100")
     return found.groupBy((F.col("video_id") * 1_000_000 + local).alias("track_id"), "video_id", "category_id").agg(F.count("*").alias("n"))
@@ -207,7 +215,7 @@ def s32_camera_motion(spark, sf):
 def s34_scene_cameras(spark, sf):
     rows = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     scenes = rows.groupBy("r_name").agg(F.sort_array(F.collect_list("n_name")).alias("cameras"))
-    return readers.scene_cameras(spark, _written(_document(scenes, F.col("cameras"), F.col("r_name")), "scenes.json"))
+    return readers.scene_cameras(spark, _documents(scenes, F.col("r_name"), F.col("cameras"), F.col("r_name")))
 
 
 @query(f"WITH {TRK}, m AS (SELECT user_id % 9 AS gid, frame, avg(x1) + 0.001 AS x, avg(y1) + 0.001 AS y FROM trk GROUP BY ALL) SELECT printf('%d %d %d %d %.2f %.2f %.2f %.2f %.2f %.2f %.2f', 1, 0, gid, frame, x, y, 3.0, 0.5, 0.5, 1.75, 0.0) AS line FROM m")
@@ -224,11 +232,11 @@ def k10_mask_lines(spark, sf):
 
 @query(f"WITH {TRK} SELECT row_number() OVER (ORDER BY frame, x1, y1, event_id % 3, x2 - x1, y2 - y1) AS id, frame AS image_id, x1 AS x, x2 - x1 AS w, (x2 - x1) * (y2 - y1) AS area FROM trk")
 def k11_coco_document(spark, sf):
-    """Annotations numbered, written as one document and read."""
+    """Annotations numbered, written as a document for each run of 24 frames, and read."""
     rows = trk(spark, sf)
-    notes = rows.select(F.col("frame").alias("image_id"), (F.col("event_id") % 3).alias("category_id"), F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"))
-    images = rows.select(F.col("frame").alias("id")).distinct()
+    notes = rows.select(F.expr("frame div 24").alias("part"), F.col("frame").alias("image_id"), (F.col("event_id") % 3).alias("category_id"), F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"))
+    images = rows.select(F.expr("frame div 24").alias("part"), F.col("frame").alias("id")).distinct()
     kinds = spark.range(3).withColumn("name", F.concat(F.lit("c"), F.col("id")))
-    document = writers.coco_document(images, notes, kinds)
-    found = readers.coco_tables(spark, _written(document, "coco.json"))["annotations"]
+    lines = writers.coco_document(images, notes, kinds, by="part")
+    found = readers.coco_tables(spark, _apart(lines.withColumnRenamed("document", "value"), "coco"))["annotations"]
     return found.select("id", "image_id", F.get("bbox", F.lit(0)).alias("x"), F.get("bbox", F.lit(2)).alias("w"), "area")

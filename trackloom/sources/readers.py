@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.geometry import box
 from ..functions.names import feature_name
+from . import documents
 
 DETECTION = "Frame int, ImgPath string, NpyPath string, Coordinate struct<x1:int,y1:int,x2:int,y2:int>, ClusterID int, OfflineID int, ClassID int"
 TRACKLET = "`object type` string, `object sc id` long, `object id` long, `3d location` array<double>, `3d bounding box scale` array<double>, `3d bounding box rotation` array<double>, `2d bounding box visible` map<string,array<double>>, `feature path` string"
@@ -24,14 +25,14 @@ SENSOR = "type string, id string, coordinates struct<x:double,y:double,z:double>
 KEYPOINTS = "bbox array<double>, keypoints array<array<double>>"
 
 
-def _whole_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One row a file with its path, parsed by `schema`."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("v"))
+def _items(spark: SparkSession, path: str, schema: str, member: str | None = None) -> DataFrame:
+    """path, place, key and `v` of each item of documents of any size, parsed by `schema`."""
+    return documents.fields(documents.items(spark, path, member), schema)
 
 
 def detections(spark: SparkSession, path: str) -> DataFrame:
     """A map from serial to detection, as rows."""
-    rows = _whole_json(spark, path, f"map<string, struct<{_colons(DETECTION)}>>").select("path", F.explode("v").alias("serial", "d"))
+    rows = _items(spark, path, f"struct<{_colons(DETECTION)}>").select("path", F.col("key").alias("serial"), F.col("v").alias("d")).where("d is not null")
     c = F.col("d.Coordinate")
     return rows.select("path", "serial", F.col("d.Frame").alias("frame"), c["x1"].alias("x1"), c["y1"].alias("y1"), c["x2"].alias("x2"), c["y2"].alias("y2"), F.coalesce("d.ClassID", F.lit(-1)).alias("class_id"), F.col("d.ImgPath").alias("image_path"), F.col("d.NpyPath").alias("feature_path"))
 
@@ -51,7 +52,7 @@ def tracklets(spark: SparkSession, path: str, camera: str | None = None) -> Data
 
     Objects that no camera sees keep one row with a null camera.
     """
-    rows = _whole_json(spark, path, f"map<string, array<struct<{_colons(TRACKLET)}>>>").select("path", F.explode("v").alias("frame", "objects"))
+    rows = _items(spark, path, f"array<struct<{_colons(TRACKLET)}>>").select("path", F.col("key").alias("frame"), F.col("v").alias("objects"))
     rows = rows.select("path", F.col("frame").cast("int").alias("frame"), F.explode("objects").alias("o")).select("path", "frame", "o", F.explode_outer("o.2d bounding box visible").alias("camera", "b"))
     if camera is not None:
         rows = rows.where(F.col("camera") == camera)
@@ -62,13 +63,12 @@ def tracklets(spark: SparkSession, path: str, camera: str | None = None) -> Data
 
 def calibration(spark: SparkSession, path: str) -> DataFrame:
     """Cameras of a calibration file with their matrices."""
-    rows = _whole_json(spark, path, f"struct<sensors:array<struct<{_colons(SENSOR)}>>>")
-    return rows.select(F.explode("v.sensors").alias("s")).where("s.type = 'camera'").select("s.*")
+    return _items(spark, path, f"struct<{_colons(SENSOR)}>", "sensors").where("v.type = 'camera'").select("v.*")
 
 
 def keypoints(spark: SparkSession, path: str) -> DataFrame:
     """Key points by frame, each (x, y, score)."""
-    rows = _whole_json(spark, path, f"map<string, array<struct<{_colons(KEYPOINTS)}>>>").select("path", F.explode("v").alias("frame", "people"))
+    rows = _items(spark, path, f"array<struct<{_colons(KEYPOINTS)}>>").select("path", F.col("key").alias("frame"), F.col("v").alias("people"))
     rows = rows.select("path", F.col("frame").cast("int").alias("frame"), F.posexplode("people").alias("person", "p"))
     joints = F.transform("p.keypoints", lambda k: F.struct(F.get(k, F.lit(0)).alias("x"), F.get(k, F.lit(1)).alias("y"), F.get(k, F.lit(2)).alias("score")))
     return rows.select("path", "frame", "person", F.col("p.bbox").alias("bbox"), joints.alias("keypoints"))
@@ -76,7 +76,7 @@ def keypoints(spark: SparkSession, path: str) -> DataFrame:
 
 def scene_cameras(spark: SparkSession, path: str) -> DataFrame:
     """Scenes with their cameras."""
-    return _whole_json(spark, path, "map<string, array<string>>").select(F.explode("v").alias("scene", "cameras")).select("scene", F.posexplode("cameras").alias("place", "camera"))
+    return _items(spark, path, "array<string>").select(F.col("key").alias("scene"), F.col("v").alias("cameras")).select("scene", F.posexplode("cameras").alias("place", "camera"))
 
 
 def _separated(spark: SparkSession, path: str, sep: str | None) -> DataFrame:
@@ -128,7 +128,7 @@ def box_tracks_3d(spark: SparkSession, path: str) -> DataFrame:
 def bdd(spark: SparkSession, path: str) -> DataFrame:
     """A list of frames with labels."""
     label = "struct<id:string,category:string,attributes:struct<Crowd:boolean,Occluded:boolean,Truncated:boolean>,box2d:struct<x1:double,y1:double,x2:double,y2:double>>"
-    rows = _whole_json(spark, path, f"array<struct<name:string,videoName:string,frameIndex:int,labels:array<{label}>>>").select(F.explode("v").alias("f"))
+    rows = _items(spark, path, f"struct<name:string,videoName:string,frameIndex:int,labels:array<{label}>>").select(F.col("v").alias("f"))
     rows = rows.select(F.col("f.videoName").alias("video"), F.col("f.frameIndex").alias("frame"), F.explode("f.labels").alias("o"))
     return rows.select("video", "frame", F.col("o.id").cast("long").alias("id"), F.col("o.category").alias("class_name"), F.coalesce("o.attributes.Crowd", F.lit(False)).alias("crowd"), F.col("o.box2d").alias("box"))
 
@@ -144,15 +144,14 @@ _TAO = {
 
 def coco_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The lists of a COCO, TAO, BURST or video-segmentation document as tables."""
-    fields = ",".join(f"{name}:array<struct<{_colons(kind)}>>" for name, kind in _TAO.items())
-    whole = _whole_json(spark, path, f"struct<{fields}>")
-    return {name: whole.select(F.explode(f"v.{name}").alias("o")).select("o.*") for name in _TAO}
+    own = documents.Documents(spark, path)
+    return {name: documents.fields(own.items(name), f"struct<{_colons(kind)}>").select("v.*") for name, kind in _TAO.items()}
 
 
 def youtube_vis(spark: SparkSession, path: str) -> DataFrame:
     """One row for each video, track and frame with a segmentation."""
     mask = "struct<size:array<int>,counts:string>"
-    rows = _whole_json(spark, path, f"struct<annotations:array<struct<id:long,video_id:long,category_id:long,iscrowd:int,segmentations:array<{mask}>,areas:array<double>,bboxes:array<array<double>>>>>").select(F.explode("v.annotations").alias("a"))
+    rows = _items(spark, path, f"struct<id:long,video_id:long,category_id:long,iscrowd:int,segmentations:array<{mask}>,areas:array<double>,bboxes:array<array<double>>>", "annotations").select(F.col("v").alias("a"))
     return rows.select(F.col("a.video_id").alias("video"), F.col("a.id").alias("track"), F.col("a.category_id").alias("class"), F.col("a.iscrowd").alias("crowd"), F.posexplode("a.segmentations").alias("t", "mask"), F.col("a.areas").alias("_areas"), F.col("a.bboxes").alias("_boxes")).select("video", "track", "class", "crowd", "t", "mask", F.get("_areas", "t").alias("area"), F.get("_boxes", "t").alias("bbox")).where("mask is not null")
 
 
@@ -229,7 +228,7 @@ def burst(spark: SparkSession, path: str, truth: bool = True, distractors: Seque
     Annotations of `distractors` are left out; only ground truth leaves them out.
     """
     seq = "struct<id:long,seq_name:string,dataset:string,width:int,height:int,neg_category_ids:array<long>,not_exhaustive_category_ids:array<long>,track_category_ids:map<string,long>,annotated_image_paths:array<string>,segmentations:array<map<string,struct<rle:string,is_gt:boolean,score:double>>>>"
-    rows = _whole_json(spark, path, f"struct<split:string,sequences:array<{seq}>>").select(F.posexplode("v.sequences").alias("place", "s"))
+    rows = _items(spark, path, seq, "sequences").select(F.col("v").alias("s"))
     videos = rows.select(F.col("s.id").alias("id"), F.concat_ws("/", "s.dataset", "s.seq_name").alias("name"), "s.neg_category_ids", "s.not_exhaustive_category_ids", F.col("s.width").alias("width"), F.col("s.height").alias("height"))
     stride = F.lit(1_000_000)
     image_id = (F.col("s.id") * stride + F.col("frame_index")).alias("id")

@@ -69,17 +69,21 @@ def mask_lines(df: DataFrame) -> DataFrame:
     return df.orderBy("frame", "id").select(F.concat_ws(" ", "frame", "id", "class_id", F.format_string("%.4f", F.col("score").cast("double")), "height", "width", "counts").alias("line"))
 
 
-def coco_document(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
-    """One JSON document; annotations get numbers from 1 in order of image, box and category.
+def coco_document(images: DataFrame, annotations: DataFrame, categories: DataFrame, by: str | None = None) -> DataFrame:
+    """JSON documents; annotations get numbers from 1 in order of image, box and category.
 
-    A COCO document is one value, so this gathers it: for exports, not for pipelines.
+    With `by`, a column of images and annotations such as a scene, there is one
+    document for each of its values (column `by` beside `document`), else one for
+    all: that is one value, for exports that fit one.  Every document has all categories.
     """
     rows = numbered(annotations, ["image_id", "x", "y", "category_id", "w", "h"], "id")
     item = F.struct("id", "image_id", "category_id", F.array("x", "y", "w", "h").alias("bbox"), (F.col("w") * F.col("h")).alias("area"), F.lit(0).alias("iscrowd"))
-    a = images.agg(F.sort_array(F.collect_list(F.struct(*images.columns))).alias("images"))
-    b = rows.agg(F.sort_array(F.collect_list(item)).alias("annotations"))
+    key = [by] if by else []
+    a = images.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*(c for c in images.columns if c != by)))).alias("images"))
+    b = rows.groupBy(*key).agg(F.sort_array(F.collect_list(item)).alias("annotations"))
     c = categories.agg(F.sort_array(F.collect_list(F.struct(*categories.columns))).alias("categories"))
-    return a.crossJoin(b).crossJoin(c).select(F.to_json(F.struct("images", "annotations", "categories")).alias("document"))
+    both = a.join(b, by, "full") if by else a.crossJoin(b)
+    return both.crossJoin(c).select(*key, F.to_json(F.struct("images", "annotations", "categories")).alias("document"))
 
 
 def metric_table(parts: DataFrame, by: str = "seq", fields: Sequence[str] | None = None) -> DataFrame:
