@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import identities, matching, tracklets
+from ..operators import identities, matching, online, tracklets
 from ..session import checkpointed
 from .queries import query
 from .tables import EV, TRK, ev, table, trk
@@ -129,3 +129,34 @@ def c15_match_round(spark, sf):
     pairs = a.join(b, ["scene", "tens"]).select("scene", "a", "b", F.expr("abs(ea % 97 - eb % 89) / 10.0D").alias("distance"), F.expr("(ea + eb) % 10 / 10.0D").alias("similarity"))
     out = identities.match_round(tracks.where("camera <> 0"), named.select("scene", "camera", "local_id", "global_id"), pairs, ["scene"], 4.0, 0.2)
     return out.select("camera", "local_id", "global_id")
+
+
+def _standing(spark, sf, frames):
+    """Suppliers stand in a row before the camera of their nation, in every one of `frames` frames."""
+    rows = table(spark, sf, "supplier").select(F.col("s_nationkey").cast("long").alias("camera"), F.col("s_suppkey").alias("key"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(frames).cast("long"))).alias("frame"))
+    return rows.withColumns({"x": F.col("key") * 200.0, "score": F.lit(0.9), "class_id": F.lit(0)})
+
+
+def _boxed(rows, x):
+    return rows.withColumns({"x1": x, "y1": F.lit(0.0), "x2": x + 100, "y2": F.lit(100.0)})
+
+
+@query("""SELECT s_nationkey::BIGINT AS camera, f AS frame, row_number() OVER (PARTITION BY s_nationkey, f ORDER BY s_suppkey) AS track_id, round(s_suppkey * 200.0 - 130 * f * (f + 1) / 2 + 130, 4) AS x1
+FROM supplier, range(1, 11) t(f)""")
+def r9_camera_motion(spark, sf):
+    """The camera moves on, each frame further than before; its motions, a file's rows in effect, keep everybody's track."""
+    rows = _standing(spark, sf, 10)
+    shift = -130 * F.col("frame") * (F.col("frame") + 1) / 2 + 130
+    rows = _boxed(rows, F.col("x") + shift)
+    motions = rows.select("camera", "frame").distinct().select("camera", "frame", F.array(F.lit(1.0), F.lit(0.0), -130.0 * F.col("frame"), F.lit(0.0), F.lit(1.0), F.lit(0.0)).alias("warp"))
+    return online.track(rows, "camera", "two-band", motions=motions).select("camera", "frame", "track_id", F.round("x1", 4).alias("x1"))
+
+
+@query("""WITH s AS (SELECT s_nationkey::BIGINT AS camera, s_suppkey AS k, s_suppkey % 2 = 1 AS moves, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n, count(*) OVER (PARTITION BY s_nationkey) AS m, row_number() OVER (PARTITION BY s_nationkey, s_suppkey % 2 ORDER BY s_suppkey) AS nth FROM supplier)
+SELECT camera, f AS frame, CASE WHEN moves AND f >= 5 THEN m + nth ELSE n END AS track_id FROM s, range(1, 10) t(f) WHERE NOT (moves AND f IN (5, 6))""")
+def r6_gated_tracks(spark, sf):
+    """Everybody looks as before, but from frame 5 on half of them stand where their motion cannot have brought them: these are new tracks, which show after three hits."""
+    rows = _standing(spark, sf, 9)
+    rows = _boxed(rows, F.when((F.col("key") % 2 == 1) & (F.col("frame") >= 5), F.col("x") + 1_000_000.0).otherwise(F.col("x")))
+    looks = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.cos(F.col("key") * (k + 1) * 0.7))
+    return online.track(rows.withColumn("feature", looks), "camera", "cascade").select("camera", "frame", "track_id")
