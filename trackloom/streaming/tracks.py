@@ -15,7 +15,7 @@ from ..operators.online import OUTPUT, PRESETS, Config, Tracker, as_rows, frames
 
 
 def section_counts(events: DataFrame, time: str, by: list[str], size: str, late: str = "2 seconds", slide: str | None = None) -> DataFrame:
-    """Rows and distinct ids of each window of event time; rows later than `late` are dropped."""
+    """Rows of each window of event time; rows later than `late` are dropped and counted in the progress of the stream."""
     window = F.window(time, size, slide) if slide else F.window(time, size)
     return events.withWatermark(time, late).groupBy(window.alias("w"), *by).agg(F.count("*").alias("n_rows")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n_rows")
 
