@@ -120,7 +120,9 @@ def feature_pairs(df: DataFrame, group: Sequence[str], member: str, vector: str,
         return out.filter(pc.less(first, second))
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in group) + f", member_1 {kinds[member]}, member_2 {kinds[member]}, cosine double"
-    return meeting(own, own.select("*"), kernel, schema.removeprefix(", "), group=1024, part=4096, by=group)
+    # Columns of its own: a cogroup takes columns of one origin for one.
+    other = own.select(*(F.col(c).alias(c) for c in own.columns))
+    return meeting(own, other, kernel, schema.removeprefix(", "), group=1024, part=4096, by=group)
 
 
 def set_similarity(left: DataFrame, right: DataFrame, key: Sequence[str], left_set: str, right_set: str, vector: str, k: int = 5, limit: float = 0.8) -> DataFrame:
