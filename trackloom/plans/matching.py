@@ -160,3 +160,17 @@ def r6_gated_tracks(spark, sf):
     rows = _boxed(rows, F.when((F.col("key") % 2 == 1) & (F.col("frame") >= 5), F.col("x") + 1_000_000.0).otherwise(F.col("x")))
     looks = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.cos(F.col("key") * (k + 1) * 0.7))
     return online.track(rows.withColumn("feature", looks), "camera", "cascade").select("camera", "frame", "track_id")
+
+
+@query(f"""WITH {TRK}, d AS (SELECT user_id % 4 AS camera, frame // 4 AS section, frame, user_id, user_id // 8 AS couple, event_id FROM trk),
+m AS (SELECT camera, section, couple FROM d GROUP BY camera, section, couple, frame HAVING count(DISTINCT user_id) > 1),
+c AS (SELECT d.*, CASE WHEN m.camera IS NULL THEN -1 - couple ELSE user_id END AS cluster FROM d LEFT JOIN (SELECT DISTINCT * FROM m) m USING (camera, section, couple)),
+f AS (SELECT *, min(frame * 1000000 + event_id) OVER (PARTITION BY camera, section, cluster) AS first FROM c)
+SELECT camera, section, event_id, dense_rank() OVER (PARTITION BY camera, section ORDER BY first) - 1 AS local_id FROM f""")
+def c3_split_clusters(spark, sf):
+    """Two users of a camera look nearly alike: where they are in a frame together they are told apart, else they are one."""
+    rows = trk(spark, sf).select((F.col("user_id") % 4).alias("camera"), "frame", "event_id", "user_id", F.expr("user_id div 8").alias("couple"))
+    width = int(rows.agg(F.max("couple")).first()[0] or 0) + 1
+    own = (F.expr("user_id div 4") % 2).cast("double") * 0.2
+    looks = F.transform(F.sequence(F.lit(0), F.lit(2 * width - 1)), lambda k: F.when(k == 2 * F.col("couple"), F.lit(1.0)).when(k == 2 * F.col("couple") + 1, own).otherwise(0.0))
+    return tracklets.cluster_detections(rows.select("camera", "frame", "event_id", looks.alias("look")), ["camera"], "frame", "event_id", "look", cut=0.3, section=4).select("camera", "section", "event_id", "local_id")
