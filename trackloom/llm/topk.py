@@ -45,7 +45,8 @@ def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors:
 
     Vectors hold whole numbers as doubles; ties go to the smaller id.  Where sums
     of products could pass 2**53, which doubles no longer hold exactly, scores are
-    summed as Python's integers; one beyond 64 bits raises OverflowError.
+    summed as Python's integers; one beyond 63 bits counts as the greatest or least
+    that 63 bits and a sign hold.
     """
     width = vectors.shape[1] if vectors.ndim == 2 else 0
     levels = [n for n in LEVELS if n <= width // 2]
@@ -73,7 +74,7 @@ def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors:
             score = queries[rows][on] @ vectors[near].T
             i, j = np.nonzero((score >= worst[on, None] - (slack if largest >= 1 << 53 else 0)) & (ids[near] != query_ids[rows][on, None]))
             if largest >= 1 << 53:
-                own = [sum(int(p) * int(q) for p, q in zip(x, y)) for x, y in zip(queries[rows][on[i]], vectors[near[j]])]
+                own = [max(1 - (1 << 63), min((1 << 63) - 1, sum(int(p) * int(q) for p, q in zip(x, y)))) for x, y in zip(queries[rows][on[i]], vectors[near[j]])]
                 score = np.array(own, object).astype(np.int64)
             else:
                 score = score[i, j].astype(np.int64)
@@ -126,8 +127,8 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, id_
     Components x count as floor(scale * x).  A query's own id is no candidate of
     it; ties go to the smaller id; with fewer candidates all are returned.  Rows
     without an id, and vectors that are null or hold null or non-finite
-    components, take no part.  Vectors are compared with those of their length
-    only.  Of several query rows with one id the least vector is taken; as
+    components, take no part.  Scores beyond 63 bits count as the greatest or least
+    that 63 bits and a sign hold.  Vectors are compared with those of their length only.  Of several query rows with one id the least vector is taken; as
     candidates all of them count.
     """
     usable = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.forall(vector_col, lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x))
