@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import filters as X
 from ..operators import identities, matching, online, tracklets
 from ..session import checkpointed
-from .queries import query
-from .tables import EV, TRK, ev, table, trk
+from .queries import query, r6
+from .tables import AREA, AREB, EV, INTER, TRK, ev, table, trk
 
 #: Seconds within which two events may be a couple.
 _WITHIN = 40_000
@@ -174,3 +175,35 @@ def c3_split_clusters(spark, sf):
     own = (F.expr("user_id div 4") % 2).cast("double") * 0.2
     looks = F.transform(F.sequence(F.lit(0), F.lit(2 * width - 1)), lambda k: F.when(k == 2 * F.col("couple"), F.lit(1.0)).when(k == 2 * F.col("couple") + 1, own).otherwise(0.0))
     return tracklets.cluster_detections(rows.select("camera", "frame", "event_id", looks.alias("look")), ["camera"], "frame", "event_id", "look", cut=0.3, section=4).select("camera", "section", "event_id", "local_id")
+
+
+@query(f"""WITH {TRK}, r AS (SELECT *, user_id % 4 AS camera FROM trk), n AS (SELECT camera, user_id, count(*) AS n FROM r GROUP BY ALL),
+p AS (SELECT a.camera, a.user_id AS id_1, b.user_id AS id_2, count(*) AS n_shared, avg({INTER} / least({AREA}, {AREB})) AS overlap FROM r a JOIN r b ON a.camera = b.camera AND a.frame = b.frame AND a.user_id < b.user_id GROUP BY ALL)
+SELECT p.camera, id_1, id_2, n_shared, round(overlap, 6) AS overlap FROM p JOIN n x ON x.camera = p.camera AND x.user_id = id_1 JOIN n y ON y.camera = p.camera AND y.user_id = id_2
+WHERE n_shared / least(x.n, y.n) >= 0.3 AND overlap >= 0.2""")
+def c7_overlapping_tracklets(spark, sf):
+    rows = trk(spark, sf).withColumn("camera", F.col("user_id") % 4)
+    found = tracklets.overlapping_tracklets(rows, ["camera"], "frame", "user_id", ratio=0.3, coefficient=0.2)
+    return found.select("camera", "id_1", "id_2", "n_shared", r6("overlap").alias("overlap"))
+
+
+@query(f"WITH {TRK} SELECT user_id, event_id, frame FROM trk QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3, (x2 - x1) * (y2 - y1) DESC, event_id) = 1")
+def a11_best_view(spark, sf):
+    rows = trk(spark, sf)
+    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    return tracklets.best_view(rows, ["user_id"], F.col("event_id") % 3, area, "event_id").select("user_id", "event_id", "frame")
+
+
+@query("""WITH e AS (SELECT vec_id, vec_id % 8 AS scene, label::BIGINT AS global_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+n AS (SELECT a.scene, a.vec_id, b.global_id, count(*) AS n FROM e a JOIN e b ON a.scene = b.scene AND a.vec_id % 3 = 0 AND b.vec_id % 3 <> 0 AND list_cosine_similarity(a.v, b.v) >= 0.15 GROUP BY ALL),
+w AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, global_id) = 1)
+SELECT e.scene, e.vec_id AS local_id, w.global_id FROM e LEFT JOIN w ON w.vec_id = e.vec_id WHERE e.vec_id % 3 = 0""")
+def c11_reassigned(spark, sf):
+    rows = table(spark, sf, "embeddings").select((F.col("vec_id") % 8).alias("scene"), F.lit(0).alias("camera"), F.col("vec_id").alias("local_id"), F.col("label").cast("long").alias("global_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    out = identities.reassign(rows.where("local_id % 3 = 0").drop("global_id"), rows.where("local_id % 3 <> 0"), ["scene"], "vector", 0.15)
+    return out.select("scene", "local_id", "global_id")
+
+
+@query(f"WITH {TRK} SELECT user_id, frame, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_id) AS rank FROM trk QUALIFY rank <= 5")
+def t5_best_five(spark, sf):
+    return X.top_per_group(trk(spark, sf), ["user_id"], [F.desc("score"), F.asc("event_id")], 5).select("user_id", "frame", F.col("rank").cast("long").alias("rank"))
