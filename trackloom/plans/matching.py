@@ -1,10 +1,12 @@
-"""Matching beyond one matrix (C4, C5, C10, C12, C13, C15, C17, W2) on the test tables; keys and SQL as in `queries`."""
+"""Matching beyond one matrix (C4, C5, C10, C12, C13, C15, C17, W2), motion, and further operators on the test tables; keys and SQL as in `queries`."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
+from ..functions import names as N
 from ..operators import filters as X
 from ..operators import identities, matching, online, tracklets
 from ..session import checkpointed
@@ -207,3 +209,31 @@ def c11_reassigned(spark, sf):
 @query(f"WITH {TRK} SELECT user_id, frame, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_id) AS rank FROM trk QUALIFY rank <= 5")
 def t5_best_five(spark, sf):
     return X.top_per_group(trk(spark, sf), ["user_id"], [F.desc("score"), F.asc("event_id")], 5).select("user_id", "frame", F.col("rank").cast("long").alias("rank"))
+
+
+#: A camera whose projections SQL can write down: u = (2 X + 1006) / 10 and v = (2 Y + 508) / 10 on the ground.
+_INTRINSIC = [[2.0, 0.0, 100.0], [0.0, 2.0, 50.0], [0.0, 0.0, 1.0]]
+_EXTRINSIC = [[1.0, 0.0, 0.0, 3.0], [0.0, 1.0, 0.0, 4.0], [0.0, 0.0, 1.0, 10.0]]
+
+
+@query(f"WITH {TRK} SELECT event_id, round(5 * (x1 + x2) / 2 - 503, 6) AS x, round(5 * y2 - 254, 6) AS y FROM trk")
+def p4_ground_points(spark, sf):
+    point = G.project(G.ground_homography(_INTRINSIC, _EXTRINSIC), (F.col("x1") + F.col("x2")) / 2, F.col("y2"))
+    return trk(spark, sf).select("event_id", point.alias("p")).select("event_id", r6("p.x").alias("x"), r6("p.y").alias("y"))
+
+
+@query(f"WITH {TRK}, d AS (SELECT *, nullif(event_id % 50, 0) / 10 AS m FROM trk) SELECT event_id, round(m * (y1 - 50) / 2 + 1, 6) AS x, round(m * (x1 - 100) / 2 + 2, 6) AS y, round(m + 3, 6) AS z FROM d")
+def p5_depth_points(spark, sf):
+    """Every fiftieth box has no depth."""
+    world = [[0.0, 1.0, 0.0, 1.0], [1.0, 0.0, 0.0, 2.0], [0.0, 0.0, 1.0, 3.0], [0.0, 0.0, 0.0, 1.0]]
+    point = G.back_project(F.col("x1"), F.col("y1"), F.col("event_id") % 50 * 100, _INTRINSIC, world)
+    return trk(spark, sf).select("event_id", point.alias("p")).select("event_id", *(r6(f"p.{c}").alias(c) for c in "xyz"))
+
+
+@query(f"WITH {TRK} SELECT event_id, CASE WHEN event_id % 4 <> 3 THEN frame::INTEGER END AS frame, CASE WHEN event_id % 4 <> 3 THEN x1::INTEGER END AS x1, CASE WHEN event_id % 4 <> 3 THEN y2::INTEGER END AS y2, CASE WHEN event_id % 4 <> 3 THEN (event_id % 100) / 100 END AS score, CASE WHEN event_id % 4 = 1 THEN (event_id % 6)::INTEGER END AS class_id FROM trk")
+def s4_feature_names(spark, sf):
+    """Names with a class and without, and others that are no feature files."""
+    whole = F.concat_ws("_", F.lit("a/feature"), "frame", F.lit("7"), *(F.col(c).cast("int") for c in ("x1", "x2", "y1", "y2")), F.concat(F.lit("0"), F.lpad((F.col("event_id") % 100).cast("string"), 2, "0")))
+    end = F.when(F.col("event_id") % 4 == 1, F.concat(F.lit("_cls"), F.col("event_id") % 6)).otherwise("")
+    path = F.when(F.col("event_id") % 4 == 3, F.lit("a/other.npy")).otherwise(F.concat(whole, end, F.lit(".npy")))
+    return trk(spark, sf).select("event_id", N.feature_name(path).alias("n")).select("event_id", "n.frame", "n.x1", "n.y2", "n.score", "n.class_id")
