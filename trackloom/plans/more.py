@@ -10,10 +10,10 @@ from ..functions import names as N
 from ..operators import aggregates as A
 from ..operators import detection as D
 from ..operators import filters as X
-from ..operators import graph, identities, metrics, pairs, retrieval, tracklets, windows
+from ..operators import graph, identities, metrics, pairs, ranking, retrieval, tracklets, windows
 from ..session import checkpoints
 from ..sources import writers
-from .queries import _EMB, _NN, _PAIR, _ranked, _sides, _times, query, r6
+from .queries import _EMB, _NN, _PAIR, _ranked, _searched, _sides, _times, query, r6
 from .tables import EV, TRK, ev, table, trk
 
 
@@ -190,8 +190,8 @@ def m14_single_shot_cmc(spark, sf):
 
 @query(f"WITH {_NN}, gr AS (SELECT q % 5 AS fold, 0.1::DOUBLE * k AS threshold, sum(CASE WHEN (distance < 0.1::DOUBLE * k) = (hit = 1) THEN 1 ELSE 0 END) AS good, count(*) AS n FROM r, range(1, 20) t(k) GROUP BY ALL), a AS (SELECT threshold, sum(good) AS good, sum(n) AS n FROM gr GROUP BY threshold), c AS (SELECT gr.*, row_number() OVER (PARTITION BY fold ORDER BY (a.good - gr.good) / nullif(a.n - gr.n, 0) DESC, threshold) AS place FROM gr JOIN a USING (threshold)) SELECT fold, threshold, good / n AS accuracy FROM c WHERE place = 1")
 def m18_verification(spark, sf):
-    found = _ranked(spark, sf).select((F.col("q") % 5).alias("fold"), "distance", F.col("hit").alias("same"))
-    return retrieval.verification(found, [0.1 * k for k in range(1, 20)], 5)
+    queries, *rest = _searched(spark, sf)
+    return retrieval.best_thresholds(ranking.threshold_counts(queries.withColumn("fold", F.col("vec_id") % 5), *rest, "fold", [0.1 * k for k in range(1, 20)]))
 
 
 @query()

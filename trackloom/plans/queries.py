@@ -18,7 +18,7 @@ from ..operators import aggregates as A
 from ..operators import detection as D
 from ..operators import filters as X
 from ..operators import metrics as M
-from ..operators import online, pairs, retrieval, windows
+from ..operators import online, pairs, ranking, retrieval, windows
 from ..sources import writers
 from .tables import AREA, EV, FRAME, INTER, IOU, TRK, ev, table, trk
 
@@ -415,6 +415,11 @@ def _ranked(spark, sf):
     return retrieval.ranked(found, queries.select(F.col("vec_id").alias("q"), F.col("label").alias("pid"), (F.col("vec_id") % 4).alias("camid")), gallery.select(F.col("vec_id").alias("g"), F.col("label").alias("pid"), (F.col("vec_id") % 4).alias("camid")))
 
 
+def _searched(spark, sf):
+    rows = table(spark, sf, "embeddings").withColumn("camid", F.col("vec_id") % 4)
+    return rows.where("vec_id % 10 = 0"), rows.where("vec_id % 10 <> 0"), "vec_id", "vec_id", "embedding", "label", "camid"
+
+
 @query(f"WITH {_EMB}, d AS (SELECT a.vec_id AS q, b.vec_id AS g, 1 - list_cosine_similarity(a.v, b.v) AS x FROM e a, e b WHERE a.vec_id % 10 = 0 AND b.vec_id % 10 <> 0) SELECT q, g, round(x, 6) AS distance, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY x, g) AS r FROM d) WHERE r <= 10")
 def j18_knn(spark, sf):
     rows = table(spark, sf, "embeddings")
@@ -424,24 +429,26 @@ def j18_knn(spark, sf):
 
 @query(f"WITH {_NN}, s AS (SELECT *, sum(hit) OVER (PARTITION BY q ORDER BY rank) AS seen FROM r), p AS (SELECT q, min(rank) AS f, avg(seen / rank) AS ap, count(*) / max(rank) AS inp FROM s WHERE hit = 1 GROUP BY q) SELECT CAST(i AS INTEGER) AS rank, round((SELECT count(*) FROM p WHERE f <= i) / (SELECT count(*) FROM p), 6) AS cmc, round((SELECT avg(ap) FROM p), 6) AS map, round((SELECT avg(inp) FROM p), 6) AS minp FROM range(1, 21) t(i)")
 def m13_cmc_map(spark, sf):
-    out = retrieval.cmc_and_map(_ranked(spark, sf), 20)
+    out = retrieval.cmc_and_map(ranking.hit_ranks(*_searched(spark, sf)), 20)
     return out.select("rank", *(r6(c).alias(c) for c in ("cmc", "map", "minp")))
 
 
 @query(f"WITH {_NN}, s AS (SELECT *, sum(hit) OVER (PARTITION BY q ORDER BY rank) AS seen FROM r) SELECT q, min(rank) AS first_rank, max(rank) AS last_rank, count(*) AS n_hits, round(avg(seen / rank), 6) AS ap, round(avg((seen / rank + CASE WHEN rank > 1 THEN (seen - 1) / (rank - 1) ELSE 1 END) / 2), 6) AS ap_trapezoid FROM s WHERE hit = 1 GROUP BY q")
 def m15_trapezoid_ap(spark, sf):
-    out = retrieval.per_query(_ranked(spark, sf))
+    out = retrieval.per_query(ranking.hit_ranks(*_searched(spark, sf)))
     return out.select("q", F.col("first_rank").cast("long").alias("first_rank"), F.col("last_rank").cast("long").alias("last_rank"), "n_hits", r6("ap").alias("ap"), r6("ap_trapezoid").alias("ap_trapezoid"))
 
 
 @query(f"WITH {_NN}, f AS (SELECT q, min(rank) FILTER (hit = 1) AS m FROM r GROUP BY q) SELECT k, round(avg(CASE WHEN m <= k THEN 1.0 ELSE 0.0 END), 6) AS recall FROM f, (VALUES (1), (5), (10)) t(k) GROUP BY k")
 def m17_recall_at_k(spark, sf):
-    return retrieval.recall_at(_ranked(spark, sf), [1, 5, 10]).withColumn("recall", r6("recall"))
+    searched = _searched(spark, sf)
+    ranks = ranking.with_all_queries(ranking.hit_ranks(*searched), searched[0], "vec_id")
+    return retrieval.recall_at(ranks, [1, 5, 10]).withColumn("recall", r6("recall"))
 
 
 @query(f"WITH {_NN}, c AS (SELECT distance, sum(hit) AS p, sum(1 - hit) AS n FROM r GROUP BY distance), s AS (SELECT sum(p) OVER w / (SELECT sum(hit) FROM r) AS tpr, sum(n) OVER w / (SELECT sum(1 - hit) FROM r) AS fpr FROM c WINDOW w AS (ORDER BY distance ROWS UNBOUNDED PRECEDING)) SELECT k AS fpr, round(coalesce(max(tpr) FILTER (s.fpr <= k), 0), 6) AS tpr FROM s, (VALUES (0.001::DOUBLE), (0.01::DOUBLE), (0.1::DOUBLE)) t(k) GROUP BY k")
 def m16_roc(spark, sf):
-    return retrieval.roc(_ranked(spark, sf), rates=(0.001, 0.01, 0.1)).withColumn("tpr", r6("tpr"))
+    return ranking.roc_at(*_searched(spark, sf), rates=(0.001, 0.01, 0.1)).withColumn("tpr", r6("tpr"))
 
 
 @query(f"WITH {_EMB}, d AS (SELECT a.vec_id AS q, b.vec_id AS g, b.v, row_number() OVER (PARTITION BY a.vec_id ORDER BY 1 - list_cosine_similarity(a.v, b.v), b.vec_id) AS r FROM e a, e b WHERE a.vec_id % 10 = 0), u AS (SELECT q, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM d WHERE r <= 5), m AS (SELECT q, i, round(avg(x), 6) AS x FROM u GROUP BY ALL) SELECT q, list(x ORDER BY i) AS embedding FROM m GROUP BY q")
