@@ -66,20 +66,88 @@ def shared_frames(df: DataFrame, frame: Sequence[str], id_col: str, value: Colum
     return pairs.groupBy("id_1", "id_2").agg(F.count("*").alias("n_shared"), *more)
 
 
+def _met(one: pa.Table, two: pa.Table, same: bool, track: str, frame: str, coordinates: Sequence[str]) -> pa.Table:
+    """What the paths of two blocks share: a row a pair of tracks, the smaller id first."""
+    sides = []
+    for table in (one, two):
+        ids = table[track].combine_chunks().dictionary_encode()
+        at = table[frame].to_numpy()
+        code = ids.indices.to_numpy()
+        # Rows of a track that fall on one frame are told apart by their number.
+        order = np.lexsort((code, at))
+        at, code = at[order], code[order]
+        first = np.concatenate([[True], (at[1:] != at[:-1]) | (code[1:] != code[:-1])])
+        begin = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+        layer = np.arange(len(at)) - begin
+        again = np.lexsort((layer, at))
+        xs = np.stack([table[c].to_numpy()[order][again].astype(float) for c in coordinates]) if coordinates else np.zeros((0, len(at)))
+        at, layer = at[again], layer[again]
+        edges = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (layer[1:] != layer[:-1]), [True]]))
+        pieces: dict = {}
+        for a, b in zip(edges[:-1], edges[1:]):
+            pieces.setdefault(at[a], []).append(slice(int(a), int(b)))
+        sides.append((ids.dictionary, code[again], xs, pieces))
+    (left, i, x, here), (right, j, y, there) = sides
+    shape = len(left), len(right)
+    n, total, least, most = np.zeros(shape, np.int64), np.zeros(shape), np.full(shape, np.inf), np.full(shape, -np.inf)
+    for t in here.keys() & there.keys():
+        for a in here[t]:
+            for b in there[t]:
+                cells = np.ix_(i[a], j[b])
+                n[cells] += 1
+                if coordinates:
+                    d = np.sqrt(sum((x[c, a][:, None] - y[c, b][None]) ** 2 for c in range(len(x))))
+                    total[cells] += d
+                    least[cells] = np.minimum(least[cells], d)
+                    most[cells] = np.maximum(most[cells], d)
+    a, b = np.nonzero(n)
+    ids = left.take(pa.array(a)), right.take(pa.array(b))
+    ordered = pc.less(*ids)
+    out = pa.table({"id_1": pc.if_else(ordered, *ids), "id_2": pc.if_else(ordered, *ids[::-1]), "n": n[a, b], "total": total[a, b], "least": least[a, b], "greatest": most[a, b]})
+    # Within a block each pair comes from both sides, and each track meets itself.
+    return out.filter(ordered) if same else out
+
+
+def meeting_paths(df: DataFrame, track: str, frame: str, coordinates: Sequence[str] = (), block: int = 256, section: int = 256) -> DataFrame:
+    """(id_1, id_2, n_shared, and with coordinates least, mean, greatest distance) of all pairs of tracks that meet in a frame, id_1 < id_2.
+
+    Blocks of some `block` tracks meet over `section` frames at a time, so a task
+    holds a few matrices of that size whatever a frame or a track holds, and a row
+    a pair and section leaves it.  Frames are whole numbers; rows with a null track,
+    frame or coordinate meet nothing; rows of a track that repeat a frame all count.
+    """
+    rows = df.select(track, F.col(frame).cast("long").alias(frame), *coordinates).dropna()
+    blocks = max(1, -(-rows.select(track).distinct().count() // block))
+    rows = rows.withColumns({"_block": F.pmod(F.xxhash64(track), F.lit(blocks)).cast("int"), "_section": F.floor(F.col(frame) / section)})
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    rows = rows.withColumn("_other", other).withColumns({"_a": F.least("_block", "_other"), "_b": F.greatest("_block", "_other")}).drop("_other")
+    kind = dict(rows.dtypes)[track]
+    schema = f"id_1 {kind}, id_2 {kind}, n long, total double, least double, greatest double"
+    empty = to_arrow_schema(T.StructType.fromDDL(schema)).empty_table()
+
+    def meet(table: pa.Table) -> pa.Table:
+        a, b = table["_a"][0].as_py(), table["_b"][0].as_py()
+        one, two = (table.filter(pc.equal(table["_block"], k)) for k in (a, b))
+        return _met(one, two, a == b, track, frame, coordinates) if len(one) and len(two) else empty
+
+    parts = rows.groupBy("_a", "_b", "_section").applyInArrow(meet, schema)
+    more = [F.min("least").alias("least"), (F.sum("total") / F.sum("n")).alias("mean"), F.max("greatest").alias("greatest")] if coordinates else []
+    return parts.groupBy("id_1", "id_2").agg(F.sum("n").alias("n_shared"), *more)
+
+
 def overlap_ratio(df: DataFrame, frame: str, id_col: str, value: Column | None = None) -> DataFrame:
     """`shared_frames` with the lengths of both tracks and the share of the shorter one."""
     lengths = df.groupBy(id_col).agg(F.countDistinct(frame).alias("n"))
     one = lengths.select(F.col(id_col).alias("id_1"), F.col("n").alias("n_1"))
     two = lengths.select(F.col(id_col).alias("id_2"), F.col("n").alias("n_2"))
-    return shared_frames(df, [frame], id_col, value).join(one, "id_1").join(two, "id_2").withColumn("ratio", F.col("n_shared") / F.least("n_1", "n_2"))
+    shared = meeting_paths(df, id_col, frame) if value is None else shared_frames(df, [frame], id_col, value)
+    return shared.join(one, "id_1").join(two, "id_2").withColumn("ratio", F.col("n_shared") / F.least("n_1", "n_2"))
 
 
 def positional_distance(df: DataFrame, track: str, order: str, coordinates: Sequence[str]) -> DataFrame:
     """Mean distance of tracks, the first rows with the first, the second with the second and so on, up to the shorter one."""
     df = df.withColumn("_place", F.row_number().over(Window.partitionBy(track).orderBy(order)))
-    own = df.select("_place", track, *coordinates)
-    terms = [F.pow(F.col(f"a.{c}") - F.col(f"b.{c}"), F.lit(2.0)) for c in coordinates]
-    return shared_frames(own, ["_place"], track, F.sqrt(sum(terms[1:], terms[0]))).select("id_1", "id_2", F.col("n_shared").alias("n_points"), F.col("mean").alias("distance"))
+    return meeting_paths(df, track, "_place", coordinates).select("id_1", "id_2", F.col("n_shared").alias("n_points"), F.col("mean").alias("distance"))
 
 
 def overlapping_ranges(df: DataFrame, id_col: str, first: str, last: str, least: int = 1, bucket: int = 100, apart: Sequence[str] = ()) -> DataFrame:

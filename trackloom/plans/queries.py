@@ -298,8 +298,7 @@ def j5_pair_overlap(spark, sf):
 
 @query(f"WITH {TRK} SELECT a.user_id AS id_1, b.user_id AS id_2, count(*) AS n_shared, round(min(sqrt((a.x1 - b.x1) ** 2 + (a.y1 - b.y1) ** 2)), 6) AS least, round(avg(sqrt((a.x1 - b.x1) ** 2 + (a.y1 - b.y1) ** 2)), 6) AS mean, round(max(sqrt((a.x1 - b.x1) ** 2 + (a.y1 - b.y1) ** 2)), 6) AS greatest FROM trk a JOIN trk b ON a.frame = b.frame AND a.user_id < b.user_id GROUP BY ALL")
 def j6_frame_distance(spark, sf):
-    d = F.sqrt(F.pow(F.col("a.x1") - F.col("b.x1"), F.lit(2.0)) + F.pow(F.col("a.y1") - F.col("b.y1"), F.lit(2.0)))
-    out = pairs.shared_frames(trk(spark, sf).select("frame", "user_id", "x1", "y1"), ["frame"], "user_id", d)
+    out = pairs.meeting_paths(trk(spark, sf), "user_id", "frame", ["x1", "y1"])
     return out.select("id_1", "id_2", "n_shared", *(r6(c).alias(c) for c in ("least", "mean", "greatest")))
 
 
