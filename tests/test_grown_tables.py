@@ -27,7 +27,7 @@ def events(spark, rows):
     return spark.createDataFrame(rows, "event_id long, user_id long, frame long").selectExpr("event_id", f"timestamp_seconds(frame * {FRAME} + event_id % 1000) as ts", "user_id", "array('a', 'b')[event_id % 2] as event_type", "1.0D as value")
 
 
-@pytest.mark.parametrize("name", ["w11_smoothed_features"])
+@pytest.mark.parametrize("name", ["p17_normalise", "w11_smoothed_features"])
 def test_zeros_keep_their_sign(spark, same, name):
     rows = [(0, 0, [0.6, -1e-8, 0.8]), (1, 0, [3.0, 1e-8, -4.0]), (2, 1, [-2e-7, 5.0, 0.0])]
     assert any("-0.0" in r for r in same(name, embeddings=spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")))

@@ -323,7 +323,7 @@ def p16_cosine(spark, sf):
 
 @query(f"WITH {_EMB}, n AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS l FROM e) SELECT vec_id, list_transform(v, lambda x: round(CASE WHEN abs(l - 1) <= 0.001 OR l = 0 THEN x ELSE x / l END, 6)) AS unit FROM n")
 def p17_normalise(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", F.transform(V.normalised(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
+    return table(spark, sf, "embeddings").select("vec_id", V.rounded(V.normalised(F.col("embedding")), 6).alias("unit"))
 
 
 @query(f"WITH {_EMB}, a AS (SELECT label AS set_1, v FROM e WHERE vec_id % 2 = 0), b AS (SELECT label AS set_2, v FROM e WHERE vec_id % 2 = 1), p AS (SELECT set_1, set_2, list_cosine_similarity(a.v, b.v) AS s FROM a, b), k AS (SELECT *, row_number() OVER (PARTITION BY set_1, set_2 ORDER BY s DESC) AS r FROM p) SELECT set_1, set_2, round(avg(s) FILTER (r <= 5), 6) AS mean_of_top, count(*) FILTER (s >= 0.3) AS n_over, any_value(n.c) AS n_1, any_value(m.c) AS n_2, count(*) FILTER (s >= 0.3) >= least(any_value(n.c), any_value(m.c), 5) AS similar FROM k JOIN (SELECT set_1 AS s1, count(*) AS c FROM a GROUP BY 1) n ON s1 = set_1 JOIN (SELECT set_2 AS s2, count(*) AS c FROM b GROUP BY 1) m ON s2 = set_2 GROUP BY set_1, set_2")
@@ -455,7 +455,7 @@ def c19_query_expansion(spark, sf):
     rows = table(spark, sf, "embeddings")
     near = pairs.neighbours(rows.where("vec_id % 10 = 0"), rows, "vec_id", "vec_id", "embedding", 5)
     out = retrieval.expanded(near, rows.select(F.col("vec_id").alias("id"), "embedding"), "q", "g", "embedding")
-    return out.select("q", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+    return out.select("q", V.rounded(F.col("embedding"), 6).alias("embedding"))
 
 
 @query(f"WITH {_EMB}, d AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, 1 - list_cosine_similarity(a.v, b.v) AS x FROM e a, e b WHERE a.vec_id <> b.vec_id) SELECT a, round(max(x) FILTER (same), 6) AS hardest_positive, round(min(x) FILTER (NOT same), 6) AS hardest_negative FROM d GROUP BY a")
