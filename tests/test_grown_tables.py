@@ -31,3 +31,8 @@ def events(spark, rows):
 def test_zeros_keep_their_sign(spark, same, name):
     rows = [(0, 0, [0.6, -1e-8, 0.8]), (1, 0, [3.0, 1e-8, -4.0]), (2, 1, [-2e-7, 5.0, 0.0])]
     assert any("-0.0" in r for r in same(name, embeddings=spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")))
+
+
+def test_moved_objects_meet_nobody_in_a_long_row(spark, same):
+    rows = spark.createDataFrame([(k, 0) for k in (0, 1, 2, 3, 5001, 5003)], "s_suppkey long, s_nationkey int")
+    same("r6_gated_tracks", supplier=rows)
