@@ -36,3 +36,8 @@ def test_zeros_keep_their_sign(spark, same, name):
 def test_moved_objects_meet_nobody_in_a_long_row(spark, same):
     rows = spark.createDataFrame([(k, 0) for k in (0, 1, 2, 3, 5001, 5003)], "s_suppkey long, s_nationkey int")
     same("r6_gated_tracks", supplier=rows)
+
+
+def test_two_tracks_on_one_mask(spark, same):
+    rows = events(spark, [(421, 1, 0), (841, 3, 0), (3, 3, 1), (6, 3, 2), (9, 3, 3)])
+    assert same("m6_mask_track_matches", events=rows)
