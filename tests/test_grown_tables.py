@@ -1,10 +1,12 @@
 """Queries against their SQL on small tables that hold what larger ones bring: zeros from below, long rows of suppliers, tracks that share a mask."""
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__
 from test_queries import normal
+from trackloom.operators import runs
 from trackloom.plans.tables import FRAME
 
 
@@ -41,3 +43,11 @@ def test_moved_objects_meet_nobody_in_a_long_row(spark, same):
 def test_two_tracks_on_one_mask(spark, same):
     rows = events(spark, [(421, 1, 0), (841, 3, 0), (3, 3, 1), (6, 3, 2), (9, 3, 3)])
     assert same("m6_mask_track_matches", events=rows)
+
+
+def test_shared_masks_come_in_pieces():
+    masks = [runs.of_lengths([k, 30, 5]) for k in range(20)]
+    pieces = list(runs.shared_pieces(masks, masks, 50))
+    assert len(pieces) > 3 and all(len(i) < 50 + len(masks) for i, _, _ in pieces)
+    whole = runs.shared(masks, masks)
+    assert len(whole[0]) == 400 and all((np.concatenate(x) == y).all() for x, y in zip(zip(*pieces), whole))
