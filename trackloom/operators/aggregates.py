@@ -53,8 +53,13 @@ def medoid(pairs: DataFrame, group: Sequence[str], limit: float) -> DataFrame:
     """
     both = pairs.select(*group, F.col("member_1").alias("m"), "cosine").unionByName(pairs.select(*group, F.col("member_2").alias("m"), "cosine"))
     sums = both.groupBy(*group, "m").agg(F.sum(F.when(F.col("cosine") > limit, F.col("cosine")).otherwise(0.0)).alias("centrality"))
-    w = Window.partitionBy(*group).orderBy(F.round("centrality", 9).desc(), "m")
-    return sums.withColumn("_row", F.row_number().over(w)).where("_row = 1").select(*group, F.col("m").alias("member"), "centrality")
+    return medoid_of_sums(sums.withColumnRenamed("m", "member"), group)
+
+
+def medoid_of_sums(sums: DataFrame, group: Sequence[str]) -> DataFrame:
+    """A10 from (group, member, centrality), as `pairs.similarity_sums` gives."""
+    w = Window.partitionBy(*group).orderBy(F.round("centrality", 9).desc(), "member")
+    return sums.withColumn("_row", F.row_number().over(w)).where("_row = 1").select(*group, "member", "centrality")
 
 
 def cluster_centrality(pairs: DataFrame, meet: DataFrame, limit: float) -> DataFrame:
@@ -63,6 +68,11 @@ def cluster_centrality(pairs: DataFrame, meet: DataFrame, limit: float) -> DataF
     `pairs`: cluster_1, cluster_2, cosine; `meet`: cluster_1, cluster_2 of those that share a frame.
     """
     sums = pairs.groupBy("cluster_1", "cluster_2").agg(F.sum(F.when(F.col("cosine") > limit, F.col("cosine")).otherwise(0.0)).alias("centrality"))
+    return marked_centrality(sums, meet)
+
+
+def marked_centrality(sums: DataFrame, meet: DataFrame) -> DataFrame:
+    """A9 from (cluster_1, cluster_2, centrality), as `pairs.cluster_sums` gives."""
     out = sums.join(meet.select("cluster_1", "cluster_2").distinct().withColumn("_meet", F.lit(True)), ["cluster_1", "cluster_2"], "left")
     return out.withColumn("centrality", F.when(F.col("_meet"), -1.0).otherwise(F.col("centrality"))).drop("_meet")
 
