@@ -54,7 +54,7 @@ def j19_best_match(spark, sf):
 
 @query(f"WITH RECURSIVE {_EMB}, p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.25), w AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT a AS node, a AS root FROM w UNION SELECT w.b, r.root FROM r JOIN w ON r.node = w.a) SELECT node, min(root) AS root FROM r GROUP BY node")
 def c13_components(spark, sf):
-    return graph.components(pairs.feature_pairs(table(spark, sf, "embeddings"), ["label"], "vec_id", "embedding", 0.25), "member_1", "member_2")
+    return graph.components(pairs.feature_links(table(spark, sf, "embeddings"), ["label"], "vec_id", "embedding", 0.25), "member_1", "member_2")
 
 
 @query(f"{_PAIR} SELECT frame, gt, tr, inter AS area, round(inter / aa, 6) AS ioa FROM p WHERE inter > 0")
