@@ -491,7 +491,8 @@ def m12_confusion(spark, sf):
     rows = trk(spark, sf)
     gt = rows.where("user_id % 2 = 0").select("frame", F.col("user_id").alias("gt"), F.col("event_type").alias("class"))
     tr = rows.where("user_id % 2 = 1").select("frame", F.col("user_id").alias("tr"), F.col("event_type").alias("class"))
-    found = _sides(spark, sf).select("frame", "gt", "tr", G.iou(F.col("a"), F.col("b")).alias("iou"))
+    boxes = rows.withColumns({"gt": F.col("user_id"), "tr": F.col("user_id")})
+    found = pairs.top_overlaps(boxes.where("user_id % 2 = 0"), boxes.where("user_id % 2 = 1"), ["frame"], "gt", "tr")
     return D.confusion(found, gt, tr, ["frame"], "gt", "tr", "iou")
 
 
