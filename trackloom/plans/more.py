@@ -48,8 +48,13 @@ def j14_lookup(spark, sf):
 def j19_best_match(spark, sf):
     a, b = G.to_cxcywh(F.col("a")), G.to_cxcywh(F.col("b"))
     d = F.round(F.sqrt((a["cx"] - b["cx"]) * (a["cx"] - b["cx"]) + (a["cy"] - b["cy"]) * (a["cy"] - b["cy"])), 9)
-    rows = _sides(spark, sf).select("frame", "gt", "tr", d.alias("distance"), F.round(G.iou(F.col("a"), F.col("b")), 9).alias("iou")).withColumn("key", F.struct("frame", "gt"))
-    return pairs.best_match(rows, "key", "distance", "iou", 40.0, "tr").select("frame", "gt", "tr", r6("distance").alias("distance"), "within")
+    every = trk(spark, sf)
+    gt = every.where("user_id % 2 = 0").select("frame", F.col("user_id").alias("gt"), F.col("box").alias("a"))
+    # Equal boxes of a frame meet others once; among equal ones the least user is taken.
+    tr = every.where("user_id % 2 = 1").groupBy("frame", F.col("box").alias("b")).agg(F.min("user_id").alias("tr"))
+    rows = gt.select("frame", "a").distinct().join(tr, "frame").select("frame", "a", "tr", d.alias("distance"), F.round(G.iou(F.col("a"), F.col("b")), 9).alias("iou")).withColumn("key", F.struct("frame", "a"))
+    best = pairs.best_match(rows, "key", "distance", "iou", 40.0, "tr").drop("key")
+    return pairs.back_to_rows(gt, best, ["frame", "a"]).select("frame", "gt", "tr", r6("distance").alias("distance"), "within")
 
 
 @query(f"WITH RECURSIVE {_EMB}, p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.25), w AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT a AS node, a AS root FROM w UNION SELECT w.b, r.root FROM r JOIN w ON r.node = w.a) SELECT node, min(root) AS root FROM r GROUP BY node")
