@@ -60,3 +60,8 @@ def test_sparse_assignment_has_the_total_of_the_dense_one(seed):
     at = K.assign_sparse(i, j, score[i, j])
     assert len(set(i[at])) == len(set(j[at])) == len(at)
     assert score[i[at], j[at]].sum() == score[K.assign(-score)].sum()
+
+
+def test_clear(rows):
+    got = parts(rows, "CLEAR")
+    assert (got["CLR_TP", None], got["IDSW", None], got["MT", None]) == (2 * MANY, 0, MANY)
