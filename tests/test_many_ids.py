@@ -65,3 +65,8 @@ def test_sparse_assignment_has_the_total_of_the_dense_one(seed):
 def test_clear(rows):
     got = parts(rows, "CLEAR")
     assert (got["CLR_TP", None], got["IDSW", None], got["MT", None]) == (2 * MANY, 0, MANY)
+
+
+def test_vace(rows):
+    got = parts(rows, "VACE")
+    assert got["STDA", None] == pytest.approx(MANY) and got["FDA", None] == pytest.approx(2 * 0.8)
