@@ -70,3 +70,7 @@ def test_clear(rows):
 def test_vace(rows):
     got = parts(rows, "VACE")
     assert got["STDA", None] == pytest.approx(MANY) and got["FDA", None] == pytest.approx(2 * 0.8)
+
+
+def test_identity(rows):
+    assert parts(rows, "Identity")["IDTP", None] == 2 * MANY
