@@ -74,3 +74,11 @@ def test_vace(rows):
 
 def test_identity(rows):
     assert parts(rows, "Identity")["IDTP", None] == 2 * MANY
+
+
+def test_world_boxes_meet_without_a_join_of_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr("trackloom.functions.geometry.iou_3d", None)
+    rows = spark.range(6000).selectExpr("'a' as seq", "1 as frame", "id", "struct(id * 10.0D as x, 0.0D as y, 0.0D as z, 4.0D as l, 4.0D as w, 2.0D as h) as box")
+    moved = rows.selectExpr("seq", "frame", "id", "struct(box.x + 1 as x, box.y, box.z, box.l, box.w, box.h) as box")
+    got = {r["field"]: r["value"] for r in M.world_evaluate(rows, moved, ["CLEAR"]).collect()}
+    assert (got["CLR_TP"], got["CLR_FP"], got["MOTP_sum"]) == (6000, 0, pytest.approx(6000 * 0.6))
