@@ -40,9 +40,10 @@ def frame_document(df: DataFrame) -> DataFrame:
     """K5: for each frame the list of its objects, averaged over cameras, with a map from camera to box."""
     b = F.col("box")
     mean = df.groupBy("frame", "global_id").agg(F.first("class_name", ignorenulls=True).alias("class_name"), F.array(*(F.avg(c) for c in "xyz")).alias("location"), F.array(*(F.avg(c) for c in "wlh")).alias("scale"), F.array(F.lit(0.0), F.lit(0.0), F.avg("yaw")).alias("rotation"), F.map_from_entries(F.collect_list(F.struct("camera", F.array(b["x1"], b["y1"], b["x2"], b["y2"])))).alias("boxes"))
-    item = F.struct("global_id", F.col("class_name").alias("object type"), F.col("global_id").alias("object id"), F.col("location").alias("3d location"), F.col("scale").alias("3d bounding box scale"), F.col("rotation").alias("3d bounding box rotation"), F.col("boxes").alias("2d bounding box visible"))
-    bag = mean.groupBy("frame").agg(F.sort_array(F.collect_list(item.getField("global_id"))).alias("ids"), F.collect_list(item).alias("items"))
-    return bag.select("frame", F.to_json(F.transform("ids", lambda i: F.filter("items", lambda x: x["global_id"] == i)[0].dropFields("global_id"))).alias("objects"))
+    item = F.struct(F.col("class_name").alias("object type"), F.col("global_id").alias("object id"), F.col("location").alias("3d location"), F.col("scale").alias("3d bounding box scale"), F.col("rotation").alias("3d bounding box rotation"), F.col("boxes").alias("2d bounding box visible"))
+    # Objects are written one by one and sorted as text by id: no search through the frame for each.
+    bag = mean.groupBy("frame").agg(F.sort_array(F.collect_list(F.struct("global_id", F.to_json(item).alias("text")))).alias("items"))
+    return bag.select("frame", F.concat(F.lit("["), F.concat_ws(",", "items.text"), F.lit("]")).alias("objects"))
 
 
 def evaluation_lines(df: DataFrame, frame_shift: int = 0, swap: bool = False) -> DataFrame:
