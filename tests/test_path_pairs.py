@@ -64,3 +64,12 @@ def test_pairs_are_not_shuffled(spark, name):
     plan = __spark_entry__.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     after, kernel, _ = plan.partition("FlatMapGroupsInArrow")
     assert kernel and "Exchange" not in after and "Join" not in after
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
+def test_far_pairs_are_not_kept_for_identities(spark, monkeypatch):
+    seen = []
+    whole = identities.match_all
+    monkeypatch.setattr(identities, "match_all", lambda nodes, ids, found, *a, **k: seen.append(found) or whole(nodes, ids, found, *a, **k))
+    __spark_entry__.queries()["c16_global_identities"](spark, DATA)
+    assert 0 < seen[0].count() == seen[0].where("distance <= 3").count()
