@@ -369,12 +369,14 @@ def stacked(column: pa.ChunkedArray) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def meeting(left: DataFrame, right: DataFrame, kernel: Callable[[pa.Table, pa.Table], pa.Table], schema: str, group: int = 1024, part: int = 8192, by: Sequence[str] = ()) -> DataFrame:
+def meeting(left: DataFrame, right: DataFrame, kernel: Callable[[pa.Table, pa.Table], pa.Table], schema: str, group: int = 1024, part: int = 8192, by: Sequence[str] = (), spread: int = 1) -> DataFrame:
     """What `kernel` makes of every group of `left` rows and every part of `right` rows.
 
     Groups and parts are of bounded size (`group` and `part` rows or so), dealt out
     by a hash of the rows; rows equal in `by` (not null), if given, meet only each other, and
-    have as many groups and parts as they need.
+    have as many groups and parts as they need.  A row is sent once for each group
+    or part of the other side; `spread` is how many of them there are at least, as
+    long as each has 512 rows.
     """
     empty = T.StructType.fromDDL(schema)
 
@@ -382,10 +384,11 @@ def meeting(left: DataFrame, right: DataFrame, kernel: Callable[[pa.Table, pa.Ta
         return kernel(one, two) if len(one) and len(two) else to_arrow_schema(empty).empty_table()
 
     def needed(df: DataFrame, n: int, name: str) -> DataFrame:
-        return df.groupBy(*by).agg(F.greatest(F.ceil(F.count("*") / n), F.lit(1)).cast("long").alias(name))
+        rows = F.count("*")
+        return df.groupBy(*by).agg(F.greatest(F.ceil(rows / n), F.least(F.lit(spread), F.ceil(rows / 512)), F.lit(1)).cast("long").alias(name))
 
     sizes = needed(left, group, "_groups").join(needed(right, part, "_parts"), list(by)) if by else None
-    counts = () if by else tuple(F.lit(max(1, -(-x.count() // n))).cast("long") for x, n in ((left, group), (right, part)))
+    counts = () if by else tuple(F.lit(max(1, -(-rows // n), min(spread, -(-rows // 512)))).cast("long") for rows, n in ((left.count(), group), (right.count(), part)))
 
     def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
         rest = [c for c in df.columns if c not in by]
@@ -417,28 +420,48 @@ def distances(queries: DataFrame, gallery: DataFrame, query_id: str, gallery_id:
     return meeting(a, b, kernel, f"q {dict(a.dtypes)['id']}, g {dict(b.dtypes)['id']}, distance double", group=512, part=4096)
 
 
-def neighbours(queries: DataFrame, gallery: DataFrame, query_id: str, gallery_id: str, vector: str, k: int, metric: str = "cosine", group: int = 1024, part: int = 8192) -> DataFrame:
+def nearest_of(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k least numbers of each row, by row and number; equal numbers go by column, and what is no number comes last."""
+    if d.shape[1] > k:
+        most = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+        i, j = np.nonzero((d <= most) | np.isnan(most))
+    else:
+        i, j = (x.ravel() for x in np.indices(d.shape))
+    order = np.lexsort((j, d[i, j], i))
+    i, j = i[order], j[order]
+    kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[kept], j[kept]
+
+
+def neighbours(queries: DataFrame, gallery: DataFrame, query_id: str, gallery_id: str, vector: str, k: int, metric: str = "cosine", group: int = 32_768, part: int = 32_768, cells: int = 1_000_000) -> DataFrame:
     """The k nearest gallery rows of each query, by distance, then gallery id: (q, g, distance, rank).
 
     The distance is 1 - cosine (1 with a zero vector) or the squared Euclidean one.
-    Groups of queries meet parts of the gallery, each of bounded size, in one matrix
-    product; every meeting keeps k rows a query, so pairs are never written out.
-    Rows with a null id or vector are left out.
+    Groups of queries meet parts of the gallery, each of bounded size, in matrix
+    products of some `cells` numbers; every meeting keeps k rows a query, so pairs are
+    never written out.  Rows with a null id or vector are left out.
     """
     a, b = _vectors(queries, query_id, vector), _vectors(gallery, gallery_id, vector)
 
     def kernel(one: pa.Table, two: pa.Table) -> pa.Table:
         two = two.sort_by("id")
         x, y = stacked(one["v"]), stacked(two["v"])
-        if metric == "cosine":
-            d = 1 - cosine_matrix(x, y)
-        else:
-            d = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0)
-        # Equal distances keep the order of ids.
-        near = np.argsort(d, 1, kind="stable")[:, :k]
-        return pa.table({"q": one["id"].combine_chunks().take(pa.array(np.repeat(np.arange(len(x)), near.shape[1]))), "g": two["id"].combine_chunks().take(pa.array(near.ravel())), "distance": np.take_along_axis(d, near, 1).ravel()})
-
-    found = meeting(a, b, kernel, f"q {dict(a.dtypes)['id']}, g {dict(b.dtypes)['id']}, distance double", group, part)
+        rows, columns, distances = [], [], []
+        step = max(1, cells // len(y))
+        for at in range(0, len(x), step):
+            some = x[at : at + step]
+            if metric == "cosine":
+                d = 1 - cosine_matrix(some, y)
+            else:
+                d = np.maximum((some * some).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * some @ y.T, 0)
+            # The gallery is in order of ids, so equal distances are, too.
+            i, j = nearest_of(d, k)
+            rows.append(i + at)
+            columns.append(j)
+            distances.append(d[i, j])
+        return pa.table({"q": one["id"].combine_chunks().take(pa.array(np.concatenate(rows))), "g": two["id"].combine_chunks().take(pa.array(np.concatenate(columns))), "distance": np.concatenate(distances)})
+
+    found = meeting(a, b, kernel, f"q {dict(a.dtypes)['id']}, g {dict(b.dtypes)['id']}, distance double", group, part, spread=8)
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", "g"))).where(F.col("rank") <= k)
 
 
