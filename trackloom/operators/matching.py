@@ -5,7 +5,7 @@ Groups, such as a frame or a scene, are columns; ids of both sides are of one ty
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from heapq import heappop, heappush
 
@@ -97,41 +97,68 @@ def parts(pairs: DataFrame, group: Sequence[str], left: str, right: str, name: s
 def assignment(pairs: DataFrame, group: Sequence[str], left: str, right: str, cost: str, limit: float, most_pairs: int = MOST_PAIRS, resolution: float = 1e-6) -> DataFrame:
     """C17: of `pairs` those of an assignment within each group, none of which costs over `limit`; the greatest sum of `limit` less cost.
 
-    Connected parts of the allowed pairs are solved apart: a pair that touches no
-    other as it is, a part of up to `most_pairs` pairs in one task without a matrix,
-    a larger one by an auction whose rounds are joins (costs then count in steps of
-    `resolution`).  Pairs with a null are left out; of a pair that comes again the
-    least cost counts.  Columns: group, left, right, cost.
+    Groups of up to `most_pairs` pairs are solved without a matrix, many of them in a
+    task (`_dealt`).  Of larger ones the connected parts are: a part of up to
+    `most_pairs` pairs in one task, a larger one by an auction whose rounds are joins
+    (costs then count in steps of `resolution`).  Pairs with a null are left out; of a
+    pair that comes again the least cost counts.  Columns: group, left, right, cost.
     """
     spark = pairs.sparkSession
     checkpoints(spark)
     key = list(group)
     own = pairs.select(*key, F.col(left).alias("_l"), F.col(right).alias("_r"), F.col(cost).cast("double").alias("_c")).where(F.col("_c") <= limit)
     own = own.dropna().groupBy(*key, "_l", "_r").agg(F.min("_c").alias("_c")).checkpoint()
-    rows = parts(own, key, "_l", "_r").checkpoint()
-    sizes = rows.groupBy("part").agg(F.count("*").alias("_n"))
-    alone, large = sizes.where("_n = 1").select("part"), sizes.where(F.col("_n") > max(1, most_pairs)).select("part").checkpoint()
-    some = sizes.where((F.col("_n") > 1) & (F.col("_n") <= most_pairs)).select("part")
-    shown = rows.select(*key, "_l", "_r", "_c").schema
-    schema = to_arrow_schema(shown)
-
-    def solve(part: pa.Table) -> pa.Table:
-        sides = [np.unique(part[c].to_numpy(), return_inverse=True)[1] for c in ("_l", "_r")]
-        worth = limit - part["_c"].to_numpy()
-        order = np.lexsort((sides[1], sides[0]))
-        kept = order[heaviest(sides[0][order], sides[1][order], worth[order])]
-        return part.take(kept).select(shown.names).cast(schema)
-
-    out = rows.join(alone, "part", "left_semi").select(*shown.names)
-    out = out.unionByName(rows.join(some, "part", "left_semi").groupBy("part").applyInArrow(solve, shown))
-    if not large.isEmpty():
-        wide = rows.join(large, "part", "left_semi")
-        nodes = wide.groupBy("part").agg(F.count_distinct("_l").alias("_nodes"))
+
+    def solve(rows: pa.Table) -> pa.Table:
+        l, r = _nodes(rows, key)
+        order = np.lexsort((r, l))
+        return rows.take(order[heaviest(l[order], r[order], limit - rows["_c"].to_numpy()[order])])
+
+    out, large = _dealt(own, key, solve, most_pairs)
+    if large is not None:
+        nodes = large.groupBy("part").agg(F.count_distinct("_l").alias("_nodes"))
         worth = F.round((F.lit(limit) - F.col("_c")) / resolution).cast("long") * (F.col("_nodes") + 1)
-        out = out.unionByName(_auction(wide.join(nodes, "part").select(*key, "_l", "_r", "_c", worth.alias("_w")), key).select(*shown.names))
+        out = out.unionByName(_auction(large.join(nodes, "part").select(*key, "_l", "_r", "_c", worth.alias("_w")), key).select(*own.columns))
     return out.withColumnsRenamed({"_l": left, "_r": right, "_c": cost})
 
 
+def _nodes(rows: pa.Table, key: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the left and of the right nodes of a table of pairs, by group and then id."""
+    table = rows.to_pandas()
+    group = table.groupby(key, sort=True).ngroup().to_numpy() if key else np.zeros(len(table), int)
+    sides = []
+    for c in ("_l", "_r"):
+        ids = np.unique(table[c].to_numpy(), return_inverse=True)[1]
+        sides.append(np.unique(group * (int(ids.max(initial=0)) + 1) + ids, return_inverse=True)[1])
+    return sides[0], sides[1]
+
+
+def _dealt(own: DataFrame, key: list[str], solve: Callable[[pa.Table], pa.Table], most_pairs: int, task_pairs: int = 50_000) -> tuple[DataFrame, DataFrame | None]:
+    """What `solve` makes of the pairs `own` (key, _l, _r and a number), and the connected parts that are too large for it (None without any).
+
+    Groups are dealt by a hash to tasks of some `task_pairs` pairs, as no pair
+    reaches beyond its group; connected parts are only looked for in groups of more
+    than `most_pairs` pairs.
+    """
+    names, schema = own.columns, to_arrow_schema(own.schema)
+
+    def each(rows: pa.Table) -> pa.Table:
+        return solve(rows.select(names)).cast(schema)
+
+    sizes = own.groupBy(*key).agg(F.count("*").alias("_n"))
+    many = sizes.where(F.col("_n") > max(1, most_pairs)).checkpoint()
+    whole = not many.isEmpty()
+    few = own if not whole else own.join(many.drop("_n"), key, "left_anti") if key else own.limit(0)
+    tasks = F.lit(max(1, -(-own.count() // max(1, min(task_pairs, most_pairs)))))
+    out = few.groupBy(F.pmod(F.xxhash64(*key) if key else F.lit(0).cast("long"), tasks).alias("_task")).applyInArrow(each, own.schema)
+    if not whole:
+        return out, None
+    rows = parts(own.join(many.drop("_n"), key, "left_semi") if key else own, key, "_l", "_r").checkpoint()
+    large = rows.groupBy("part").agg(F.count("*").alias("_n")).where(F.col("_n") > max(1, most_pairs)).select("part").checkpoint()
+    out = out.unionByName(rows.join(large, "part", "left_anti").groupBy("part").applyInArrow(each, own.schema))
+    return out, None if large.isEmpty() else rows.join(large, "part", "left_semi")
+
+
 def _auction(pairs: DataFrame, key: list[str]) -> DataFrame:
     """Pairs of an assignment of greatest total `_w`: whole numbers that are multiples of one more than the left nodes of their part.
 
@@ -162,8 +189,9 @@ def _auction(pairs: DataFrame, key: list[str]) -> DataFrame:
 def greedy(pairs: DataFrame, group: Sequence[str], left: str, right: str, score: str, least: float = 0.0, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """C4: of `pairs` with a score over `least`, again and again the best whose two nodes are free (equal scores: the smaller left id, then right id).
 
-    A connected part of up to `most_pairs` pairs is solved in one task.  In larger
-    ones each round takes every pair that is the best of both its nodes: no better
+    Groups of up to `most_pairs` pairs are solved many in a task (`_dealt`), of larger
+    ones the connected parts of up to as many pairs.  In larger parts
+    each round takes every pair that is the best of both its nodes: no better
     pair can take a node of it before, so all rounds together take what one pair at
     a time would.  Of a pair that comes again the greatest score counts; pairs with
     a null are left out.  Columns: group, left, right, score.
@@ -172,25 +200,19 @@ def greedy(pairs: DataFrame, group: Sequence[str], left: str, right: str, score:
     key = list(group)
     own = pairs.select(*key, F.col(left).alias("_l"), F.col(right).alias("_r"), F.col(score).cast("double").alias("_s")).where(F.col("_s") > least)
     own = own.dropna().groupBy(*key, "_l", "_r").agg(F.max("_s").alias("_s")).checkpoint()
-    rows = parts(own, key, "_l", "_r").checkpoint()
-    sizes = rows.groupBy("part").agg(F.count("*").alias("_n"))
-    large = sizes.where(F.col("_n") > max(1, most_pairs)).select("part").checkpoint()
-    shown = rows.select(*key, "_l", "_r", "_s").schema
-    schema = to_arrow_schema(shown)
-
-    def solve(part: pa.Table) -> pa.Table:
-        l, r, s = (part[c].to_numpy(zero_copy_only=False) for c in ("_l", "_r", "_s"))
-        used, kept = (set(), set()), []
-        for k in np.lexsort((r, l, -s)).tolist():
-            if l[k] not in used[0] and r[k] not in used[1]:
-                used[0].add(l[k])
-                used[1].add(r[k])
+
+    def solve(rows: pa.Table) -> pa.Table:
+        l, r = _nodes(rows, key)
+        taken, kept = (np.zeros(len(l), bool), np.zeros(len(r), bool)), []
+        for k in np.lexsort((r, l, -rows["_s"].to_numpy())).tolist():
+            if not taken[0][l[k]] and not taken[1][r[k]]:
+                taken[0][l[k]] = taken[1][r[k]] = True
                 kept.append(k)
-        return part.take(kept).select(shown.names).cast(schema)
+        return rows.take(pa.array(kept, pa.int64()))
 
-    out = rows.join(large, "part", "left_anti").groupBy("part").applyInArrow(solve, shown)
-    if not large.isEmpty():
-        out = out.unionByName(_greedy_rounds(rows.join(large, "part", "left_semi").select(*shown.names), key))
+    out, large = _dealt(own, key, solve, most_pairs)
+    if large is not None:
+        out = out.unionByName(_greedy_rounds(large.select(*own.columns), key))
     return out.withColumnsRenamed({"_l": left, "_r": right, "_s": score})
 
 
