@@ -191,7 +191,9 @@ class Documents:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").where("length > 0")
         step = F.lit(int(range_bytes)).cast("long")
         parts = files.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, step))).withColumn("stop", F.least(F.col("start") + step, "length"))
-        self.count = max(1, parts.count())
+        # Ranges of many small files share a task, one for each range's worth of bytes or two a core.
+        n, size = parts.agg(F.count("*"), F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0))).first()
+        self.count = max(1, min(n, max(-(-size // int(range_bytes)), 2 * spark.sparkContext.defaultParallelism)))
         kinds = pa.schema([("path", pa.string()), *((c, pa.int64()) for c in ("length", "start", "stop", "quotes", "rise_outside", "rise_inside"))])
         told = parts.repartitionByRange(self.count, "path", "start").mapInArrow(_each(_summarised, kinds), "path string, length long, start long, stop long, quotes long, rise_outside long, rise_inside long")
         before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
