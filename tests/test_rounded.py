@@ -31,3 +31,13 @@ def test_equal_boxes_are_told_once_and_all_members_are_paired(spark):
     got = sorted(map(tuple, pairs.kinds_meeting(left, right, ["f"], "l", "r", "a", "b", of).collect()))
     assert got == sorted((1, i, j, float(i % 3 - j % 2)) for i in range(30) for j in range(40) if i % 3 != j % 2)
     assert seen == [3 * 2]
+
+
+def test_solids_that_meet_have_the_iou_of_each_pair(spark):
+    r = random.Random(5)
+    rows = [(k % 3, k, *(r.uniform(0, 9) for _ in range(3)), *(r.uniform(1, 8) for _ in range(3))) for k in range(60)]
+    df = spark.createDataFrame(rows, "f int, i int, x double, y double, z double, l double, w double, h double").select("f", "i", F.struct("x", "y", "z", "l", "w", "h").alias("s"))
+    got = {tuple(x) for x in pairs.solids_meeting(df, ["f"], "i", "s", "p", "q").collect()}
+    one, two = df.select("f", F.col("i").alias("p"), F.col("s").alias("a")), df.select("f", F.col("i").alias("q"), F.col("s").alias("b"))
+    assert got == {tuple(x) for x in one.join(two, "f").where("p < q").select("f", "p", "q", G.iou_3d(F.col("a"), F.col("b")).alias("iou")).where("iou > 0").collect()}
+    assert 0 < len(got) < 3 * 190
