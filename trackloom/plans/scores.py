@@ -112,8 +112,9 @@ way AS (SELECT seq, gt_id, tracker_id, sum(d) AS d FROM (SELECT seq, gt_id, trac
 best AS (SELECT seq, gt_id, max(coalesce(d, 0)) AS d FROM way GROUP BY ALL)
 SELECT own.seq, round(CASE WHEN sum(own.d) > 0 THEN coalesce(sum(best.d), 0) / sum(own.d) ELSE 0 END, 6) AS IDEucl FROM own LEFT JOIN best USING (seq, gt_id) GROUP BY own.seq""")
 def m8_travelled_apart(spark, sf):
-    gt, _, near = _near(spark, sf)
-    way = M.travelled(gt.select("seq", "t", "gt_id", "x", F.lit(0.0).alias("y")), near.where("similarity >= 0.4").select("seq", "t", "gt_id", "tracker_id"))
+    gt, tracker = _apart(spark, sf)
+    near = M.near_pairs(M.box_timeline(gt, tracker), 0.4)
+    way = M.travelled(gt.select("seq", "t", "gt_id", "x", F.lit(0.0).alias("y")), near)
     return way.withColumn("IDEucl", r6("IDEucl"))
 
 
